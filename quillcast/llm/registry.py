@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
+from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLE = {"op10_decontaminate": OP10_SQL}
+QUERIES = {"op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+ORACLE = {"op9_near_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
