@@ -1,7 +1,19 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
+from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
+from quillcast.llm.quality import OP5_SQL, op5_quality_rules
 
-QUERIES = {"op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLE = {"op9_near_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE = {
+    "op1_mix_sources": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op9_near_dedup": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
+}
