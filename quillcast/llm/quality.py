@@ -16,7 +16,7 @@ from quillcast.llm.common import WS, let, table
 RULES = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "symbols": "10 * n_symbols > n_words",
     "short_words": "10 * word_chars < 22 * n_words",
     "long_words": "word_chars > 15 * n_words",
@@ -125,7 +125,7 @@ m AS (SELECT a.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
   length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim,
   length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digits, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_run
   FROM a LEFT JOIN c USING (doc_id)),
-f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_dup_lines > 3 * n_lines)::INT + 8 * (10 * n_symbols > n_words)::INT
+f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (2 * n_dup_lines > n_lines)::INT + 8 * (10 * n_symbols > n_words)::INT
   + 16 * (10 * word_chars < 22 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT + 64 * (2 * n_upper > word_chars)::INT + 128 * (10 * n_exclaim > 3 * n_words)::INT
   + 256 * (10 * n_digits > 4 * word_chars)::INT + 512 * (longest_run > 1000)::INT AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
