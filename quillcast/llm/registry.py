@@ -4,15 +4,18 @@ from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quillcast.llm.quality import OP5_SQL, op5_quality_rules
+from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
     "op1_mix_sources": OP1_SQL,
+    "op2_secret_scan": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
