@@ -3,6 +3,7 @@
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
+from quillcast.llm.pii import op6_find_personal_data
 from quillcast.llm.quality import OP5_SQL, op5_quality_rules
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_find_personal_data": op6_find_personal_data,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
