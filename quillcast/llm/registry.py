@@ -1,17 +1,21 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
+from quillcast.llm.language import op4_identify_language
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quillcast.llm.pii import op6_find_personal_data
 from quillcast.llm.quality import OP5_SQL, op5_quality_rules
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
+from quillcast.llm.sharding import op8_shard
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
+    "op4_identify_language": op4_identify_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_find_personal_data": op6_find_personal_data,
+    "op8_shard": op8_shard,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
