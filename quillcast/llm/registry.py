@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
+from quillcast.llm.html_text import op3_html_text
 from quillcast.llm.language import op4_identify_language
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
@@ -12,6 +13,7 @@ from quillcast.llm.sharding import op8_shard
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_text": op3_html_text,
     "op4_identify_language": op4_identify_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_find_personal_data": op6_find_personal_data,
