@@ -9,6 +9,7 @@ from quillcast.llm.pii import op6_find_personal_data
 from quillcast.llm.quality import OP5_SQL, op5_quality_rules
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 from quillcast.llm.sharding import op8_shard
+from quillcast.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_identify_language": op4_identify_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_find_personal_data": op6_find_personal_data,
+    "op7_token_files": op7_token_files,
     "op8_shard": op8_shard,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
