@@ -200,8 +200,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
 
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    found = find_leaks(docs.select(F.struct(*docs.columns).alias("_row"), "text"), items, window, keep_text=False)
-    return found.filter("NOT contaminated").select("_row.*")
+    own = [c for c in docs.columns if c != "text"]
+    named = docs.select("text", *(F.col(c).alias(f"_own{k}") for k, c in enumerate(own)))
+    found = find_leaks(named, items, window).filter("NOT contaminated")
+    back = {c: f"_own{k}" for k, c in enumerate(own)} | {"text": "text"}
+    return found.select(*(F.col(back[c]).alias(c) for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

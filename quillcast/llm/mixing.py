@@ -102,6 +102,19 @@ def size_documents(docs: DataFrame) -> DataFrame:
     return keep(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size")), "sized")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with their own columns: each as often as the mix takes its words, to the nearest
+    whole number (only the document at which a source's target ends is taken in part). Documents without
+    words are not in the mix."""
+    rows = keep(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_size": n_words("text")}), "rows")
+    sized = rows.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size"))
+    pieces, _ = mix(sized)
+    taken = pieces.groupBy("rid").agg(F.sum("words").alias("_taken"))
+    copies = F.round(F.col("_taken") / F.col("_size")).cast("int")
+    chosen = rows.join(taken, F.col("_rid") == F.col("rid")).withColumn("_copies", copies).filter("_copies > 0")
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = size_documents(table(spark, sf_dir, "documents"))
     pieces, targets = mix(sized)

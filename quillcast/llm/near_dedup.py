@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillcast.llm.common import keep, table
@@ -189,7 +189,7 @@ def _finish(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 256) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs(doc_id, text).
 
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased. A text with fewer words than `words` is one
     shingle; a null or empty text has none, is linked with nothing and kept. Links join texts with
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     and it is kept only then. Rows that share a doc_id count as linked. Rows are never dropped."""
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("node")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node, "text")
-    seen = docs.select(F.struct("doc_id", "node").alias("row"), "text")
-    seen = keep(seen.mapInArrow(_signatures(words, bands, rows), "row struct<doc_id: long, node: long>, n long, f1 long, f2 long, keys array<long>").select("row.*", "n", "f1", "f2", "keys"), "seen")
+    seen = docs.select(F.struct("doc_id", "node", F.xxhash64("text").alias("text_hash")).alias("row"), "text")
+    seen = keep(seen.mapInArrow(_signatures(words, bands, rows), "row struct<doc_id: long, node: long, text_hash: long>, n long, f1 long, f2 long, keys array<long>").select("row.*", "n", "f1", "f2", "keys"), "seen")
     classes = keep(seen.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("rep"), F.first("keys").alias("keys")), "classes")
     member = classes.select("rep", F.explode("keys").alias("key"))
     buckets = keep(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "buckets")
@@ -248,15 +248,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         roots = keep(components(links.union(more).union(rest)), "roots")
     named = classes.select("f1", "f2", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("root"))
     named = keep(named, "named")
-    out = seen.select("doc_id", "node", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+    out = seen.select("doc_id", "node", "text_hash", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     root = F.coalesce("root", "node")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(root < NO_ID, root).alias("component_id"), (F.col("node") == root).alias("kept"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(root < NO_ID, root).alias("component_id"), (F.col("node") == root).alias("kept"), "text_hash",
     )
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """One document of each group, with its own columns: that with the smallest doc_id.
+
+    Of rows that agree in doc_id and text one stays. Documents without words all stay, one for each doc_id."""
+    found = near_duplicates(docs.select("doc_id", "text"), words, percent, bands, rows).filter("kept")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+    return kept.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85, bands=20, rows=5)
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85, bands=20, rows=5)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP9_SQL = r"""
