@@ -1,4 +1,6 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library outside the corpus subpackage, and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from quillcast.plans import catalog, queries_clean  # noqa: F401  they register their queries
+
+QUERIES = catalog.QUERIES
+ORACLE = catalog.ORACLE
