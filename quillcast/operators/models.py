@@ -91,12 +91,13 @@ def _grow(sums: np.ndarray, lam: float, least: int) -> tuple[float, int, int]:
 
 def _route(tree: list[tuple], x: np.ndarray) -> np.ndarray:
     """The leaf of each row of binned features. A node is (feature, bin, low, high, value); feature -1 is a leaf."""
-    at = np.zeros(len(x), int)
-    for k, (f, b, low, high, _) in enumerate(tree):  # children come after their parent
-        if f >= 0:
-            here = at == k
-            at[here] = np.where(x[here, f] <= b, low, high)
-    return at
+    f, b, low, high = (np.array([n[k] for n in tree]) for k in range(4))
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    while True:
+        inner = f[at] >= 0
+        if not inner.any():
+            return at
+        at = np.where(inner, np.where(x[rows, f[at]] <= b[at], low[at], high[at]), at)
 
 
 def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int = 31, rate: float = 0.1, lam: float = 1.0, bins: int = 32):
@@ -104,8 +105,7 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
         edges = bin_edges(df, features, bins)
         base = float(df.agg(F.avg(label)).first()[0] or 0.0)
         least = 20 if growth == "leaf" else 1
-        if growth == "level":
-            leaves = 2**depth
+        most = 2**depth if growth == "level" else leaves
         names, wide, k = features, max((len(e) for e in edges), default=0) + 1, len(features)
         forest: list[list[tuple]] = []
 
@@ -117,50 +117,51 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
         data = df.select(*features, label).filter(F.col(label).isNotNull()).mapInPandas(binned, "x binary, y double").persist()
 
         def sums_of(tree: list[tuple], open_nodes: list[int], done: list[list[tuple]]) -> dict[int, np.ndarray]:
+            size = len(open_nodes) * k * wide
+
             def partial(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                out = np.zeros((len(open_nodes), k, wide, 2))
-                place = {node: i for i, node in enumerate(open_nodes)}
+                sums = np.zeros((2, size))
+                place = np.full(len(tree), -1)
+                place[open_nodes] = np.arange(len(open_nodes))
                 for p in rows:
                     x = np.frombuffer(b"".join(p["x"]), np.uint8).reshape(-1, k)
                     g = -p["y"].to_numpy()
                     for t in done:
                         g = g + rate * np.array([n[4] for n in t])[_route(t, x)]
-                    at = np.array([place.get(n, -1) for n in range(len(tree))])[_route(tree, x)]
+                    at = place[_route(tree, x)]
                     own = at >= 0
-                    x, g, at = x[own], g[own], at[own]
-                    for f in range(k):
-                        key = (at * k + f) * wide + x[:, f]
-                        out[..., 0] += np.bincount(key, g, len(open_nodes) * k * wide).reshape(out.shape[:3])
-                        out[..., 1] += np.bincount(key, minlength=len(open_nodes) * k * wide).reshape(out.shape[:3])
-                for node, i in place.items():
-                    yield pd.DataFrame({"node": [node], "s": [out[i].reshape(-1).tolist()]})
-
-            rows = data.mapInPandas(partial, "node long, s array<double>").select("node", F.posexplode("s").alias("i", "v"))
-            total = rows.groupBy("node", "i").agg(F.sum("v").alias("v")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-            return {r["node"]: np.array([x["v"] for x in r["s"]]).reshape(k, wide, 2) for r in total.collect()}
+                    key = ((at[own, None] * k + np.arange(k)) * wide + x[own]).reshape(-1)
+                    sums[0] += np.bincount(key, np.repeat(g[own], k), size)
+                    sums[1] += np.bincount(key, minlength=size)
+                full = np.flatnonzero(sums[1])
+                yield pd.DataFrame({"key": full, "g": sums[0][full], "h": sums[1][full]})
+
+            total = data.mapInPandas(partial, "key long, g double, h double").groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+            out = np.zeros((size, 2))
+            out[total["key"]] = total[["g", "h"]]
+            return dict(zip(open_nodes, out.reshape(len(open_nodes), k, wide, 2)))
 
         for _ in range(trees):
             tree: list[tuple] = [(-1, 0, 0, 0, 0.0)]
             open_nodes, level, n_leaves = [0], 0, 1
-            waiting: list[tuple[float, int, int, int]] = []
-            while open_nodes:
+            waiting: list[tuple] = []
+            while open_nodes and level < depth:
                 for node, s in sums_of(tree, open_nodes, forest).items():
-                    g, h = s[0, :, 0].sum(), s[0, :, 1].sum()
-                    tree[node] = (-1, 0, 0, 0, -g / (h + lam))
                     gain, f, b = _grow(s, lam, least)
                     if gain > 1e-12:
-                        waiting.append((gain, node, f, b))
+                        low, high = s[f, : b + 1].sum(0), s[f, b + 1 :].sum(0)
+                        waiting.append((gain, node, f, b, -low[0] / (low[1] + lam), -high[0] / (high[1] + lam)))
                 level += 1
                 waiting.sort(key=lambda w: (-w[0], w[1]))
                 # By level all nodes are split; by leaf the better half of those that wait, in one job.
-                take = len(waiting) if growth == "level" else max(1, (len(waiting) + 1) // 2)
-                take = 0 if level > depth else min(take, leaves - n_leaves)
+                take = len(waiting) if growth == "level" else (len(waiting) + 1) // 2
+                take = min(take, most - n_leaves)
                 open_nodes = []
-                for _, node, f, b in waiting[:take]:
-                    low = len(tree)
-                    tree += [(-1, 0, 0, 0, 0.0)] * 2
-                    tree[node] = (f, b, low, low + 1, 0.0)
-                    open_nodes += [low, low + 1]
+                for _, node, f, b, left, right in waiting[:take]:
+                    at = len(tree)
+                    tree += [(-1, 0, 0, 0, left), (-1, 0, 0, 0, right)]
+                    tree[node] = (f, b, at, at + 1, 0.0)
+                    open_nodes += [at, at + 1]
                 n_leaves += take
                 waiting = waiting[take:]
             forest.append(tree)
