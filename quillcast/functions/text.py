@@ -34,7 +34,9 @@ def normalize_name(c: Column) -> Column:
 
 
 #: Status tags that follow a name in exported tables.
-STATUS_TAGS = ["OUT", "DTD", "GTD", "IR", "Q", "P", "D", "O", "SUSP", "NA"]
+STATUS_TAGS = ["DTD", "OUT", "G-League", "TWO-WAY", "FA"]
+#: Position groups of a roster and the positions they stand for.
+POSITIONS = {"G": "SG", "F": "SF", "GF": "SG", "FG": "SF", "FC": "PF", "CF": "C"}
 
 
 def clean_entity_name(c: Column, tags: list[str] | None = None) -> Column:
@@ -63,10 +65,10 @@ def extract_id(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
-def primary_category(c: Column, names: dict[str, str]) -> Column:
+def primary_category(c: Column, names: dict[str, str] | None = None) -> Column:
     """The part before `-`, trimmed, mapped by `names` where it is there."""
     head = F.trim(F.split(c, "-", 2)[0])
-    return F.coalesce(mapped(head, names), head)
+    return F.coalesce(mapped(head, names or POSITIONS), head)
 
 
 def mapped(c: Column, names: dict[str, str]) -> Column:

@@ -165,9 +165,9 @@ TAGS_SQL = ", ".join(f"'{x}'" for x in ft.STATUS_TAGS)
 
 
 @query("clean_entity_name", rf"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(string_split(s, '(')[1], '^["'']+|["'']+$', '', 'g')), '\s+'), lambda x: x <> '' AND x NOT IN ({TAGS_SQL})), ' ') AS name
-  FROM (SELECT doc_id, '"' || string_split(text, '.')[1] || '  Q OUT" (' || lang || ')' AS s FROM documents)""")
+  FROM (SELECT doc_id, '"' || string_split(text, '.')[1] || '  FA OUT" (' || lang || ')' AS s FROM documents)""")
 def clean_entity_name(t: Tables) -> DataFrame:
-    dirty = F.concat(F.lit('"'), F.split("text", r"\.")[0], F.lit('  Q OUT" ('), "lang", F.lit(")"))
+    dirty = F.concat(F.lit('"'), F.split("text", r"\.")[0], F.lit('  FA OUT" ('), "lang", F.lit(")"))
     return t.documents.select("doc_id", ft.clean_entity_name(dirty).alias("name"))
 
 
