@@ -33,6 +33,10 @@ AROUND_NAMES = re.compile(
     re.I,
 )
 
+#: Words that say of the page that it has a part, and marks of parts that aren't shown.
+ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|show|hide)[_-]\w+", re.I)
+NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+HEADER_NAMES = re.compile(r"\b(?:article|entry|post|story|page|content)[_-]?header\b", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|(?=<)|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -168,7 +172,11 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
         else:
             place = stack[-1][1] if stack else 1
             named = " ".join(filter(None, (a or b or c for a, b, c in NAMES.findall(m[3])))) if m[3] else ""
-            if name in AROUND or (name == "header" and place != 2) or (named and AROUND_NAMES.search(named)):
+            named = ABOUT_PAGE.sub("", named)
+            if place == 2:
+                named = HEADER_NAMES.sub("", named)
+            whole = name in ("html", "body", "main", "article")
+            if name in AROUND or (name == "header" and place != 2) or (not whole and AROUND_NAMES.search(named)) or NOT_SHOWN.search(m[3]):
                 place = -1
             elif place != -1 and (name in ("article", "main") or (named and CONTENT_NAMES.search(named))):
                 place = 2

@@ -149,6 +149,9 @@ def test_main_text():
     <script>var x = "</p>";</script><!-- a <p>comment</p> --><aside>Aside text that is as long as a paragraph might be here</aside><form>Your name <input></form></article>
     <section id="comments"><p>Nice article, thank you so much for writing it for all of us!</p></section><footer>&copy; us</footer></body></html>"""
     assert html_text.main_text(page, tree) == "A title\n\nFirst & foremost text.\n\nSecond one."
+    page = """<body class="single has-sidebar"><div class="with-sidebar"><article class="post"><div class="entry-header"><h1>Title</h1></div><p>Text.</p><p hidden>Not shown at all.</p>
+    <div class="share-links">Share this page</div></article></div><div id="sidebar"><p>Some long text in the side bar of this page that is no content.</p></div></body>"""
+    assert html_text.main_text(page, tree) == "Title\n\nText."
     assert html_text.main_text("", tree) == "" and html_text.main_text("<p", tree) == ""
 
 
