@@ -26,8 +26,8 @@ from quillcast.llm.range_coder import TOGETHER, decode, encode
 
 BLOCK_IDS = 1 << 17
 END = 2
-#: Entries of a worker's cache of encoded stretches; the cache is emptied when full.
-CACHE = 500_000
+#: Entries of each of the two generations of a worker's cache of encoded stretches.
+CACHE = 400_000
 #: Characters that some Unicode versions count as white space: no stretch begins or ends with one.
 ODD = "\u180e\u200b\u2060\ufeff"
 SCHEMA = "part long, block long, first long, doc_ids array<long>, n_ids array<long>, payload binary"
@@ -53,14 +53,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], stretches: list[str], before: str) -> None:
+        self.blank = np.zeros(self.size, bool)
+        self.blank[[k for t, k in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        #: Stretches after a blank and others: those of late, and those of the generation before.
+        self.caches: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+
+    def _library(self, stretches: list[str], before: str) -> list[bytes]:
+        """Ids of each stretch. Those after a blank that hold no white space are encoded as one text: the ids that
+        begin with a blank part them again."""
+        plain = [s for s in stretches if s.split() == [s] and (s.isascii() or not any(c in s for c in ODD))] if before else []
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, "<u4")
+            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4
+            data = ids.tobytes()
+            if len(at) != len(plain) + 1:
+                raise ValueError("the ids of joined stretches can't be parted")
+            at = at.tolist()
+            out = {s: data[a:b] for s, a, b in zip(plain, at, at[1:])}
+        if len(out) == len(stretches):
+            return list(out.values())
+        rest = [s for s in stretches if s not in out]
+        if rest:
+            for s, e in zip(rest, self.tokenizer.encode_batch([before + s for s in rest], add_special_tokens=False)):
+                out[s] = np.array(e.ids, "<u4").tobytes()
+        return [out[s] for s in stretches]
+
+    def _learn(self, stretches, before: str) -> None:
+        """Put stretches into the cache, from the generation before or from the library."""
+        cache, older = self.caches[before], self.older[before]
         if len(cache) > CACHE:
-            cache.clear()
-        for s, e in zip(stretches, self.tokenizer.encode_batch([before + s for s in stretches], add_special_tokens=False)):
-            cache[s] = np.array(e.ids, "<u4").tobytes()
+            self.older[before], self.caches[before] = older, cache = cache, {}
+        known = {s: older[s] for s in stretches if s in older}
+        cache.update(known)
+        ask = [s for s in stretches if s not in known] if known else list(stretches)
+        if ask:
+            cache.update(zip(ask, self._library(ask, before)))
+
+    def _held(self, stretch: str, before: str) -> bytes:
+        """A stretch that was learned, in whichever generation it is by now."""
+        known = self.caches[before].get(stretch)
+        return self.older[before][stretch] if known is None else known
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -80,29 +114,32 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        unknown: dict[str, None] = {}
+        found: list[list] = []
+        missing: set[str] = set()
+        later = self.caches[" "]
         for k, parts in enumerate(cut):
-            later = self.later
-            # Any stretch in the cache is known to begin and end without white space.
-            new = {p for p in parts[1:] if p not in later}
-            if new and any(not p or p[0].isspace() or p[-1].isspace() or p[0] in ODD or p[-1] in ODD for p in new) or (parts[0] and parts[0][-1:].isspace()) or not parts[0]:
+            got = list(map(later.get, parts))
+            new = {p for p, g in zip(parts[1:], got[1:]) if g is None} if None in got else set()
+            # What is in the cache neither begins nor ends with white space.
+            if any(not p or p[0].isspace() or p[-1].isspace() or p[0] in ODD or p[-1] in ODD for p in new) or not parts[0] or parts[0][-1].isspace() or parts[0][-1] in ODD:
                 cut[k] = parts = self.stretches(texts[k])
-                new = {p for p in parts[1:] if p not in later}
-            unknown.update(dict.fromkeys(new))
-        if unknown:
-            self._learn(self.later, list(unknown), " ")
-        heads = {parts[0] for parts in cut} - self.first.keys()
-        if heads:
-            self._learn(self.first, list(heads), "")
-        out = []
-        for parts in cut:
-            try:
-                out.append(self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])))
-            except KeyError:  # the cache was emptied in between
-                self._learn(self.first, parts[:1], "")
-                missing = [p for p in set(parts[1:]) if p not in self.later]
-                own = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([" " + p for p in missing], add_special_tokens=False))))
-                out.append(self.first[parts[0]] + b"".join(own[p] if p in own else self.later[p] for p in parts[1:]))
+                got = list(map(later.get, parts))
+                new = {p for p, g in zip(parts[1:], got[1:]) if g is None}
+            missing |= new
+            found.append(got)
+        if missing:
+            self._learn(missing, " ")
+        heads = {parts[0] for parts in cut}
+        if heads := heads - self.caches[""].keys():
+            self._learn(heads, "")
+        out, later = [], self.caches[" "]
+        for parts, got in zip(cut, found):
+            if None in got:
+                got = list(map(later.get, parts))
+            got[0] = self._held(parts[0], "")
+            if None in got:  # a generation ended in between
+                got = [self._held(p, " ") if g is None else g for p, g in zip(parts, got)]
+            out.append(b"".join(got))
         return out
 
 
