@@ -18,6 +18,8 @@ import numpy as np
 LANES = 256
 #: Blocks coded together, bits of the order-1 and order-2 tables, longest round (in steps), and the bound of order-0 totals.
 TOGETHER, BITS1, BITS2, ROUND, ORDER0_BITS = 8, 14, 16, 64, 21
+#: A table of at most so many entries for each block says where the search for an id begins.
+STARTS = 1 << 14
 MAGIC = b"QTB1"
 HEAD = "<4sIIHII"  # magic, vocabulary, ids, lanes, crc of the ids, crc of the rest
 
@@ -54,6 +56,28 @@ class _Model:
         self.seen: list[np.ndarray] = []
         self.hits = np.zeros(self.n * 96, np.int64)
 
+    def begin_search(self) -> None:
+        """For the decoder: for each stretch of 2 ** self.bits values, the id of its first value."""
+        most = int(self.total.max())
+        self.bits = max(0, most.bit_length() - STARTS.bit_length() + 1)
+        edges = np.arange((most >> self.bits) + 2) << self.bits
+        place = self.place.reshape(self.n, -1)
+        self.starts = np.concatenate([np.minimum(np.searchsorted(row, edges, "right"), self.v) - 1 for row in place])
+        self.first_start = self.block * len(edges)
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The id whose order-0 stretch holds each value."""
+        base, stretch = self.base[lanes], self.first_start[lanes] + (value >> self.bits)
+        low, high = self.starts[stretch], self.starts[stretch + 1]
+        go = np.flatnonzero(low < high)
+        while len(go):
+            mid = (low[go] + high[go] + 1) >> 1
+            up = self.place[base[go] + mid] <= value[go]
+            low[go] = np.where(up, mid, low[go])
+            high[go] = np.where(up, high[go], mid - 1)
+            go = go[low[go] < high[go]]
+        return low
+
     def predict(self, m: int) -> tuple:
         """For the first m lanes: places in the tables, their entries, predicted ids and weights of order 1 and 2, cells."""
         x = self.p1[:m] * 2654435761
@@ -217,11 +241,12 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
         code = (code << _WORD) | words[np.minimum(pos, len(words) - 1)]
         pos += 1
     every = np.zeros(int(sizes.sum()), np.int64)
-    halvings = int(vocabulary).bit_length()
+    model.begin_search()
     for start_step, end in _rounds(len(in_use)):
         if start_step:
             model.close()
             model.renew()
+            model.begin_search()
         for t in range(start_step, end):
             m = in_use[t]
             known = model.predict(m)
@@ -244,12 +269,7 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
             ids = np.where(in1, d1, d2).astype(np.int64)
             free = np.flatnonzero(~(in1 | in2))
             if len(free):
-                base_f, rest_f = base[free], rest[free]
-                at = np.zeros(len(free), np.int64)
-                for k in range(halvings - 1, -1, -1):
-                    up = np.minimum(at + (1 << k), vocabulary)
-                    at = np.where(model.place[base_f + up] <= rest_f, up, at)
-                ids[free] = at
+                ids[free] = model.find(free, rest[free])
             place = base + ids
             start = model.place[place]
             size = model.place[place + 1] - start + w1 * (c1 == ids) + w2 * (c2 == ids)
