@@ -15,9 +15,9 @@ import zlib
 
 import numpy as np
 
-LANES = 256
+LANES = 512
 #: Blocks coded together, bits of the order-1 and order-2 tables, longest round (in steps), and the bound of order-0 totals.
-TOGETHER, BITS1, BITS2, ROUND, ORDER0_BITS = 8, 14, 16, 64, 21
+TOGETHER, BITS1, BITS2, ROUND, ORDER0_BITS = 8, 12, 14, 64, 21
 #: A table of at most so many entries for each block says where the search for an id begins.
 STARTS = 1 << 14
 MAGIC = b"QTB1"
