@@ -34,9 +34,6 @@ def mae(y: str, p: str) -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
 
 
-def r2(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
-    """1 - residual / total sum of squares per group; null where y doesn't vary."""
-    mean = df.groupBy(*by).agg(F.avg(y).alias("_m"))
-    out = df.join(mean, list(by)) if by else df.crossJoin(F.broadcast(mean))  # one row
-    sums = out.groupBy(*by).agg(F.sum((F.col(y) - F.col(p)) ** 2).alias("_res"), F.sum((F.col(y) - F.col("_m")) ** 2).alias("_tot"))
-    return sums.select(*by, (1 - F.col("_res") / F.nullif(F.col("_tot"), F.lit(0.0))).alias("r2"))
+def r2(y: str, p: str) -> Column:
+    """1 - residual / total sum of squares, in one pass; null where y doesn't vary."""
+    return 1 - F.sum((F.col(y) - F.col(p)) ** 2) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))

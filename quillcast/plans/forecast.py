@@ -46,28 +46,29 @@ def target_column(name: str) -> str:
 
 
 def fit(features: DataFrame, entity: str, target: str = "points", copies: int = 100, seed: int = 42, names: list[str] | None = None):
-    """(scorers, report, test rows): all models on 80 % of the training rows; report has model, status, mae, r2 on the rest.
+    """(scorers, report): all models on 80 % of the training rows; report has model, status, mae, r2 on the rest.
 
-    A model that fails is left out and its error is its status."""
+    A model that fails is left out and its error is its status. The split is held while the models are fitted
+    and measured, in memory or on disk; the report has one row for each model."""
     label = target_column(target)
     rows = split_scale.pooled_split(training_rows(features, entity, copies, seed), [entity, "copy"], 0.2, seed).persist()
-    spark = features.sparkSession
     scorers, status = models.fit_all(rows.filter("NOT is_test"), FEATURES, label, names)
-    report = spark.createDataFrame([(m, s) for m, s in status.items()], "model string, status string")
-    report = report.select("*", F.lit(None).cast("double").alias("mae"), F.lit(None).cast("double").alias("r2"))
-    test = rows.filter("is_test")
+    errors = {}
     if scorers:
-        scored = models.score_long(test.select(entity, "copy", label, *FEATURES), scorers, entity, "copy", label)
-        mae = scored.groupBy("model").agg(ensemble.mae(label, "prediction").alias("mae"))
-        report = report.select("model", "status").join(mae, "model", "left").join(ensemble.r2(scored, label, "prediction", ["model"]), "model", "left")
-    return scorers, report, rows
+        test = rows.filter("is_test").select(entity, "copy", label, *FEATURES)
+        scored = models.score_long(test, scorers, entity, "copy", label)
+        found = scored.groupBy("model").agg(ensemble.mae(label, "prediction").alias("mae"), ensemble.r2(label, "prediction").alias("r2"))
+        errors = {r["model"]: (r["mae"], r["r2"]) for r in found.collect()}
+    rows.unpersist()
+    report = [(m, s, *errors.get(m, (None, None))) for m, s in status.items()]
+    return scorers, features.sparkSession.createDataFrame(report, "model string, status string, mae double, r2 double")
 
 
 def predict(requests: DataFrame, features: DataFrame, entity: str, target: str = "points", copies: int = 100, seed: int = 42, names: list[str] | None = None) -> DataFrame:
     """requests(entity, found, averages, game) with status, prediction, spread, mean_score, confidence, n_models.
 
     Rows that can't be scored keep their status and have nulls."""
-    scorers, report, rows = fit(features, entity, target, copies, seed, names)
+    scorers, report = fit(features, entity, target, copies, seed, names)
     able = requests.withColumn("status", status_of("found", "averages", "game"))
     ready = able.filter("status = 'ok'").select(entity).join(features, entity)
     scores = report.select("model", F.col("r2").alias("score"))

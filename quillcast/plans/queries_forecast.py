@@ -53,7 +53,7 @@ def metric_mae(t: Tables) -> DataFrame:
 
 @query("metric_r2", f"""WITH {STAND_IN_SQL}, m AS (SELECT model, avg(y) AS a FROM p GROUP BY model) SELECT p.model, round(1 - sum((y - prediction) ** 2) / sum((y - a) ** 2), 6) AS r2 FROM p JOIN m ON m.model = p.model GROUP BY p.model""")
 def metric_r2(t: Tables) -> DataFrame:
-    return ensemble.r2(stand_in(t), "y", "prediction", ["model"]).select("model", F.round("r2", 6).alias("r2"))
+    return stand_in(t).groupBy("model").agg(F.round(ensemble.r2("y", "prediction"), 6).alias("r2"))
 
 
 @query("standard_scale", """SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER w) / CASE WHEN stddev_pop(p_retailprice) OVER w = 0 THEN 1 ELSE stddev_pop(p_retailprice) OVER w END, 6) AS p_retailprice_z,
@@ -166,7 +166,7 @@ def projected_value(t: Tables) -> DataFrame:
 def _fit_query(name: str) -> None:
     @query(f"fit_{name}")
     def fit(t: Tables) -> DataFrame:
-        _, report, _ = forecast.fit(features(t), "c_custkey", "points", COPIES, names=[name])
+        _, report = forecast.fit(features(t), "c_custkey", "points", COPIES, names=[name])
         return report
 
 
@@ -176,14 +176,14 @@ for _name in models.MODELS:
 
 @query("model_report")
 def model_report(t: Tables) -> DataFrame:
-    _, report, _ = forecast.fit(features(t), "c_custkey", "Rebounds", COPIES, names=["linear", "bayesian", "forest"])
+    _, report = forecast.fit(features(t), "c_custkey", "Rebounds", COPIES, names=["linear", "bayesian", "forest"])
     return report
 
 
 @query("score_long")
 def score_long(t: Tables) -> DataFrame:
     f = features(t)
-    scorers, _, _ = forecast.fit(f, "c_custkey", "assists", COPIES, names=["linear", "bayesian"])
+    scorers, _ = forecast.fit(f, "c_custkey", "assists", COPIES, names=["linear", "bayesian"])
     return models.score_long(f, scorers, "c_custkey")
 
 

@@ -190,7 +190,7 @@ def test_confidence_bounds(spark):
 def test_models_fit(spark, name):
     df = spark.range(400).selectExpr("id", "cast(id % 20 as double) a", "cast(id % 7 as double) b").selectExpr("*", "3 * a - 2 * b + 1 y").coalesce(2)
     fit = models.ESTIMATORS[name] if "hist" not in name else models._fit_histogram(name[5:], trees=12, depth=4)
-    out = ensemble.r2(fit(df, ["a", "b"], "y")(df), "y", "prediction").first()["r2"]
+    out = fit(df, ["a", "b"], "y")(df).agg(ensemble.r2("y", "prediction").alias("r2")).first()["r2"]
     assert out > (0.999 if "hist" not in name else 0.8)
 
 
