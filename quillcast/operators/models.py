@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TREES, SEED = 50, 42
+#: With so many partitions at most their sums are added on the driver; beyond, a shuffle adds them first.
+FEW_PARTS = 32
 MODELS = ["linear", "bayesian", "forest", "gbt", "hist_level", "hist_leaf"]
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -115,6 +117,7 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
                 yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": p[label].astype(float) - base})
 
         data = df.select(*features, label).filter(F.col(label).isNotNull()).mapInPandas(binned, "x binary, y double").persist()
+        n_parts = data.rdd.getNumPartitions()
 
         def sums_of(tree: list[tuple], open_nodes: list[int], done: list[list[tuple]]) -> dict[int, np.ndarray]:
             size = len(open_nodes) * k * wide
@@ -136,7 +139,10 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
                 full = np.flatnonzero(sums[1])
                 yield pd.DataFrame({"key": full, "g": sums[0][full], "h": sums[1][full]})
 
-            total = data.mapInPandas(partial, "key long, g double, h double").groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+            sums = data.mapInPandas(partial, "key long, g double, h double")
+            if n_parts > FEW_PARTS:
+                sums = sums.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            total = sums.toPandas().groupby("key", as_index=False).sum()
             out = np.zeros((size, 2))
             out[total["key"]] = total[["g", "h"]]
             return dict(zip(open_nodes, out.reshape(len(open_nodes), k, wide, 2)))
