@@ -2,8 +2,8 @@
 
 A page becomes a list of blocks (the text between block-level tags). For each block there are its words and
 link density, those of the blocks before and after it, whether it is a heading, and where it stands: in
-a part that markup names as content, in one that it names as surroundings, or neither. A small decision
-tree, grown from the labelled table below when the operator is called, decides block by block.
+a part that markup names as content, in one that it names as surroundings, or neither. Names count only as
+far as the words of a page bear them out: see `places`. A small decision tree, grown from the labelled table below when the operator is called, decides block by block.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ AROUND_NAMES = re.compile(
     re.I,
 )
 
+#: Elements whose names may say that they hold the content.
+CONTAINERS = set("div section table center form".split())
+
 #: Words that say of the page that it has a part, and marks of parts that aren't shown.
 ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|show|hide)[_-]\w+", re.I)
 NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
@@ -41,7 +44,7 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: The labelled table. place: 2 in content, 1 nowhere named on a page without named content, 0 nowhere named on a page
-#: with named content, -1 in surroundings. Columns: words, link density, words before, link density before, words after,
+#: whose named content holds most of the words, -1 in surroundings. Columns: words, link density, words before, link density before, words after,
 #: link density after, heading, place, label (1: main text).
 LABELLED = [
     (85, 0.00, 9, 0.00, 120, 0.05, 0, 2, 1), (9, 0.00, 0, 0.00, 85, 0.00, 1, 2, 1), (42, 0.02, 60, 0.00, 33, 0.00, 0, 2, 1), (3, 0.00, 40, 0.00, 70, 0.00, 0, 2, 1),
@@ -58,6 +61,8 @@ LABELLED = [
     (60, 0.00, 0, 0.00, 20, 0.00, 0, -1, 0), (5, 0.00, 3, 0.00, 70, 0.00, 0, -1, 0), (2, 0.00, 90, 0.00, 40, 0.00, 1, -1, 0), (16, 1.00, 2, 1.00, 1, 1.00, 0, -1, 0),
     (4, 1.00, 5, 1.00, 3, 0.00, 0, 0, 0), (10, 0.00, 3, 1.00, 80, 0.00, 0, 0, 0), (30, 0.00, 60, 0.00, 5, 0.50, 0, 0, 0), (6, 0.00, 0, 0.00, 4, 1.00, 1, 0, 0),
     (70, 0.00, 90, 0.00, 12, 0.00, 0, 0, 0), (15, 0.40, 40, 0.00, 0, 0.00, 0, 0, 0), (110, 0.02, 40, 0.00, 30, 0.00, 0, 0, 0), (2, 0.00, 80, 0.00, 0, 0.00, 0, 0, 0),
+    (150, 0.00, 90, 0.00, 60, 0.00, 0, 0, 1), (180, 0.05, 12, 0.00, 110, 0.00, 0, 0, 1), (240, 0.00, 3, 1.00, 4, 1.00, 0, 0, 1), (400, 0.02, 0, 0.00, 150, 0.00, 0, 0, 1),
+    (160, 0.80, 30, 0.90, 5, 1.00, 0, 0, 0), (250, 0.95, 60, 0.00, 10, 1.00, 0, 0, 0), (240, 0.00, 3, 1.00, 4, 1.00, 0, -1, 0), (400, 0.02, 0, 0.00, 150, 0.00, 0, -1, 0), (180, 0.05, 12, 0.00, 110, 0.00, 0, -1, 0),
     (95, 0.00, 7, 0.00, 60, 0.00, 0, 1, 1), (38, 0.05, 60, 0.00, 75, 0.00, 0, 1, 1), (22, 0.00, 45, 0.00, 3, 1.00, 0, 1, 1), (18, 0.00, 2, 1.00, 50, 0.00, 0, 1, 1),
     (8, 0.00, 3, 1.00, 85, 0.00, 1, 1, 1), (5, 0.00, 40, 0.00, 60, 0.00, 0, 1, 1), (12, 0.10, 35, 0.00, 28, 0.00, 0, 1, 1), (4, 0.00, 50, 0.00, 35, 0.00, 1, 1, 1),
     (30, 0.30, 33, 0.00, 41, 0.00, 0, 1, 1), (9, 0.00, 22, 0.00, 64, 0.00, 0, 1, 1), (65, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1), (16, 0.00, 30, 0.10, 20, 0.00, 0, 1, 1),
@@ -97,20 +102,41 @@ def decide(tree: dict | int, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def places(nodes: list[tuple[int, str, str, bool]], by_name: bool) -> list[int]:
+    """The place of each element (parent, name, names, shown).
+
+    article and main are content, and with `by_name` containers that are named so."""
+    out: list[int] = []
+    for parent, name, named, shown in nodes:
+        place = out[parent] if parent >= 0 else 1
+        if place == 2:
+            named = HEADER_NAMES.sub("", named)
+        whole = name in ("html", "body", "main", "article")
+        around = not whole and bool(AROUND_NAMES.search(named))
+        content = name in ("article", "main") or (by_name and name in CONTAINERS and bool(CONTENT_NAMES.search(named)))
+        if name in AROUND or (name == "header" and place != 2) or around or not shown:
+            place = -1
+        elif content and place != -1:
+            place = 2
+        out.append(place)
+    return out
+
+
 def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
     """The blocks of a page: their texts, and (words, words in links, heading, place) with place 1 for in no named part."""
     texts: list[str] = []
-    facts: list[tuple[int, int, int, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements with the place inside them
+    facts: list[tuple[int, int, int, int]] = []  # with the element in place of its place
+    nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", True)]
+    stack: list[int] = [0]  # open elements
     parts: list[str] = []
-    state = {"place": 1, "linked": 0, "link": 0, "heading": 0}
+    state = {"linked": 0, "link": 0, "heading": 0}
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
             texts.append(text)
-            facts.append((text.count(" ") + 1, state["linked"], state["heading"], state["place"]))
+            facts.append((text.count(" ") + 1, state["linked"], state["heading"], stack[-1]))
         state["linked"] = 0
 
     def add(text: str) -> None:
@@ -164,32 +190,32 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
         if name in VOID or m[0].endswith("/>"):
             continue
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+            for k in range(len(stack) - 1, 0, -1):
+                if nodes[stack[k]][1] == name:
                     del stack[k:]
                     break
             state["link"] = 0
         else:
-            place = stack[-1][1] if stack else 1
             named = " ".join(filter(None, (a or b or c for a, b, c in NAMES.findall(m[3])))) if m[3] else ""
-            named = ABOUT_PAGE.sub("", named)
-            if place == 2:
-                named = HEADER_NAMES.sub("", named)
-            whole = name in ("html", "body", "main", "article")
-            if name in AROUND or (name == "header" and place != 2) or (not whole and AROUND_NAMES.search(named)) or NOT_SHOWN.search(m[3]):
-                place = -1
-            elif place != -1 and (name in ("article", "main") or (named and CONTENT_NAMES.search(named))):
-                place = 2
             if name == "p":
                 # A new paragraph ends an open one.
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] != "p":
-                        break
-                    del stack[k]
-            stack.append((name, place))
-        state["place"] = stack[-1][1] if stack else 1
+                while len(stack) > 1 and nodes[stack[-1]][1] == "p":
+                    stack.pop()
+            nodes.append((stack[-1], name, ABOUT_PAGE.sub("", named), not NOT_SHOWN.search(m[3])))
+            stack.append(len(nodes) - 1)
     close()
-    return texts, facts
+    for by_name in (True, False):
+        place = places(nodes, by_name)
+        found = [(w, linked, heading, place[k]) for w, linked, heading, k in facts]
+        if named_most(np.array(found, float).reshape(-1, 4)):
+            break
+    return texts, found
+
+
+def named_most(f: np.ndarray) -> bool:
+    """True if named content holds at least half of the words outside of links and surroundings."""
+    words = np.maximum(f[:, 0] - f[:, 1], 0)
+    return bool(2 * words[f[:, 3] == 2].sum() >= words[f[:, 3] >= 0].sum())
 
 
 def features(facts: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -198,7 +224,7 @@ def features(facts: list[tuple[int, int, int, int]]) -> np.ndarray:
     words, density = f[:, 0], f[:, 1] / np.maximum(f[:, 0], 1)
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k < 0 else np.concatenate([v[1:], [0.0]])
     place = f[:, 3].copy()
-    if (place == 2).any():
+    if (place == 2).any() and named_most(f):
         place[place == 1] = 0
     return np.column_stack([words, np.minimum(density, 1), shift(words, -1), shift(np.minimum(density, 1), -1), shift(words, 1), shift(np.minimum(density, 1), 1), f[:, 2], place])
 

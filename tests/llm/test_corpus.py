@@ -155,6 +155,20 @@ def test_main_text():
     assert html_text.main_text("", tree) == "" and html_text.main_text("<p", tree) == ""
 
 
+def test_names_do_not_hide_the_main_text():
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    long = "word " * 40 + "end."
+    both, one = f"{long}\n\n{long}", f"<p>{long}</p>"
+    text = lambda page: html_text.main_text(page, tree)
+    # A small block with a name like that of content.
+    assert text(f'<div id="page"><h1 class="article-title">T</h1>{one}{one}</div>') == f"T\n\n{both}"
+    assert text(f'<div class="main-image">Caption</div><p class="post-date">May 3</p>{one}{one}').endswith(both)
+    assert text(f"<article><p>Small.</p></article>{one}{one}").endswith(both)
+    # A very long block beside named content, and one in surroundings.
+    far = "word " * 300 + "end."
+    assert text(f"<article>{one * 9}</article><p>{far}</p>").endswith(far) and far not in text(f"<article>{one * 9}</article><footer>{far}</footer>")
+
+
 def test_main_text_of_pages(spark, tmp_path):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
     got = {r.page_id: r for r in html_text.op3_html_text(spark, DATA).collect()}
