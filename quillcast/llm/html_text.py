@@ -33,8 +33,12 @@ AROUND_NAMES = re.compile(
     re.I,
 )
 
-#: Elements whose names may say that they hold the content.
+#: Elements whose names may say that they hold the content, names of a page's frame, and those of answers to the content.
 CONTAINERS = set("div section table center form".split())
+LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:layout|page|site|wrap|wrapper|container|outer|inner|grid|row|col|cols|column|columns|content|main)(?:$|[\s_-])", re.I)
+ANSWER_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply|respond|related|recommended)(?:$|[\s_-])", re.I)
+#: What can stand in a head.
+IN_HEAD = set("title meta link base basefont bgsound script style noscript noframes template".split())
 
 #: Words that say of the page that it has a part, and marks of parts that aren't shown.
 ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|show|hide)[_-]\w+", re.I)
@@ -102,23 +106,50 @@ def decide(tree: dict | int, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def places(nodes: list[tuple[int, str, str, bool]], by_name: bool) -> list[int]:
-    """The place of each element (parent, name, names, shown).
-
-    article and main are content, and with `by_name` containers that are named so."""
+def ends_of(page: str, name: str) -> dict[int, int]:
+    """Where each element of a name ends, by where its start tag ends; one without an end tag is left out."""
+    ends, begun = {}, []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?)({name})(?![^\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I | re.S):
+        if not m[2] or (not m[1] and m[3].endswith("/")):
+            continue
+        if not m[1]:
+            begun.append(m.end())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
+def places(nodes: list[tuple[int, str, str, bool]], words: list[int], by_name: bool) -> list[int]:
+    """The place of each element (parent, name, names, shown), given the words in each that are in no link.
+
+    article and main are content, and with `by_name` containers that are named so. A form or a frame of the
+    page that holds most of its words is no surroundings, whatever it is called; in other surroundings that hold
+    most of the words, main and article are content again. -2 is for what isn't shown."""
+    within, all_words = list(words), sum(words)
+    for k in range(len(nodes) - 1, -1, -1):
+        if nodes[k][0] >= 0:
+            within[nodes[k][0]] += within[k]
     out: list[int] = []
-    for parent, name, named, shown in nodes:
-        place = out[parent] if parent >= 0 else 1
+    again: list[tuple[str, ...]] = []  # elements that are content again
+    for k, (parent, name, named, shown) in enumerate(nodes):
+        place, back = (out[parent], again[parent]) if parent >= 0 else (1, ())
+        most = 2 * within[k] >= all_words
         if place == 2:
             named = HEADER_NAMES.sub("", named)
         whole = name in ("html", "body", "main", "article")
         around = not whole and bool(AROUND_NAMES.search(named))
         content = name in ("article", "main") or (by_name and name in CONTAINERS and bool(CONTENT_NAMES.search(named)))
-        if name in AROUND or (name == "header" and place != 2) or around or not shown:
-            place = -1
-        elif content and place != -1:
+        frame = most and (name == "form" or (name in CONTAINERS and LAYOUT_NAMES.search(named) and not ANSWER_NAMES.search(named)))
+        if place == -2 or not shown:
+            place = -2
+        elif (name in AROUND and name != "form") or (name == "header" and place != 2):
+            place, back = -1, ("main",) if most else ()
+        elif (name == "form" or around) and not frame:
+            place, back = -1, ("main", "article") if most else ()
+        elif content and (place != -1 or (name in back and not AROUND_NAMES.search(named))):
             place = 2
         out.append(place)
+        again.append(back)
     return out
 
 
@@ -130,6 +161,7 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
     stack: list[int] = [0]  # open elements
     parts: list[str] = []
     state = {"linked": 0, "link": 0, "heading": 0}
+    ends: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -145,37 +177,37 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
             if state["link"]:
                 state["linked"] += len(text.split())
 
-    at, n = 0, len(page)
-    hidden: list[str] = []
+    at, n, head = 0, len(page), False
     while at < n:
         m = MARKUP.search(page, at)
         if not m:
-            if not hidden:
+            if not head:
                 add(page[at:])
             break
-        if not hidden and m.start() > at:
+        if not head and m.start() > at:
             add(page[at : m.start()])
         at = max(m.end(), m.start() + 1)
         if not m[2]:
             continue
         name, end = m[2].lower(), bool(m[1])
-        if hidden:
-            if end and name == hidden[-1]:
-                hidden.pop()
-            elif not end and name == hidden[-1] and not m[0].endswith("/>"):
-                hidden.append(name)
-            elif name == "body" and not end and "head" in hidden:
-                hidden.clear()
-            if hidden:
-                continue
+        if head:
             if end:
+                head = name not in ("head", "body", "html")
                 continue
+            head = name in IN_HEAD or name == "head"
         if not end and name in HIDDEN and not m[0].endswith("/>"):
             if name in RAW:
                 to = re.compile(rf"</{name}(?![a-z0-9])[^>]*>?", re.I).search(page, at)
                 at = to.end() if to else n
+            elif name == "head":
+                head = True
             else:
-                hidden.append(name)
+                # Without an end tag it would hide the rest of the page.
+                if name not in ends:
+                    ends[name] = ends_of(page, name)
+                at = ends[name].get(at, at)
+            continue
+        if head:
             continue
         if name == "a":
             state["link"] = 0 if end else 1
@@ -204,9 +236,12 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
             nodes.append((stack[-1], name, ABOUT_PAGE.sub("", named), not NOT_SHOWN.search(m[3])))
             stack.append(len(nodes) - 1)
     close()
+    words = [0] * len(nodes)
+    for w, linked, _, k in facts:
+        words[k] += max(w - linked, 0)
     for by_name in (True, False):
-        place = places(nodes, by_name)
-        found = [(w, linked, heading, place[k]) for w, linked, heading, k in facts]
+        place = places(nodes, words, by_name)
+        found = [(w, linked, heading, max(place[k], -1)) for w, linked, heading, k in facts]
         if named_most(np.array(found, float).reshape(-1, 4)):
             break
     return texts, found

@@ -164,9 +164,16 @@ def test_names_do_not_hide_the_main_text():
     assert text(f'<div id="page"><h1 class="article-title">T</h1>{one}{one}</div>') == f"T\n\n{both}"
     assert text(f'<div class="main-image">Caption</div><p class="post-date">May 3</p>{one}{one}').endswith(both)
     assert text(f"<article><p>Small.</p></article>{one}{one}").endswith(both)
+    # Wrappers with names of surroundings.
+    for page in (f"<form><main>{one}{one}</main></form>", f"<form>{one}{one}</form>", f'<div class="layout sidebar-right"><article>{one}{one}</article></div>', f'<div class="content two-col sidebar-left">{one}{one}</div>', f'<div class="promo"><main>{one}{one}</main></div>'):
+        assert text(page) == both, page
+    assert text(f'<article>{one}</article><div hidden><main>{one}{one}</main></div><section id="comments"><article class="comment">{one}{one}{one}</article></section>') == long
     # A very long block beside named content, and one in surroundings.
     far = "word " * 300 + "end."
     assert text(f"<article>{one * 9}</article><p>{far}</p>").endswith(far) and far not in text(f"<article>{one * 9}</article><footer>{far}</footer>")
+    # A head, and elements, without an end tag.
+    for page in (f'<head><title>t</title><script>"<p>"</script>{one}{one}', f"<head><meta x><main>{one}{one}</main>", f"<svg><path>{one}{one}<svg><text>no</text></svg>", f"<article><object>{one}{one}</article><object>no</object>", f"<button><article>{one}{one}</article><button>no</button>"):
+        assert text(page) == both, page
 
 
 def test_main_text_of_pages(spark, tmp_path):
