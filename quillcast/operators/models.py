@@ -2,8 +2,8 @@
 
 linear, forest and gbt are Spark's own. bayesian needs one pass for sums of products and then iterates on a
 k x k matrix. hist_level and hist_leaf are histogram boosting: features are binned once into a stored table;
-for each step of a tree, gradients are summed by node, feature and bin on the executors, and the driver
-sees these sums only (nodes x features x bins).
+for each level of a tree, gradients are summed by node, feature and bin on the executors, and the driver
+sees these sums only (nodes x features x bins). Leaf-wise growth then takes its leaves from the whole tree.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _grow(sums: np.ndarray, lam: float, least: int) -> tuple[float, int, int]:
 
 
 def _route(tree: list[tuple], x: np.ndarray) -> np.ndarray:
-    """The leaf of each row of binned features. A node is (feature, bin, low, high, value); feature -1 is a leaf."""
+    """The leaf of each row of binned features. A node is (feature, bin, low, high, value); feature -1 is a leaf, whose value counts."""
     f, b, low, high = (np.array([n[k] for n in tree]) for k in range(4))
     at, rows = np.zeros(len(x), int), np.arange(len(x))
     while True:
@@ -102,12 +102,25 @@ def _route(tree: list[tuple], x: np.ndarray) -> np.ndarray:
         at = np.where(inner, np.where(x[rows, f[at]] <= b[at], low[at], high[at]), at)
 
 
+def _best_first(tree: list[tuple], gains: dict[int, float], leaves: int) -> list[tuple]:
+    """The part of a fully grown tree that leaf-wise growth makes: always the waiting leaf of most gain, up to `leaves` leaves."""
+    taken: set[int] = set()
+    waiting = [0] if 0 in gains else []
+    while waiting and len(taken) < leaves - 1:
+        node = max(waiting, key=lambda k: (gains[k], -k))
+        waiting.remove(node)
+        taken.add(node)
+        waiting += [k for k in tree[node][2:4] if k in gains]
+    kept = sorted({0} | {k for n in taken for k in tree[n][2:4]})
+    new = {k: i for i, k in enumerate(kept)}
+    return [(f, b, new[low], new[high], v) if k in taken else (-1, 0, 0, 0, v) for k in kept for f, b, low, high, v in [tree[k]]]
+
+
 def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int = 31, rate: float = 0.1, lam: float = 1.0, bins: int = 32):
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
         edges = bin_edges(df, features, bins)
         base = float(df.agg(F.avg(label)).first()[0] or 0.0)
         least = 20 if growth == "leaf" else 1
-        most = 2**depth if growth == "level" else leaves
         names, wide, k = features, max((len(e) for e in edges), default=0) + 1, len(features)
         forest: list[list[tuple]] = []
 
@@ -149,28 +162,22 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
 
         for _ in range(trees):
             tree: list[tuple] = [(-1, 0, 0, 0, 0.0)]
-            open_nodes, level, n_leaves = [0], 0, 1
-            waiting: list[tuple] = []
+            open_nodes, level = [0], 0
+            gains: dict[int, float] = {}
+            # A node's best split doesn't depend on other nodes, so each level is one job for either growth.
             while open_nodes and level < depth:
-                for node, s in sums_of(tree, open_nodes, forest).items():
+                found, open_nodes = sums_of(tree, open_nodes, forest), []
+                for node, s in found.items():
                     gain, f, b = _grow(s, lam, least)
                     if gain > 1e-12:
                         low, high = s[f, : b + 1].sum(0), s[f, b + 1 :].sum(0)
-                        waiting.append((gain, node, f, b, -low[0] / (low[1] + lam), -high[0] / (high[1] + lam)))
+                        at = len(tree)
+                        tree += [(-1, 0, 0, 0, -low[0] / (low[1] + lam)), (-1, 0, 0, 0, -high[0] / (high[1] + lam))]
+                        tree[node] = (f, b, at, at + 1, tree[node][4])
+                        gains[node] = gain
+                        open_nodes += [at, at + 1]
                 level += 1
-                waiting.sort(key=lambda w: (-w[0], w[1]))
-                # By level all nodes are split; by leaf the better half of those that wait, in one job.
-                take = len(waiting) if growth == "level" else (len(waiting) + 1) // 2
-                take = min(take, most - n_leaves)
-                open_nodes = []
-                for _, node, f, b, left, right in waiting[:take]:
-                    at = len(tree)
-                    tree += [(-1, 0, 0, 0, left), (-1, 0, 0, 0, right)]
-                    tree[node] = (f, b, at, at + 1, 0.0)
-                    open_nodes += [at, at + 1]
-                n_leaves += take
-                waiting = waiting[take:]
-            forest.append(tree)
+            forest.append(_best_first(tree, gains, leaves) if growth == "leaf" else tree)
         data.unpersist()
 
         def score(rows: DataFrame) -> DataFrame:

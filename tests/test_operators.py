@@ -194,6 +194,35 @@ def test_models_fit(spark, name):
     assert out > (0.999 if "hist" not in name else 0.8)
 
 
+def test_leaf_wise_trees_have_all_their_leaves(spark):
+    """One tree against the definition: split the leaf of most gain, one at a time, up to 31 leaves and depth 6."""
+    raw = [(float(k % 37), float(k * 7 % 41), float((k % 37 * 97 + k * 7 % 41 * 31) % 101)) for k in range(12000)]
+    df = spark.createDataFrame(raw, "a double, b double, y double").coalesce(3)
+    edges = models.bin_edges(df, ["a", "b"])
+    x = np.column_stack([np.searchsorted(e, [r[k] for r in raw], "left") for k, e in enumerate(edges)])
+    g = -(np.array([r[2] for r in raw]) - np.mean([r[2] for r in raw]))
+
+    def split(rows, depth):
+        sums = np.zeros((2, max(map(len, edges)) + 1, 2))
+        for f in range(2):
+            np.add.at(sums[f, :, 0], x[rows, f], g[rows])
+            np.add.at(sums[f, :, 1], x[rows, f], 1)
+        return (*(models._grow(sums, 1.0, 20) if depth < 6 else (0.0, -1, -1)), rows, depth)
+
+    found = [split(np.arange(12000), 0)]
+    while len(found) < 31 and max(f[0] for f in found) > 1e-12:
+        _, f, b, rows, depth = found.pop(int(np.argmax([f[0] for f in found])))
+        low = x[rows, f] <= b
+        found += [split(rows[low], depth + 1), split(rows[~low], depth + 1)]
+    want = np.zeros(12000)
+    for *_, rows, _ in found:
+        want[rows] = -g[rows].sum() / (len(rows) + 1.0)
+    got = models._fit_histogram("leaf", trees=1, rate=1.0)(df, ["a", "b"], "y")(df).collect()
+    mean = np.mean([r[2] for r in raw])
+    assert len(found) == 31 and len({round(r["prediction"], 6) for r in got}) == 31
+    assert {(r["a"], r["b"]): r["prediction"] for r in got} == pytest.approx({(r[0], r[1]): w + mean for r, w in zip(raw, want)})
+
+
 def test_failed_model_is_left_out(spark, monkeypatch):
     monkeypatch.setitem(models.ESTIMATORS, "gbt", lambda *a: 1 / 0)
     df = spark.range(50).selectExpr("cast(id as double) a", "cast(id as double) y")
