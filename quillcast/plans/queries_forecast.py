@@ -116,6 +116,7 @@ def noise_sql(name: str, low: float, high: float, keys: str) -> str:
     return f"({low} + {width} * (('0x' || substr(md5('42:{name}:' || {keys}), 1, 8))::BIGINT / 4294967296.0))"
 
 
+#: Of augment_noise, whose SQL has this number; the queries that train models take the default of 100.
 COPIES = 10
 COPY_KEY = "c_custkey || ':' || copy"
 
@@ -166,7 +167,7 @@ def projected_value(t: Tables) -> DataFrame:
 def _fit_query(name: str) -> None:
     @query(f"fit_{name}")
     def fit(t: Tables) -> DataFrame:
-        _, report = forecast.fit(features(t), "c_custkey", "points", COPIES, names=[name])
+        _, report = forecast.fit(features(t), "c_custkey", "points", names=[name])
         return report
 
 
@@ -176,14 +177,14 @@ for _name in models.MODELS:
 
 @query("model_report")
 def model_report(t: Tables) -> DataFrame:
-    _, report = forecast.fit(features(t), "c_custkey", "Rebounds", COPIES, names=["linear", "bayesian", "forest"])
+    _, report = forecast.fit(features(t), "c_custkey", "Rebounds")
     return report
 
 
 @query("score_long")
 def score_long(t: Tables) -> DataFrame:
     f = features(t)
-    scorers, _ = forecast.fit(f, "c_custkey", "assists", COPIES, names=["linear", "bayesian"])
+    scorers, _ = forecast.fit(f, "c_custkey", "assists")
     return models.score_long(f, scorers, "c_custkey")
 
 
@@ -194,7 +195,7 @@ def requests(t: Tables) -> DataFrame:
 
 @query("predict_batch")
 def predict_batch(t: Tables) -> DataFrame:
-    return forecast.predict(requests(t), features(t), "c_custkey", "points", COPIES, names=["linear", "bayesian"])
+    return forecast.predict(requests(t), features(t), "c_custkey", "points")
 
 
 @query("request_status", "SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'not_found' WHEN c_custkey % 19 = 0 THEN 'no_averages' WHEN c_custkey % 23 = 0 THEN 'no_game' ELSE 'ok' END AS status FROM customer")

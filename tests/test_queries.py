@@ -66,3 +66,23 @@ def test_no_nested_loop_join_for_home_or_visitor(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.QUERIES["category_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_type), EqualTo(p_type,PROMO)]" in plan and "p_retailprice" not in plan
+
+
+def test_forecast_queries_train_every_model_on_every_copy(spark, monkeypatch):
+    from quillcast.operators import models
+
+    sizes = []
+
+    def fit(df, features, label):
+        sizes.append(df.count())
+        return models._affine([0.0] * len(features), 1.0, features)
+
+    for m in models.MODELS:
+        monkeypatch.setitem(models.ESTIMATORS, m, fit)
+    assert {r.n_models for r in registry.QUERIES["predict_batch"](spark, DATA).collect() if r.status == "ok"} == {6}
+    assert {r.model for r in registry.QUERIES["score_long"](spark, DATA).collect()} == set(models.MODELS)
+    assert {r.model for r in registry.QUERIES["model_report"](spark, DATA).collect()} == set(models.MODELS)
+    for m in models.MODELS:
+        assert [r.model for r in registry.QUERIES[f"fit_{m}"](spark, DATA).collect()] == [m]
+    rows = 100 * spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert len(sizes) == 24 and all(0.75 * rows < n < 0.85 * rows for n in sizes)
