@@ -67,7 +67,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+"))
     left = lambda kept: F.length(F.regexp_replace(text, kept, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    by_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeat"), F.coalesce(F.when(F.length(text) > 1000, F.array_max(F.transform(w, F.length))), F.lit(0)).alias("longest")))
+    by_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeat"), F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).alias("longest")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     out = docs.select(
         *own, by_words.alias("_w"), by_lines.alias("_l"), left("[^#*$%&|<>]+").alias("_s"), left("[^A-ZÀ-ÖØ-Þ]+").alias("_u"), left("[^!]+").alias("_e"), left("[^0-9]+").alias("_d"),

@@ -226,6 +226,12 @@ def test_quality_of_labelled_documents(spark):
     assert good.filter("kept").count() / good.count() > 0.98
 
 
+def test_longest_run_of_short_texts(spark):
+    texts = [(1, "one three  eleven\tx"), (2, ""), (3, None), (4, " \n"), (5, "y" * 1000), (6, "a " * 600 + "four")]
+    got = {r.doc_id: r.longest_run for r in quality.ledger(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: 6, 2: 0, 3: 0, 4: 0, 5: 1000, 6: 4}
+
+
 # 6. personal data
 
 
