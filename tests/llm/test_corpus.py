@@ -244,6 +244,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(len(got[k].base.email) == 1 for k, _ in seeds)
 
 
+def test_contexts_reach_a_second_generation(spark):
+    seeds = [(k, f"write to contact: user{k}@mail.example and nothing else here") for k in range(30)]
+    both = [(100 + k, f"as before contact: AB-{k:06d} is what we have") for k in range(6)] + [(200 + k, f"please show badge AB-{k:06d} at the door") for k in range(6)]
+    further = [(300, "please show badge AB-777777 at the door")]
+    other = [(400 + k, f"the year was {k:06d} or so") for k in range(9)]
+    got = {r.doc_id: r for r in pii.find_personal(spark.createDataFrame(seeds + both + further + other, "doc_id long, text string")).collect()}
+    assert all(len(got[k].context) == 1 for k, _ in both + further) and all(not got[k].context for k, _ in other)
+
+
 def test_personal_data_by_brute_force(spark, tmp_path):
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
