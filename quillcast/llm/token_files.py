@@ -17,19 +17,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillcast.llm.common import keep, shared_dir, table
 from quillcast.llm.range_coder import TOGETHER, decode, encode
+from quillcast.llm.text_arrays import slices, text_buffers
 
 BLOCK_IDS = 1 << 17
 END = 2
-#: Entries of each of the two generations of a worker's cache of encoded stretches.
-CACHE = 400_000
+#: Stretches that a worker's cache keeps (about 40 bytes each), and how many the library gets as one text.
+MOST_KEPT, TOGETHER_STRETCHES = 1 << 20, 2000
+#: Bytes of text whose stretches are found at once.
+SLICE_BYTES = 8 << 20
 #: Characters that some Unicode versions count as white space: no stretch begins or ends with one.
 ODD = "\u180e\u200b\u2060\ufeff"
+#: What no text holds where it is cut fast, and texts that are cut slowly: with it, or with a blank beside anything but a plain character.
+MARK = "\x00"
+_WHITE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}"
+ODD_BLANKS = f"\\x00|\\A |[{_WHITE}] | [{_WHITE}]| \\z"
+#: A blank and Latin letters, and the signs after them.
+WORD_AND_SIGNS = "^(?P<word> [A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]+)(?P<signs>[\\x21-\\x26\\x28-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]*)$"
 SCHEMA = "part long, block long, first long, doc_ids array<long>, n_ids array<long>, payload binary"
 
 
@@ -40,65 +50,78 @@ def vocabulary_file() -> str:
 
 
 class Encoder:
-    """Ids (little-endian uint32 bytes) of whole texts, as the library gives them.
+    """Ids of whole texts, as the library gives them with its defaults (a special token's string is that token).
 
     The byte-level pre-tokenizer always begins a new piece at a single blank between two characters that
-    aren't white space, and nothing before such a place bears on what follows it. So a text is cut there,
-    and the library encodes each different stretch once; other texts' equal stretches come from the cache."""
+    aren't white space, and nothing before such a place bears on what follows it. So a text is cut there, the
+    different stretches of many texts are found at once, and the library encodes those that are new. The others
+    come from a cache in Arrow and numpy: its stretches, the place of each one's ids, and when each was last met.
+    With MOST_KEPT stretches it holds about 40 MB, and the half that was not met for longest goes."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, most_kept: int = MOST_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.blank = np.zeros(self.size, bool)
         self.blank[[k for t, k in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        #: Stretches after a blank and others: those of late, and those of the generation before.
-        self.caches: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-
-    def _library(self, stretches: list[str], before: str) -> list[bytes]:
-        """Ids of each stretch. Those after a blank that hold no white space are encoded as one text: the ids that
-        begin with a blank part them again."""
-        plain = [s for s in stretches if s.split() == [s] and (s.isascii() or not any(c in s for c in ODD))] if before else []
-        out: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, "<u4")
-            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4
-            data = ids.tobytes()
-            if len(at) != len(plain) + 1:
+        self.most_kept, self.tick = most_kept, 0
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _runs(self, stretches: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of different stretches. With `joined` each is a blank and characters that are
+        not white space; many are encoded as one text, and the ids that begin with a blank part them again."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(stretches), TOGETHER_STRETCHES):
+            part = stretches[k : k + TOGETHER_STRETCHES]
+            if not joined:
+                for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                    ids.append(np.array(e.ids, np.uint32))
+                    sizes.append(np.array([len(ids[-1])]))
+                continue
+            ids.append(np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32))
+            at = np.flatnonzero(self.blank[ids[-1]])
+            if len(at) != len(part):
                 raise ValueError("the ids of joined stretches can't be parted")
-            at = at.tolist()
-            out = {s: data[a:b] for s, a, b in zip(plain, at, at[1:])}
-        if len(out) == len(stretches):
-            return list(out.values())
-        rest = [s for s in stretches if s not in out]
-        if rest:
-            for s, e in zip(rest, self.tokenizer.encode_batch([before + s for s in rest], add_special_tokens=False)):
-                out[s] = np.array(e.ids, "<u4").tobytes()
-        return [out[s] for s in stretches]
-
-    def _learn(self, stretches, before: str) -> None:
-        """Put stretches into the cache, from the generation before or from the library."""
-        cache, older = self.caches[before], self.older[before]
-        if len(cache) > CACHE:
-            self.older[before], self.caches[before] = older, cache = cache, {}
-        known = {s: older[s] for s in stretches if s in older}
-        cache.update(known)
-        ask = [s for s in stretches if s not in known] if known else list(stretches)
-        if ask:
-            cache.update(zip(ask, self._library(ask, before)))
-
-    def _held(self, stretch: str, before: str) -> bytes:
-        """A stretch that was learned, in whichever generation it is by now."""
-        known = self.caches[before].get(stretch)
-        return self.older[before][stretch] if known is None else known
+            sizes.append(np.diff(np.append(at, len(ids[-1]))))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _library(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of different stretches that aren't in the cache.
+
+        Letters, and the signs that may follow them, are pieces of their own: both are encoded once."""
+        word = pc.extract_regex(fresh, WORD_AND_SIGNS)
+        is_word = word.is_valid().to_numpy(zero_copy_only=False)
+        word, others = word.drop_null(), fresh.filter(pa.array(~is_word)).to_pylist()
+        # The blank is part of the word; a word that is in the cache isn't encoded again.
+        heads, signs = (pc.struct_field(word, [k]).cast(pa.large_string()).dictionary_encode() for k in (0, 1))
+        held = pc.index_in(heads.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(held < 0)
+        plain = np.array([s[:1] == " " and s.split() == [s[1:]] and not any(x in s for x in self.special) and (s.isascii() or not any(c in s for c in ODD)) for s in others], bool)
+        runs = [
+            self._runs(heads.dictionary.take(pa.array(new)).to_pylist(), True), self._runs(signs.dictionary.to_pylist(), False),
+            self._runs([s for s, p in zip(others, plain) if p], True), self._runs([s for s, p in zip(others, plain) if not p], False),
+        ]
+        ids = np.concatenate([self.ids, *(r[0] for r in runs)])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([r[1] for r in runs]))])
+        first = len(self.met) + np.append(0, np.cumsum([len(r[1]) for r in runs]))
+        held[new] = first[0] + np.arange(len(new))
+        # Two runs for each stretch; the second of all but words is empty.
+        which = np.full((len(fresh), 2), len(ends) - 1, np.int64)
+        ends = np.append(ends, ends[-1])
+        which[is_word] = np.column_stack([held[heads.indices.to_numpy()], first[1] + signs.indices.to_numpy()])
+        rest = np.flatnonzero(~is_word)
+        which[rest[plain], 0], which[rest[~plain], 0] = first[2] + np.arange(int(plain.sum())), first[3] + np.arange(int((~plain).sum()))
+        out, size = gather(ids, ends, which.reshape(-1))
+        return out, size.reshape(-1, 2).sum(axis=1)
 
     @staticmethod
     def stretches(text: str) -> list[str]:
-        """The text cut at the blanks that always begin a piece; all but the first had a blank before."""
+        """The text cut before the blanks that always begin a piece."""
         out: list[str] = []
         spaced = True  # whether what came before ends in white space (or nothing came before)
         for k, part in enumerate(text.split(" ")):
@@ -108,43 +131,77 @@ class Encoder:
             elif spaced or blank:
                 out[-1] += " " + part
             else:
-                out.append(part)
+                out.append(" " + part)
             spaced = not part or part[-1].isspace() or part[-1] in ODD
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        found: list[list] = []
-        missing: set[str] = set()
-        later = self.caches[" "]
-        for k, parts in enumerate(cut):
-            got = list(map(later.get, parts))
-            new = {p for p, g in zip(parts[1:], got[1:]) if g is None} if None in got else set()
-            # What is in the cache neither begins nor ends with white space.
-            if any(not p or p[0].isspace() or p[-1].isspace() or p[0] in ODD or p[-1] in ODD for p in new) or not parts[0] or parts[0][-1].isspace() or parts[0][-1] in ODD:
-                cut[k] = parts = self.stretches(texts[k])
-                got = list(map(later.get, parts))
-                new = {p for p, g in zip(parts[1:], got[1:]) if g is None}
-            missing |= new
-            found.append(got)
-        if missing:
-            self._learn(missing, " ")
-        heads = {parts[0] for parts in cut}
-        if heads := heads - self.caches[""].keys():
-            self._learn(heads, "")
-        out, later = [], self.caches[" "]
-        for parts, got in zip(cut, found):
-            if None in got:
-                got = list(map(later.get, parts))
-            got[0] = self._held(parts[0], "")
-            if None in got:  # a generation ended in between
-                got = [self._held(p, " ") if g is None else g for p, g in zip(parts, got)]
-            out.append(b"".join(got))
-        return out
+    @staticmethod
+    def _cut(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All stretches of the texts of a column, and where each text's begin."""
+        # A mark before each blank: the parts keep their blanks. Texts that hold the mark, or white space at a
+        # blank or another blank, are cut one by one.
+        odd = pc.match_substring_regex(col, ODD_BLANKS)
+        safe = pc.if_else(odd, "", col)
+        parts = pc.split_pattern(pc.replace_substring(safe, " ", MARK + " "), MARK)
+        values, ends = parts.flatten(), np.frombuffer(parts.buffers()[1], np.int64 if pa.types.is_large_list(parts.type) else np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+        ends = ends - ends[0]
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return values, ends
+        own = [Encoder.stretches(col[k].as_py()) for k in at.tolist()]
+        counts = np.diff(ends)
+        # One empty part stands in for each odd text: in its place come the text's stretches.
+        extra = pa.array([s for x in own for s in x], values.type)
+        n_own = np.array([len(x) for x in own], np.int64)
+        own_begin = np.cumsum(n_own) - n_own
+        begin = ends[:-1].copy()
+        begin[at], counts[at] = len(values) + own_begin, n_own
+        first = np.cumsum(counts) - counts
+        take = np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(first, counts) + np.repeat(begin, counts)
+        return pa.concat_arrays([values, extra]).take(pa.array(take)), np.append(first, int(counts.sum()))
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column one after the other, number of ids of each); a null is an empty text."""
+        col = col.fill_null("").cast(pa.large_string())
+        values, ends = self._cut(col)
+        coded = values.dictionary_encode()
+        different, index = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(different, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = different.take(pa.array(new))
+            ids, size = self._library(fresh)
+            at[new] = len(self.met) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.tick += 1
+        self.met[at] = self.tick
+        which = at[index]
+        out, size = gather(self.ids, self.ends, which)
+        total = np.append(0, np.cumsum(size))
+        if len(self.met) > self.most_kept:
+            self._forget()
+        return out, np.diff(total[ends])
+
+    def _forget(self) -> None:
+        """Keep the later half of the cache by when each stretch was met."""
+        keep = np.sort(np.argsort(self.met, kind="stable")[-(self.most_kept // 2) :])
+        self.ids, size = gather(self.ids, self.ends, keep)
+        self.ends, self.met = np.append(0, np.cumsum(size)), self.met[keep]
+        self.known = self.known.take(pa.array(keep))
+
+
+def gather(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids named by `which`, one after the other, and their sizes."""
+    begin, size = ends[which], ends[which + 1] - ends[which]
+    first = np.cumsum(size) - size
+    return ids[np.arange(int(size.sum())) + np.repeat(begin - first, size)], size
 
 
 def _worker(source: str) -> Encoder:
-    """The encoder of this worker process; kept from task to task."""
+    """The encoder of this worker process; kept from task to task, with its bounded cache."""
     state = sys.modules.setdefault("quillcast_worker", types.ModuleType("quillcast_worker"))
     held = getattr(state, "encoder", None)
     if held is None or held[0] != hash(source):
@@ -152,15 +209,26 @@ def _worker(source: str) -> Encoder:
     return held[1]
 
 
+def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts one after the other, each followed by `end`, and their numbers."""
+    counts = counts + 1
+    last = np.cumsum(counts) - 1
+    own = np.ones(int(counts.sum()), bool)
+    own[last] = False
+    out = np.full(len(own), end, np.uint32)
+    out[own] = ids
+    return out, counts
+
+
 def _write(held, end: int, block_ids: int):
     def run(batches):
         encoder = _worker(held.value)
-        tail, size = np.array([end], "<u4").tobytes(), max(encoder.size, end + 1)
+        size = max(encoder.size, end + 1)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         blocks: list[tuple[list, list, list]] = []
-        ids: list[bytes] = []
         docs: list = []
         counts: list[int] = []
+        ids: list[np.ndarray] = []
         held_ids = 0
 
         def pack() -> None:
@@ -171,7 +239,7 @@ def _write(held, end: int, block_ids: int):
 
         def flush():
             nonlocal block, before
-            coded = encode([np.frombuffer(b"".join(b[2]), "<u4") for b in blocks], size)
+            coded = encode([np.concatenate(b[2]) for b in blocks], size)
             rows = {"part": [], "block": [], "first": [], "doc_ids": [], "n_ids": [], "payload": coded}
             for d, n, _ in blocks:
                 for k, v in (("part", part), ("block", block), ("first", before), ("doc_ids", d), ("n_ids", n)):
@@ -183,19 +251,20 @@ def _write(held, end: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
 
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part_rows = batch.slice(at, 64)
-                texts = [t or "" for t in part_rows.column(1).to_pylist()]
-                for doc, coded in zip(part_rows.column(0).to_pylist(), encoder.encode(texts)):
-                    n = len(coded) // 4 + 1
+            col = batch.column(1)
+            for lo, hi in slices(text_buffers(col)[1], SLICE_BYTES):
+                every, sizes = with_end(*encoder.encode(col.slice(lo, hi - lo)), end)
+                at = 0
+                for doc, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), sizes.tolist()):
                     if held_ids and held_ids + n > block_ids:
                         pack()
-                    ids += (coded, tail)
+                        if len(blocks) >= TOGETHER:
+                            yield flush()
+                    ids.append(every[at : at + n])
                     docs.append(doc)
                     counts.append(n)
                     held_ids += n
-                if len(blocks) >= TOGETHER:
-                    yield flush()
+                    at += n
         pack()
         if blocks:
             yield flush()
