@@ -2,13 +2,17 @@
 
 Targets: the sources' weights share the words of all documents; a source gives at most `epochs` times its
 own words, and what is over goes to the others by weight (in closed form, over one row per source).
-Schedule: target / block slots for each source are laid end to end on a line of 2 ** m cells; slot number n
-of the schedule is the cell at the n-th van der Corput point, so every stretch of the schedule has each
-source in proportion. Slots are ranked within their source; rank k takes the k-th block of `block` words of
-the source's shuffled stream of documents (repeated for each epoch), and documents join by (source, block).
-
+Schedule: 2 ** m slots of `block` words. Slot n asks the n-th van der Corput point which source it takes from:
+the one in whose stretch of the cumulative targets the point lies. So the points decide how many slots a source
+has (its target / block, to one slot) and every stretch of the schedule has each source in proportion.
+Slots are ranked within their source; rank k takes the k-th block of `block` words of the source's shuffled
+stream of documents (repeated for each epoch, and not beyond the last), and documents join by (source, block).
+
+A block has about the cube root of all words: the slots, and with them the joins, grow less than the
+words do, and the one slot by which a source can miss its target becomes ever smaller beside it.
 Ranks and running word counts are kept in two levels (buckets of a hash or of slot numbers, then within
-a bucket), so that a source with a third of all rows is dealt over thousands of groups.
+a bucket), so that a source with a third of all rows is dealt over thousands of groups. Joins with tables that
+grow with the input are merge joins: nothing but the row a source is broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +22,7 @@ from pyspark.sql import functions as F
 
 from quillcast.llm.common import WS, keep, prefix_sums, table
 
-#: Words of a block, and buckets (as bits) within a source.
-BLOCK = 512
+#: Buckets (as bits) within a source, and cells of the schedule that are made together.
 BITS = 12
 CHUNK = 4096
 
@@ -29,11 +32,13 @@ def n_words(text: str) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+"))).cast("long")
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int = BLOCK) -> DataFrame:
-    """One row per source of sized(source, size): sid, source, source_size, target, take (its whole words),
-    first and slots (its cells on the line), all_slots.
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
+    """One row per source of sized(source, size): sid, source, source_size, target, bits and block (the schedule has
+    2 ** bits slots of `block` words), first and slots (the source's stretch of the points, in units of 2 ** -bits), and
+    take (the whole words that its slots can take).
 
     Sources take `weights` in turn by code point, null last. A source without words has target 0."""
+    # Windows without a partition: this table has a row for each source, and no more.
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = per.withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))).cast("long"))
     per = per.withColumn("w", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("sid") - 1, F.lit(len(weights))).cast("int")))
@@ -45,56 +50,63 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epoch
     per = per.withColumn("level", (F.sum("source_size").over(every) - sums("cap", before)) / (F.sum("w").over(every) - sums("w", before)))
     per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     per = per.withColumn("target", F.least("cap", F.col("level") * F.col("w")))
-    per = per.withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * epochs))
-    per = per.withColumn("slots", F.ceil(F.col("take") / F.lit(block)).cast("long"))
-    first = F.coalesce(F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select("sid", "source", "source_size", "target", "take", first.alias("first"), "slots", F.sum("slots").over(every).alias("all_slots"))
+    # Cumulative targets in whole words, so that every engine draws the same bounds.
+    per = per.withColumn("whole", F.least(F.round("target").cast("long"), F.col("source_size") * epochs))
+    per = per.withColumn("upto", F.sum("whole").over(Window.orderBy("sid"))).withColumn("all", F.sum("whole").over(every))
+    per = per.withColumn("bits", F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("all"), F.lit(1)).cast("double")) * F.lit(2 / 3)).cast("int")))
+    # The points lie on the grid of 2 ** -bits: a stretch [a, b) of the cumulative targets has those from ceil(a) to ceil(b) - 1 in its units.
+    per = per.withColumn("cells", F.pow(F.lit(2.0), F.col("bits")).cast("decimal(17,0)"))
+    edge = lambda c: F.expr(f"coalesce((CAST(`{c}` AS DECIMAL(20,0)) * cells + `all` - 1) div nullif(CAST(`all` AS DECIMAL(20,0)), 0), 0L)")
+    per = per.withColumn("from", F.col("upto") - F.col("whole")).withColumn("first", edge("from")).withColumn("slots", edge("upto") - F.col("first"))
+    per = per.withColumn("block", F.ceil(F.col("all") / F.pow(F.lit(2.0), F.col("bits"))).cast("long"))
+    take = F.least(F.col("slots") * F.col("block"), F.col("source_size") * epochs)
+    return per.select("sid", "source", "source_size", "target", "bits", "block", "first", "slots", take.alias("take"))
 
 
 def schedule(targets: DataFrame) -> DataFrame:
     """(sid, k, slot): the slot of the schedule that takes the k-th block of a source.
 
-    The line of cells is cut into chunks; a chunk's cells are made where the chunk was dealt to."""
-    all_slots = targets.agg(F.max("all_slots")).first()[0] or 0
-    bits = max(1, (max(1, all_slots) - 1).bit_length())
+    Slot n has the n-th van der Corput point, whose cell is n with its bits reversed; so the slots of a source
+    are the reversed cells of its stretch. Cells are cut into chunks, and made where the chunk was dealt to."""
+    bits = targets.agg(F.max("bits")).first()[0] or 1
     chunks = targets.filter("slots > 0").select("sid", "first", "slots", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("first") + F.col("slots") - 1) / CHUNK))).alias("chunk"))
     chunks = chunks.repartition("sid", "chunk")
     cells = chunks.select("sid", F.explode(F.sequence(F.greatest("first", F.col("chunk") * CHUNK), F.least(F.col("first") + F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("cell"))
     slot = F.conv(F.reverse(F.lpad(F.bin("cell"), bits, "0")), 2, 10).cast("long")
     slots = cells.select("sid", slot.alias("slot"))
     slots = slots.withColumn("bucket", F.shiftright("slot", max(0, bits - BITS))).withColumn("one", F.lit(1).cast("long"))
-    ranks = slots.join(prefix_sums(slots, ["sid"], "bucket", "one"), ["sid", "bucket"])
+    ranks = slots.join(prefix_sums(slots, ["sid"], "bucket", "one").hint("merge"), ["sid", "bucket"])
     k = F.col("before_one") + F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("slot")) - 1
     return ranks.select("sid", k.alias("k"), "slot")
 
 
 def shuffled(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """sized with sid, take, source_size and off, the words before a document in its source's shuffled stream."""
+    """sized with sid, take, block, source_size and off, the words before a document in its source's shuffled stream."""
     # md5 orders documents alike on every engine; ties of whole rows are interchangeable.
     h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    rows = sized.join(targets.select("sid", F.col("source").alias("_s"), "source_size", "take"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = sized.join(F.broadcast(targets.select("sid", F.col("source").alias("_s"), "source_size", "take", "block")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("h", h).withColumn("bucket", F.conv(F.substring("h", 1, BITS // 4), 16, 10).cast("long"))
-    rows = rows.join(prefix_sums(rows, ["sid"], "bucket", "size"), ["sid", "bucket"])
+    rows = rows.join(prefix_sums(rows, ["sid"], "bucket", "size").hint("merge"), ["sid", "bucket"])
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("off", F.col("before_size") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("h", "bucket", "before_size")
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> tuple[DataFrame, DataFrame]:
     """(pieces, targets) for a stored table sized(rid, doc_id, source, size).
 
     pieces has rid, slot, epoch, at (first word within the document) and words, in the order of the mix by
     slot. An empty table gives no pieces; a document without words has none; a null source is a source of
     its own; repeated rows are documents of their own; reruns agree."""
-    targets = keep(source_targets(sized, weights, epochs, block), "targets")
+    targets = keep(source_targets(sized, weights, epochs), "targets")
     slots = schedule(targets)
     rows = shuffled(sized.filter("size > 0"), targets).filter("take > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1) / F.col("source_size")))))
     rows = rows.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("off"))
     rows = rows.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("take"))).filter("begin < end")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
-    low, high = F.greatest("begin", F.col("k") * block), F.least("end", (F.col("k") + 1) * block)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))))
+    low, high = F.greatest("begin", F.col("k") * F.col("block")), F.least("end", (F.col("k") + 1) * F.col("block"))
     rows = rows.select("rid", "sid", "k", "epoch", (low - F.col("begin")).alias("at"), (high - low).alias("words"))
-    return rows.join(slots, ["sid", "k"]).select("rid", "slot", "epoch", "at", "words"), targets
+    return rows.join(slots.hint("merge"), ["sid", "k"]).select("rid", "slot", "epoch", "at", "words"), targets
 
 
 def size_documents(docs: DataFrame) -> DataFrame:
@@ -103,37 +115,47 @@ def size_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their own columns: each as often as the mix takes its words, to the nearest
-    whole number (only the document at which a source's target ends is taken in part). Documents without
-    words are not in the mix."""
-    rows = keep(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_size": n_words("text")}), "rows")
-    sized = rows.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size"))
-    pieces, _ = mix(sized)
-    taken = pieces.groupBy("rid").agg(F.sum("words").alias("_taken"))
-    copies = F.round(F.col("_taken") / F.col("_size")).cast("int")
-    chosen = rows.join(taken, F.col("_rid") == F.col("rid")).withColumn("_copies", copies).filter("_copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents of the mix with their own columns, in the order of the schedule: each as often as the mix takes its
+    words, to the nearest whole number (only where a source's slots end is a document taken in part), and each
+    copy at the slot that takes its first words. Documents without words are not in the mix. Any columns may be there."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = keep(rows, "rows")
+    pieces, _ = mix(rows.select("rid", "doc_id", "source", "size"))
+    copies = pieces.groupBy("rid", "epoch").agg(F.sum("words").alias("words"), F.min_by("slot", "at").alias("slot"))
+    chosen = rows.select("rid", "size", "row").join(copies.hint("merge"), "rid").filter("2 * words >= size")
+    return chosen.repartitionByRange("slot", "rid").sortWithinPartitions("slot", "rid").select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = size_documents(table(spark, sf_dir, "documents"))
     pieces, targets = mix(sized)
-    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"))
-    rows = sized.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    return rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
+    rows = sized.join(F.broadcast(targets.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return rows.join(taken.hint("merge"), "rid", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
+    )
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s),
 w AS (SELECT *, (sid - 1) % 3 + 1.0::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM r),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, w * max(CASE WHEN level <= cap / w THEN level END) OVER ()) AS target FROM l),
-o AS (SELECT doc_id, size, source_size, target, least(CAST(round(target) AS BIGINT), source_size * 3) AS take,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(off + size, take) - off) + greatest(0, least(off + size, take - source_size) - off) + greatest(0, least(off + size, take - 2 * source_size) - off) AS BIGINT) AS taken FROM o
+t AS (SELECT sid, source, source_size, least(cap, w * max(CASE WHEN level <= cap / w THEN level END) OVER ()) AS target FROM l),
+u AS (SELECT *, least(CAST(round(target) AS BIGINT), source_size * 3) AS whole FROM t),
+n AS (SELECT greatest(1, CAST(ceil(log2(greatest(sum(whole), 1)::DOUBLE) * (2.0::DOUBLE / 3)) AS INT)) AS bits, CAST(sum(whole) AS BIGINT) AS total FROM u),
+v AS (SELECT sid, CAST(sum(whole) OVER (ORDER BY sid) AS BIGINT) AS upto, whole FROM u),
+z AS (SELECT (1::BIGINT << bits) AS cells, bits, total, CAST(ceil(total / (1::BIGINT << bits)::DOUBLE) AS BIGINT) AS block FROM n),
+p AS (SELECT i AS slot, CAST(list_sum(list_transform(range(bits), lambda j: ((i >> j) & 1) << (bits - 1 - j))) AS HUGEINT) * total AS point, cells, block FROM z, unnest(range(cells)) AS q(i)),
+h AS (SELECT sid, slot, block, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM p JOIN v ON point >= CAST(upto - whole AS HUGEINT) * cells AND point < CAST(upto AS HUGEINT) * cells),
+b AS (SELECT sid, any_value(block) AS block, least(count(*) * any_value(block), any_value(3 * source_size)) AS take FROM h JOIN u USING (sid) GROUP BY sid),
+o AS (SELECT rid, sid, size, source_size, take, block, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN b USING (sid)),
+e AS (SELECT rid, sid, block, CAST(off + epoch * source_size AS BIGINT) AS lo, CAST(least(off + epoch * source_size + size, take) AS BIGINT) AS hi FROM o, unnest([0, 1, 2]) AS x(epoch) WHERE size > 0 AND off + epoch * source_size < take),
+c AS (SELECT rid, sid, block, lo, hi, unnest(range(lo // block, (hi - 1) // block + 1)) AS k FROM e),
+g AS (SELECT rid, CAST(sum(least(hi, (c.k + 1) * c.block) - greatest(lo, c.k * c.block)) AS BIGINT) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM c JOIN h ON h.sid = c.sid AND h.k = c.k GROUP BY rid)
+SELECT d.doc_id, d.size, u.source_size, u.target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN g USING (rid)
 """

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import WS, let, table
+from quillcast.llm.common import WS, keep, let, table
 
-#: Rule name and the condition, over the measurements, under which a document fails it. The order fixes the bits.
+#: Rule name and the condition, over the measurements, under which a document fails it. The order fixes the bits.
 RULES = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
@@ -86,8 +86,19 @@ def verdict(policy: str, failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of docs as a stored table without the text: policies and ablations read it, and the text is read once."""
+    return keep(ledger(docs.select("doc_id", "text")), "ledger")
+
+
+def apply_policies(found: DataFrame, *policies: str) -> DataFrame:
+    """A stored ledger with kept_<policy> for each policy: one bitwise AND each."""
+    return found.withColumns({f"kept_{p}": verdict(p) for p in policies})
+
+
 def accept(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
+    """The documents that the policy keeps, with their own columns. For this one policy the bits are used in the pass
+    that makes them; for several, or for ablations, see stored_ledger()."""
     found = ledger(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
     return found.filter(verdict(policy)).select("_row.*")
 
@@ -107,13 +118,20 @@ def ablation(found: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = apply_policies(stored_ledger(table(spark, sf_dir, "documents")), "base", "v1")
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~verdict("base")).alias("base_failed"), verdict("v1").alias("kept"), "failures",
+        (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), "failures", "longest_run",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policies' ablations, from one stored ledger."""
+    found = stored_ledger(table(spark, sf_dir, "documents"))
+    both = [ablation(found, p).select(F.lit(p).alias("policy"), "*") for p in POLICIES]
+    return both[0].union(both[1])
+
+
 OP5_SQL = r"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -128,5 +146,12 @@ m AS (SELECT a.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
 f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (2 * n_dup_lines > n_lines)::INT + 8 * (10 * n_symbols > n_words)::INT
   + 16 * (10 * word_chars < 22 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT + 64 * (2 * n_upper > word_chars)::INT + 128 * (10 * n_exclaim > 3 * n_words)::INT
   + 256 * (10 * n_digits > 4 * word_chars)::INT + 512 * (longest_run > 1000)::INT AS BIGINT) AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures, longest_run FROM f
+"""
+ABLATION_SQL = (
+    OP5_SQL.rsplit("SELECT doc_id, n_words", 1)[0]
+    + f""", p AS (SELECT unnest([{", ".join(f"{{'policy': '{p}', 'rule': '{r}', 'mask': {mask(p)}, 'bit': {1 << list(RULES).index(r)}}}" for p in POLICIES for r in POLICIES[p])}]) AS x)
+SELECT x.policy AS policy, x.rule AS rule, count(*) FILTER (failures & x.bit <> 0) AS n_failed, count(*) FILTER (failures & x.mask = x.bit) AS n_only, count(*) FILTER (failures & x.mask & ~x.bit = 0) AS n_kept_without
+FROM p, f GROUP BY ALL
 """
+)

@@ -6,7 +6,7 @@ from quillcast.llm.language import op4_identify_language
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quillcast.llm.pii import op6_find_personal_data
-from quillcast.llm.quality import OP5_SQL, op5_quality_rules
+from quillcast.llm.quality import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablation
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 from quillcast.llm.sharding import op8_shard
 from quillcast.llm.token_files import op7_token_files
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_identify_language": op4_identify_language,
     "op5_quality_rules": op5_quality_rules,
+    "quality_ablation": quality_ablation,
     "op6_find_personal_data": op6_find_personal_data,
     "op7_token_files": op7_token_files,
     "op8_shard": op8_shard,
@@ -27,6 +28,7 @@ ORACLE = {
     "op1_mix_sources": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
+    "quality_ablation": ABLATION_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }

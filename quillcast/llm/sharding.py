@@ -75,15 +75,15 @@ def _combine(parts: int):
 
 
 def assign(items: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
-    """(item, shard) for a stored table items(item long, size long) with different items.
+    """(item, shard) for a stored table items(item, size long) with different items of any type that can be ordered.
 
-    No items give no rows."""
+    Cells and ties go by the items themselves, so the result doesn't depend on partitions. No items give no rows."""
     level = items.select("item", F.array("size").alias("sizes"))
     n, levels = items.count(), []
     while True:
         cells = max(1, -(-n // fan))
         cell = F.pmod(F.xxhash64("item"), F.lit(cells)) if cells > 1 else F.lit(0).cast("long")
-        done = level.withColumn("cell", cell).groupBy("cell").applyInArrow(_combine(parts), "item long, cell long, place array<long>, totals array<long>")
+        done = level.withColumn("cell", cell).groupBy("cell").applyInArrow(_combine(parts), f"item {level.schema['item'].dataType.simpleString()}, cell long, place array<long>, totals array<long>")
         done = keep(done, "level")
         levels.append(done.select("item", "cell", "place"))
         if cells == 1:
@@ -103,19 +103,18 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     size is the UTF-8 bytes of the text (null: none) plus 1; rows with equal texts (null like empty) share a
     shard, so one group of copies may alone be larger than a shard's share. slot counts the rows of a shard
-    from 0 without gaps, by a hash of doc_id. Repeated rows and null ids get slots of their own."""
+    from 0 without gaps, by a hash of doc_id. Groups are numbered by the digest of their text, so the shards are the
+    same however the rows are partitioned. Repeated rows and null ids get slots of their own."""
     text = F.coalesce("text", F.lit(""))
     digest = F.sha2(text, 256)
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(digest).alias("digest"))
-    rows = keep(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
-    groups = keep(groups.withColumn("item", F.monotonically_increasing_id()), "groups")
-    placed = groups.join(assign(groups.select("item", "size"), shards), "item").select("digest", "shard")
-    placed = keep(placed, "placed")
+    rows = keep(rows, "rows")
+    groups = keep(rows.groupBy(F.col("digest").alias("item")).agg(F.sum("size").alias("size")), "groups")
+    placed = keep(assign(groups, shards).select(F.col("item").alias("digest"), "shard"), "placed")
     dealt = rows.join(placed, "digest").withColumn("h", F.xxhash64("doc_id", F.lit("slot")))
-    dealt = keep(dealt.select("rid", "doc_id", "size", "text_crc32", "shard", "h").withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLOT_BUCKETS)).cast("long")).withColumn("one", F.lit(1).cast("long")), "dealt")
+    dealt = keep(dealt.select("doc_id", "size", "text_crc32", "shard", "h").withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLOT_BUCKETS)).cast("long")).withColumn("one", F.lit(1).cast("long")), "dealt")
     before = keep(prefix_sums(dealt, ["shard"], "bucket", "one"), "before")
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32", "rid")) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32")) - 1
     return dealt.join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before_one") + rank).alias("slot"))
 
 
