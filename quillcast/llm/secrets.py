@@ -1,10 +1,15 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams of lower-cased text is derived: an OR of
-alternatives, each an AND of trigrams that every match must hold. The index has postings (trigram, doc_id)
-for the trigrams that queries name. A rule's postings are intersected (a document needs all trigrams of
+alternatives, each an AND of trigrams that every match must hold. The index has postings (trigram, text)
+for the trigrams that queries name. A rule's postings are intersected (a text needs all trigrams of
 one alternative), and only its candidates are verified with the regular expression; a rule without a
 mandatory trigram scans every text. DataFrame operations only.
+
+Texts are named by a digest. Two passes read them: the first makes the postings and scans for the rules that
+have no trigram, and what it stores is narrow; the second verifies candidates. A sieve of fixed size (a bit for
+each value of a hash that a candidate has) is broadcast to the second pass, so that only the texts of candidates,
+and the few others that share a candidate's bit, are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import re._parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import let, table
+from quillcast.llm.common import keep, let, table
 from quillcast.llm.spans import SPAN, digest, find_spans, tagged
 
 #: Kind, pattern, and the least length of the value after the keyword (0: no such condition).
@@ -34,6 +39,8 @@ MORE_RULES = [
 ]
 RULES = BASE_RULES + MORE_RULES
 MOST = 16
+#: Bits of the sieve: 16 MB, in bitmaps of 4 KB, at any number of documents.
+SIEVE = 1 << 27
 
 
 def trigram_query(pattern: str) -> list[set[str]] | None:
@@ -80,47 +87,63 @@ def trigram_query(pattern: str) -> list[set[str]] | None:
     return sorted(({s[k : k + 3] for k in range(len(s) - 2)} for s in best), key=sorted)
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, doc_id) for every document whose lower-cased text holds the trigram."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    held = let(low, lambda t: F.filter(F.array(*(F.lit(g) for g in trigrams)), lambda g: F.contains(t, g)))
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+def held_trigrams(text: Column, trigrams: list[str]) -> Column:
+    """Those of `trigrams` that the lower-cased text holds."""
+    return let(F.lower(text), lambda t: F.filter(F.array(*(F.lit(g) for g in trigrams)), lambda g: F.contains(t, g)))
 
 
-def candidates(docs: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
-    """(doc_id, rules): bit k is set if the document's postings fulfil the query of the k-th rule."""
-    spark = docs.sparkSession
+def candidates(index: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
+    """(key, rules) from postings index(key, trigrams): bit k is set if the text's postings fulfil the query of the k-th rule."""
     needs = [(k, a, g, len(alternative)) for k, (_, pattern, _) in enumerate(rules) for a, alternative in enumerate(trigram_query(pattern) or []) for g in sorted(alternative)]
-    query = spark.createDataFrame(needs, "rule int, alternative int, trigram string, needed int")
-    found = postings(docs, sorted({g for _, _, g, _ in needs})).join(F.broadcast(query), "trigram")  # a few rows for each rule
-    both = found.groupBy("doc_id", "rule", "alternative").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed")).filter("n = needed")
-    return both.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    query = index.sparkSession.createDataFrame(needs, "rule int, alternative int, trigram string, needed int")
+    # Copies of a text share a key: they become one posting in the first partial sum. The query has a few rows for each rule.
+    postings = index.select("key", F.explode("trigrams").alias("trigram")).join(F.broadcast(query), "trigram")
+    both = postings.groupBy("key", "rule", "alternative").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed")).filter("n = needed")
+    return both.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """(part, bits): bitmaps of the hashes of `key`, at most SIEVE bits in all."""
+    h = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
+    return keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """rows(key, ...) whose bit is set."""
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("key"), F.lit(SIEVE)))
+    rows = rows.withColumn("_part", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h").cast("int"))
+    rows = rows.join(F.broadcast(bits), F.col("_part") == F.col("part"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter((F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2) == 1).drop("_h", "_part", "_bit", "part", "bits")
 
 
 def find_secrets(docs: DataFrame, rules: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """(doc_id, spans) for every row of docs(doc_id, text): spans is an array per rule of (s, e, t).
 
-    A null or empty text has none. Candidates are joined by doc_id, null-safe; where rows share a doc_id
-    their candidates are joined too, and each row is verified by its own text. Very long texts are searched
-    whole. Nothing is dropped."""
+    A null or empty text has none. Rows are kept apart whatever their ids are; equal texts are verified once. Very
+    long texts are searched whole. Nothing is dropped."""
     rules = rules or RULES
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    able = candidates(docs, rules).select(F.col("doc_id").alias("_id"), "rules")
-    rows = docs.join(able, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("key"))
 
-    def verify(k: int, pattern: str, least: int) -> Column:
+    def spans(pattern: str, least: int) -> Column:
         found = find_spans(F.col("text"), pattern)
-        if least:
-            found = F.filter(found, lambda x: F.length(F.regexp_extract(x["t"], VALUE, 1)) >= least)
-        if trigram_query(pattern) is None:
-            return found
-        return F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, found).otherwise(F.array().cast(SPAN))
+        return F.filter(found, lambda x: F.length(F.regexp_extract(x["t"], VALUE, 1)) >= least) if least else found
 
-    return rows.select("doc_id", *(verify(k, p, c).alias(name) for k, (name, p, c) in enumerate(rules)))
+    named = sorted({g for _, pattern, _ in rules for alternative in trigram_query(pattern) or [] for g in alternative})
+    scanned = [(name, p, c) for name, p, c in rules if trigram_query(p) is None]
+    first = keep(docs.select("doc_id", "key", held_trigrams(F.col("text"), named).alias("trigrams"), *(spans(p, c).alias(name) for name, p, c in scanned)), "index")
+    able = keep(candidates(first, rules), "candidates")
+    texts = sifted(docs.select("key", "text"), sieve(able)).groupBy("key").agg(F.min("text").alias("text")).join(able, "key")
+    none = F.array().cast(SPAN)
+    verify = lambda k, p, c: F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, spans(p, c)).otherwise(none)
+    verified = keep(texts.select("key", *(verify(k, p, c).alias(name) for k, (name, p, c) in enumerate(rules) if trigram_query(p) is not None)), "verified")
+    rows = first.drop("trigrams").join(verified, "key", "left")
+    return rows.select("doc_id", *(F.coalesce(name, none).alias(name) for name, _, _ in rules))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = [r[0] for r in RULES]
     base = F.sort_array(F.concat(*(tagged(k, F.col(names[k])) for k in range(len(BASE_RULES)))))
     every = F.sort_array(F.concat(*(tagged(k, F.col(n)) for k, n in enumerate(names))))
