@@ -46,6 +46,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that keep() stored and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def let(value, body):
     """Evaluate the column `value` once per row and use it in `body(column)`; a plain reference inside
     a higher-order function would be evaluated for each element."""

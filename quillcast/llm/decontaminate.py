@@ -1,164 +1,288 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each Arrow batch of documents is one shard. Its words become ids of the benchmark's vocabulary (0 for
-any other word), its suffixes are sorted by their first words packed into one integer, and the suffix
-of every benchmark window is binary-searched in that order. The matches found are then compared word
-by word to the window's full length, and neighbouring matches on one diagonal give the longest verbatim
-match and its place. Nothing is shuffled: the documents are read once for each block of the benchmark.
-
-The benchmark is the query set. The driver reads it row by row and cuts it into blocks of at most
-`block_words` words (one larger item is a block of its own); only one block is broadcast to a pass, so
-what a worker holds is bounded whatever the size of the benchmark.
+Each slice of a batch of documents is one shard. Its words become ids of the benchmark's vocabulary (0 for any
+other word), and the suffixes that a window could begin are sorted by their first WINDOW words. Every different
+window of the benchmark is binary-searched in that order, key by key, which gives an interval of suffixes; a
+suffix is in one interval for each length of window at most, so all work is linear in the words of the shard
+whatever repeats. The longest verbatim match at a suffix that was hit comes from a binary search in the
+suffix array of the benchmark. Nothing is shuffled: the documents are read once for each block of the benchmark.
+
+The benchmark is the query set. Spark numbers its items into blocks of at most `block_words` words (one larger item
+is a block of its own) and builds each block in a task; the blocks are stored in the shared folder. One block is
+read and broadcast at a time. Between two blocks the documents are stored with what was found, and the
+block is destroyed; so workers and driver hold one block, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillcast.llm.common import table
-from quillcast.llm.text_arrays import ALNUM, LOWER, slices, text_buffers, word_bounds, word_hashes
+from quillcast.llm.common import discard, keep, prefix_sums, table
+from quillcast.llm.text_arrays import ALNUM, FAR, LOWER, mix, slices, text_buffers, word_bounds, word_hashes
 
 WINDOW = 10
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
+#: Words that are compared at once where a match is lengthened; then follow single words.
+STRIDE = 32
+
+
+def suffix_array(words: np.ndarray) -> np.ndarray:
+    """The places of all suffixes in order; 0 ends a suffix. By doubling of the sorted prefix."""
+    n, size = len(words), 1
+    rank = words.copy()
+    while True:
+        after = np.zeros(n, np.int64)
+        if size < n:
+            after[:-size] = rank[size:] + 1
+        after[rank == 0] = 0
+        key = rank * (n + int(rank.max(initial=0)) + 2) + after
+        _, new = np.unique(key, return_inverse=True)
+        # Ended suffixes stay at 0 and all alike.
+        new = np.where(words == 0, 0, new + 1)
+        if size >= n or len(np.unique(new)) == len(np.unique(rank)):
+            return np.argsort(new, kind="stable")
+        rank, size = new, size * 2
+
+
+def strides(words: np.ndarray, end: int) -> np.ndarray:
+    """A 64-bit hash of the next STRIDE words from each place; `end` sets apart where a text ends (the word 0)."""
+    h = mix(np.where(words == 0, np.uint64((1 << 60) + end), words.astype(np.uint64)) + FAR)
+    size = 1
+    while size < STRIDE:
+        after = np.full(len(h), end, np.uint64)
+        after[:-size] = h[size:]
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + after)
+        size *= 2
+    return h
 
 
 def make_block(ids: list[str], texts: list[str], window: int) -> dict:
-    """The windows of a block of items: vocabulary, word ids, and for each window its place, length and item."""
+    """A block of items: vocabulary, word ids with zeros after each item, its suffix array, and its different windows
+    with the sets of items that hold them."""
     data, offs = text_buffers(pa.array(texts, pa.large_string()))
     starts, ends, first = word_bounds(LOWER[data], offs, ALNUM)
     hashes = word_hashes(LOWER[data], starts, ends)
     vocabulary, words = np.unique(hashes, return_inverse=True)
-    at, length, item = [], [], []
-    for k in range(len(ids)):
-        n = int(first[k + 1] - first[k])
-        if n:
-            m = max(1, n - window + 1)
-            at.append(np.arange(m, dtype=np.int64) + first[k])
-            length.append(np.full(m, min(n, window), np.int64))
-            item.append(np.full(m, k, np.int64))
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    seen = np.zeros(1 << 16, bool)
+    sizes = np.diff(first)
+    item_of = np.repeat(np.arange(len(ids)), sizes)
+    place = np.arange(len(words)) + item_of * window
+    spaced = np.zeros(len(words) + (len(ids) + 1) * window, np.int64)
+    spaced[place] = words + 1
+    length = np.minimum(sizes, window)[item_of]
+    begins = np.arange(len(words)) - first[:-1][item_of] + length <= sizes[item_of]
+    at, length, item = place[begins], length[begins], item_of[begins]
+    rows = np.zeros((len(at), window), np.int32)
+    for k in range(window):
+        rows[:, k] = np.where(k < length, spaced[at + k], 0)
+    _, once, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    pair = np.unique(np.column_stack([which.reshape(-1), item]), axis=0)
+    bounds = np.searchsorted(pair[:, 0], np.arange(len(once) + 1))
+    sets: dict[bytes, int] = {}
+    members, holder = [], np.zeros(len(once), np.int64)
+    for k, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        own = pair[a:b, 1]
+        holder[k] = sets.setdefault(own.tobytes(), len(sets))
+        if holder[k] == len(members):
+            members.append(own)
+    seen = np.zeros(1 << 16, bool)  # the low bits of the vocabulary's hashes
     seen[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+    item_at = np.zeros(len(spaced), np.int64)
+    item_at[place] = item_of
     return {
-        "ids": ids, "vocabulary": vocabulary, "seen": seen, "window": window,
-        "words": np.concatenate([words.astype(np.int64) + 1, np.zeros(window, np.int64)]),
-        "at": cat(at), "length": cat(length), "item": cat(item),
+        "ids": ids, "vocabulary": vocabulary, "seen": seen, "window": window, "words": spaced, "item": item_at, "strides": strides(spaced, 1), "order": suffix_array(spaced)[(spaced == 0).sum() :],
+        "at": at[once], "length": length[once], "holder": holder, "members": members,
     }
 
 
-def benchmark_blocks(items: DataFrame, window: int, block_words: int):
-    ids, texts, n = [], [], 0
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    for r in rows.toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        n += len(r["t"]) // 4 + 1
-        if n >= block_words:
-            yield make_block(ids, texts, window)
-            ids, texts, n = [], [], 0
-    if ids:
-        yield make_block(ids, texts, window)
+def _build(window: int):
+    def run(key, t):
+        t = t.sort_by([("i", "ascending"), ("t", "ascending")])
+        block = make_block(t.column("i").to_pylist(), t.column("t").to_pylist(), window)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([pickle.dumps(block)], pa.binary())], names=["block", "data"])
+
+    return run
+
+
+def benchmark_blocks(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """A stored table (block, data) of the items' blocks. Equal items are one."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
+    rows = rows.withColumn("n", F.size(F.split("t", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long"))
+    rows = keep(rows.withColumn("bucket", F.pmod(F.xxhash64("i", "t"), F.lit(4096))).withColumn("one", F.lit(1)), "items")
+    # A block ends where the words so far pass a multiple of block_words; a bucket's items are in one block or follow each other.
+    before = prefix_sums(rows, ["one"], "bucket", "n")
+    block = F.floor(F.col("before_n") / block_words)
+    within = F.sum("n").over(_in_bucket())
+    rows = rows.join(F.broadcast(before), ["one", "bucket"]).withColumn("block", F.struct(block.alias("b"), F.floor((within - 1) / block_words).alias("c")))
+    rows = rows.select("i", "t", F.xxhash64("block").alias("block"))
+    return keep(rows.groupBy("block").applyInArrow(_build(window), "block long, data binary"), "blocks")
 
 
-def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All matches of windows in one shard: (window, word number in the shard, document in the shard)."""
+def _in_bucket():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("bucket").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _bisect(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, right: bool) -> np.ndarray:
+    """The first place in each [lo, hi) whose key is not below (with `right`: above) the value."""
+    lo, hi = lo.copy(), hi.copy()
+    go = np.flatnonzero(lo < hi)
+    while len(go):
+        mid = (lo[go] + hi[go]) >> 1
+        up = keys[mid] <= value[go] if right else keys[mid] < value[go]
+        lo[go] = np.where(up, mid + 1, lo[go])
+        hi[go] = np.where(up, hi[go], mid)
+        go = go[lo[go] < hi[go]]
+    return lo
+
+
+def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All matches of different windows in one shard: (window, word number in the shard, document), and the shard's
+    words with a gap of `window` zeros after each document. No word begins more than one match of each length."""
     window, vocabulary, none = block["window"], block["vocabulary"], np.zeros(0, np.int64)
     maybe = np.flatnonzero(block["seen"][(hashes & np.uint64(0xFFFF)).astype(np.int64)])
     if not len(maybe) or not len(block["at"]):
-        return none, none, none
+        return none, none, none, none
     near = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
     same = vocabulary[near] == hashes[maybe]
     places = maybe[same]
-    # A gap of `window` zeros after each document keeps suffixes within it.
     doc = np.searchsorted(first, places, "right") - 1
-    words = np.zeros(len(hashes) + window * len(first), np.int64)
+    words = np.zeros(len(hashes) + window * (len(first) + 1), np.int64)
     suffix = places + doc * window
     words[suffix] = near[same] + 1
+    # A window begins only where as many of the benchmark's words follow each other as the shortest one has.
+    full = words > 0
+    run = full.copy()
+    for k in range(1, int(block["length"].min())):
+        run[:-k] &= full[k:]
+    able = run[suffix]
+    suffix, doc = suffix[able], doc[able]
     bits = int(len(vocabulary) + 1).bit_length()
-    packed = min(window, 62 // bits)
-    key = np.zeros(len(suffix), np.int64)
-    for k in range(packed):
-        key = (key << bits) | words[suffix + k]
-    order = np.argsort(key)
-    key, suffix, doc = key[order], suffix[order], doc[order]
-    low = np.zeros(len(block["at"]), np.int64)
-    high = low.copy()
-    for k in range(packed):
-        inside = k < block["length"]
-        word = np.where(inside, block["words"][block["at"] + k], 0)
-        low = (low << bits) | word
-        high = (high << bits) | np.where(inside, word, (1 << bits) - 1)
-    lo, hi = np.searchsorted(key, low, "left"), np.searchsorted(key, high, "right")
-    found = np.flatnonzero(hi > lo)
-    counts = (hi - lo)[found]
-    which = np.repeat(found, counts)
-    begin = np.cumsum(counts) - counts
-    at = np.arange(len(which)) - np.repeat(begin, counts) + np.repeat(lo[found], counts)
-    where, doc = suffix[at], doc[at]
-    for k in range(packed, window):
-        fits = (k >= block["length"][which]) | (words[where + k] == block["words"][block["at"][which] + k])
-        which, where, doc = which[fits], where[fits], doc[fits]
-    return which, where - doc * window, doc
-
-
-def longest(which: np.ndarray, where: np.ndarray, doc: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each document with a match: document, words of the longest verbatim match, its first word, its item."""
-    item, diagonal = block["item"][which], where - block["at"][which]
-    o = np.lexsort((where, diagonal, item, doc))
-    which, where, doc, item, diagonal = which[o], where[o], doc[o], item[o], diagonal[o]
-    begins = np.ones(len(o), bool)
-    begins[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(where) != 1)
-    at = np.flatnonzero(begins)
-    size = np.diff(np.append(at, len(o))) - 1 + block["length"][which[at]]
-    o = np.lexsort((item[at], where[at], -size, doc[at]))
-    best = o[np.append(True, np.diff(doc[at][o]) != 0)] if len(o) else o
-    return doc[at][best], size[best], where[at][best], item[at][best]
-
-
-def merge(ranges: np.ndarray) -> np.ndarray:
-    """Sorted, disjoint [start, end) ranges that cover the same words."""
-    if not len(ranges):
-        return ranges
-    r = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(r[:, 1])
-    new = np.append(True, r[1:, 0] > reach[:-1])
-    return np.column_stack([r[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)]])
+    packed = max(1, 62 // bits)
+    keys = []
+    for k in range(0, window, packed):
+        key = np.zeros(len(suffix), np.int64)
+        for j in range(k, k + packed):
+            key = (key << bits) | (words[suffix + j] if j < window else 0)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    suffix, doc, keys = suffix[order], doc[order], [k[order] for k in keys]
+    which = np.arange(len(block["at"]))
+    lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(suffix), np.int64)
+    for k, key in enumerate(keys):
+        low = np.zeros(len(which), np.int64)
+        high = low.copy()
+        for j in range(k * packed, (k + 1) * packed):
+            inside = j < block["length"][which]
+            word = np.where(inside, block["words"][block["at"][which] + min(j, window - 1)], 0)
+            low = (low << bits) | word
+            high = (high << bits) | np.where(inside, word, (1 << bits) - 1)
+        if k:
+            lo, hi = _bisect(key, lo, hi, low, False), _bisect(key, lo, hi, high, True)
+        else:
+            lo, hi = np.searchsorted(key, low, "left"), np.searchsorted(key, high, "right")
+        found = np.flatnonzero(hi > lo)
+        which, lo, hi = which[found], lo[found], hi[found]
+    counts = hi - lo
+    at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+    return np.repeat(which, counts), suffix[at] - doc[at] * window, doc[at], words
+
+
+def longest_at(words: np.ndarray, at: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in `words`, the longest match of any suffix of the benchmark, and that suffix's item."""
+    bench, order, n = block["words"], block["order"], len(block["order"])
+    far, bench_far = strides(words, 2), block["strides"]
+    lo, hi = np.full(len(at), -1), np.full(len(at), n)
+    low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    while True:
+        go = np.flatnonzero(hi - lo > 1)
+        if not len(go):
+            break
+        mid = (lo[go] + hi[go]) >> 1
+        b, size = order[mid], np.minimum(low[go], high[go])
+        on = np.arange(len(go))
+        while len(on):
+            on = on[far[at[go[on]] + size[on]] == bench_far[b[on] + size[on]]]
+            size[on] += STRIDE
+        on = np.arange(len(go))
+        while len(on):
+            w = words[at[go[on]] + size[on]]
+            on = on[(w > 0) & (w == bench[b[on] + size[on]])]
+            size[on] += 1
+        up = words[at[go] + size] > bench[b + size]
+        lo[go], low[go] = np.where(up, mid, lo[go]), np.where(up, size, low[go])
+        hi[go], high[go] = np.where(up, hi[go], mid), np.where(up, high[go], size)
+    best = np.maximum(low, high)
+    return best, block["item"][order[np.where(low >= high, np.maximum(lo, 0), np.minimum(hi, n - 1))]]
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Sorted, disjoint [start, end) ranges of the n words that any of the ranges covers."""
+    step = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
+    on = np.concatenate([[False], np.cumsum(step) > 0])
+    return np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
 
 
 def _pass(held):
     def run(batches):
         block = held.value
+        window = block["window"]
         for batch in batches:
             names = batch.schema.names
-            for lo, hi in slices(text_buffers(batch.column(names.index("text")))[1]):
+            for lo, hi in slices(text_buffers(batch.column(names.index("_text")))[1]):
                 part = batch.slice(lo, hi - lo)
-                data, offs = text_buffers(part.column(names.index("text")))
+                data, offs = text_buffers(part.column(names.index("_text")))
                 data = LOWER[data]
                 starts, ends, first = word_bounds(data, offs, ALNUM)
-                which, where, doc = search(word_hashes(data, starts, ends), first[:-1], block)
+                which, where, doc, words = search(word_hashes(data, starts, ends), first[:-1], block)
                 out = {c: part.column(names.index(c)).to_pylist() for c in ("_hits", "_items", "_longest")}
-                n_words = np.diff(first)
-                hit_docs, begin = np.unique(np.sort(doc), return_index=True)
-                o = np.argsort(doc, kind="stable")
-                which, where = which[o], where[o]
-                for d, a, b in zip(hit_docs.tolist(), begin.tolist(), [*begin[1:].tolist(), len(o)]):
-                    w = which[a:b]
-                    r = np.column_stack([where[a:b], where[a:b] + block["length"][w]]) - first[d]
-                    old = np.array(out["_hits"][d] or [], np.int64).reshape(-1, 2)
-                    out["_hits"][d] = merge(np.concatenate([old, r])).reshape(-1).tolist()
-                    out["_items"][d] = sorted({*(out["_items"][d] or ()), *(block["ids"][k] for k in np.unique(block["item"][w]))})
-                o = np.argsort(o, kind="stable")
-                for d, size, at, k in zip(*(x.tolist() for x in longest(which[o], where[o], doc, block))):
-                    if size > (out["_longest"][d] or {"words": 0})["words"]:
-                        out["_longest"][d] = {"words": size, "at": at - int(first[d]), "item": block["ids"][k]}
+                if len(which):
+                    length = block["length"][which]
+                    # One row for each word that begins a match, with its longest window.
+                    o = np.lexsort((-length, where))
+                    o = o[np.append(True, np.diff(where[o]) != 0)]
+                    place, size, own = where[o], length[o], doc[o]
+                    match, item = longest_at(words, place + own * window, block)
+                    short = match < window
+                    size_of = np.where(short, size, match)
+                    short_item = np.array([block["members"][k][0] for k in block["holder"][which[o][short]]], np.int64)
+                    item[short] = short_item
+                    best = np.lexsort((place, -size_of, own))
+                    best = best[np.append(True, np.diff(own[best]) != 0)]
+                    for k in best.tolist():
+                        d = int(own[k])
+                        if size_of[k] > (out["_longest"][d] or {"words": 0})["words"]:
+                            out["_longest"][d] = {"words": int(size_of[k]), "at": int(place[k] - first[d]), "item": block["ids"][item[k]]}
+                    cover = covered(place, place + size, int(first[-1]))
+                    # A window doesn't reach into the next document, but the covers of two may touch: they are cut there.
+                    cuts = np.unique(first[1:-1])
+                    inner = cuts[(np.searchsorted(cover[:, 0], cuts, "left") > 0) & (cover[np.searchsorted(cover[:, 0], cuts, "left") - 1, 1] > cuts)]
+                    edges = np.sort(np.concatenate([cover.reshape(-1), inner, inner])).reshape(-1, 2)
+                    in_doc = np.searchsorted(first, edges[:, 0], "right") - 1
+                    for d in np.unique(in_doc).tolist():
+                        a, b = np.searchsorted(in_doc, [d, d + 1])
+                        r = (edges[a:b] - first[d]).reshape(-1)
+                        old = out["_hits"][d]
+                        if old:
+                            both = np.concatenate([np.array(old), r])
+                            r = covered(both[::2], both[1::2], int(both.max())).reshape(-1)
+                        out["_hits"][d] = r.tolist()
+                    pair = np.unique(np.column_stack([doc, block["holder"][which]]), axis=0)
+                    bound = np.searchsorted(pair[:, 0], np.unique(pair[:, 0]))
+                    for a, b in zip(bound.tolist(), [*bound[1:].tolist(), len(pair)]):
+                        d = int(pair[a, 0])
+                        members = np.unique(np.concatenate([block["members"][k] for k in pair[a:b, 1]]))
+                        out["_items"][d] = sorted({*(out["_items"][d] or ()), *(block["ids"][k] for k in members)})
                 arrays = []
                 for field in batch.schema:
                     if field.name == "_words":
-                        arrays.append(pa.array(n_words, pa.int64()))
+                        arrays.append(pa.array(np.diff(first), pa.int64()))
                     elif field.name in out:
                         arrays.append(pa.array(out[field.name], field.type))
                     else:
@@ -180,31 +304,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     own = [c for c in docs.columns if c not in new and c != "text"]
     empty = T.StructType([T.StructField("words", T.LongType()), T.StructField("at", T.LongType()), T.StructField("item", T.StringType())])
     df = docs.select(
-        *own, "text", F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"),
+        F.struct(*own).alias("_own") if own else F.lit(None).cast("string").alias("_own"), F.col("text").alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"),
         F.array().cast("array<string>").alias("_items"), F.lit(None).cast(empty).alias("_longest"),
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(items, window, block_words)] or [sc.broadcast(make_block([], [], window))]
-    for held in blocks:
-        df = df.mapInArrow(_pass(held), schema)
+    blocks = benchmark_blocks(items, window, block_words)
+    names = [r["block"] for r in blocks.select("block").orderBy("block").collect()]  # a number for each block
+    for k, name in enumerate(names or [None]):
+        data = make_block([], [], window) if name is None else pickle.loads(blocks.filter(F.col("block") == name).first()["data"])
+        held = sc.broadcast(data)
+        found = df.mapInArrow(_pass(held), schema)
+        if k + 1 < len(names):
+            found = keep(found, "found")
+            if k:
+                discard(df)
+            held.destroy()
+        df = found
     odd = F.filter("_hits", lambda _, i: i % 2 == 1)
     even = F.filter("_hits", lambda _, i: i % 2 == 0)
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-    out = df.withColumn("n_hit", total(odd) - total(even))
-    return out.select(
-        *own, *(["text"] if keep_text else []), F.col("_words").alias("n_words"), "n_hit", F.col("_items").alias("items"),
-        F.col("_longest").alias("longest"), (F.col("n_hit") > 0).alias("contaminated"),
+    return df.select(
+        *(F.col("_own")[c].alias(c) for c in own), *([F.col("_text").alias("text")] if keep_text else []), F.col("_words").alias("n_words"), (total(odd) - total(even)).alias("n_hit"),
+        F.col("_items").alias("items"), F.col("_longest").alias("longest"), (F.size("_hits") > 0).alias("contaminated"),
     )
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    own = [c for c in docs.columns if c != "text"]
-    named = docs.select("text", *(F.col(c).alias(f"_own{k}") for k, c in enumerate(own)))
-    found = find_leaks(named, items, window).filter("NOT contaminated")
-    back = {c: f"_own{k}" for k, c in enumerate(own)} | {"text": "text"}
-    return found.select(*(F.col(back[c]).alias(c) for c in docs.columns))
+    found = find_leaks(docs.select(F.struct(*docs.columns).alias("row"), "text"), items, window, keep_text=False)
+    return found.filter("NOT contaminated").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
