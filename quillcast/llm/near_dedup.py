@@ -9,7 +9,8 @@
    star with a random centre for each bucket follows where a bucket still holds several components.
 4. A star can't see a link between two members that aren't linked with a centre. So each bucket that still
    holds several components is finished exactly: its members outside its largest component are compared
-   with all of its members, in blocks of at most about 2 * `block` sets. Pairs stay inside a task.
+   with all of its members, in blocks of about 2 * `block_bytes` of sets (or of two sets, if one is larger).
+   Pairs stay inside a task.
 Components of the confirmed links are found with joins (components.py).
 """
 
@@ -24,6 +25,8 @@ from quillcast.llm.common import keep, table
 from quillcast.llm.components import components
 from quillcast.llm.text_arrays import LOWER, NOT_SPACE, mix, runs, slices, text_buffers, word_bounds, word_hashes
 
+#: Bytes of the sets in one half of a block, and pairs that one copy of a centre's set serves.
+BLOCK_BYTES, PAIRS = 4 << 20, 2048
 #: Documents without an id get a number from here on, by their text; it never leaves this module.
 NO_ID = 1 << 62
 
@@ -118,16 +121,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(percent: int):
+    """Links among rows (a, part, b, s) in order of (a, part, b): the row of each (a, part) with null b has the set of a."""
+
     def run(batches):
+        at, held = None, None
         for batch in batches:
-            a, b, x, y = (batch.column(k) for k in range(4))
-            last, held, ok = None, None, np.zeros(len(a), bool)
-            for k, (i, p, q) in enumerate(zip(a.to_pylist(), x, y)):
-                if i != last:
-                    last, held = i, np.frombuffer(p.as_buffer(), np.uint64)
-                ok[k] = similar(held, np.frombuffer(q.as_buffer(), np.uint64), percent)
-            keep_rows = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([a.filter(keep_rows), b.filter(keep_rows)], names=["a", "b"])
+            part, b, sets = (batch.column(k) for k in (1, 2, 3))
+            found = ([], [])
+            for k, (i, j, other) in enumerate(zip(batch.column(0).to_pylist(), part.to_pylist(), b.to_pylist())):
+                if other is None:
+                    at, held = (i, j), np.frombuffer(sets[k].as_buffer().to_pybytes(), np.uint64)
+                elif at == (i, j) and similar(held, np.frombuffer(sets[k].as_buffer(), np.uint64), percent):
+                    found[0].append(i)
+                    found[1].append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     return run
 
@@ -188,7 +195,7 @@ def _finish(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs(doc_id, text).
 
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased. A text with fewer words than `words` is one
@@ -201,39 +208,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     seen = docs.select(F.struct("doc_id", "node", F.xxhash64("text").alias("text_hash")).alias("row"), "text")
     seen = keep(seen.mapInArrow(_signatures(words, bands, rows), "row struct<doc_id: long, node: long, text_hash: long>, n long, f1 long, f2 long, keys array<long>").select("row.*", "n", "f1", "f2", "keys"), "seen")
     classes = keep(seen.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("rep"), F.first("keys").alias("keys")), "classes")
-    member = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = keep(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "buckets")
+    member = classes.select("rep", "n", F.explode("keys").alias("key"))
+    buckets = keep(member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("centre")).filter("size > 1"), "buckets")
     member = keep(member.join(buckets, "key"), "member")
-    stars = keep(member.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    # Sets of too different sizes can't be linked.
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    stars = keep(member.filter("rep <> centre.rep").filter(near(F.col("n"), F.col("centre.n"))).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     wanted = member.select(F.col("rep").alias("node")).distinct()
     sets = docs.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "node long, s binary")
     sets = keep(sets, "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        return keep(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+        """Links among pairs (a, b). A centre's set goes once to every PAIRS of its pairs, so none is a task's burden."""
+        parts = pairs.groupBy("a").agg(F.count("*").alias("pairs")).select("a", F.ceil(F.col("pairs") / PAIRS).alias("parts"))
+        parts = keep(parts, "parts")
+        part = F.pmod(F.xxhash64("b"), F.col("parts"))
+        ask = pairs.join(parts, "a").select("a", part.alias("part"), "b").join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "s")
+        centre = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
+        both = ask.union(centre).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+        return keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     def rooted(roots: DataFrame, members: DataFrame) -> DataFrame:
-        return members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        return members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
 
     def several(members: DataFrame) -> DataFrame:
         """Buckets with several components, with a random centre and the largest component."""
-        by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep"), "rep")).alias("pick"))
+        by_root = members.groupBy("key", "root").agg(F.sum("n").alias("n"), F.min(F.struct(F.xxhash64("key", "rep"), "rep", F.col("n").alias("pick_n"))).alias("pick"))
         return by_root.groupBy("key").agg(
             F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", "n").alias("main"), F.max("n").alias("main_size"),
-            F.max_by(F.struct("pick.rep", "root"), "n").alias("pick"),
+            F.max_by(F.struct("pick.rep", "pick.pick_n", "root"), "n").alias("pick"),
         ).filter("roots > 1")
 
     links = confirm(stars)
     roots = keep(components(links), "roots")
     # Pairs are all known in buckets of two.
-    open_ = keep(rooted(roots, member.filter("size > 2").select("key", "rep")), "open")
+    open_ = keep(rooted(roots, member.filter("size > 2").select("key", "rep", "n")), "open")
     picks = keep(several(open_).select("key", "pick"), "picks")
-    second = open_.join(picks, "key").filter("root <> pick.root").select(F.col("pick.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    second = open_.join(picks, "key").filter("root <> pick.root").filter(near(F.col("n"), F.col("pick.pick_n"))).select(F.col("pick.rep").alias("a"), F.col("rep").alias("b")).distinct()
     more = confirm(second.join(stars, ["a", "b"], "left_anti"))
     roots = keep(components(links.union(more)), "roots")
-    open_ = keep(rooted(roots, open_.select("key", "rep")), "open")
-    left = keep(several(open_).withColumn("side_blocks", F.ceil((F.col("size") - F.col("main_size")) / block)).withColumn("main_blocks", F.ceil(F.col("main_size") / block)).drop("pick"), "left")
+    open_ = keep(rooted(roots, open_.select("key", "rep", "n")), "open")
+    # Sizes are numbers of shingles of 8 bytes; the component of most of them is the main one.
+    halves = lambda c: F.ceil(c * 8 / F.lit(block_bytes))
+    left = keep(several(open_).withColumn("side_blocks", halves(F.col("size") - F.col("main_size"))).withColumn("main_blocks", halves(F.col("main_size"))).drop("pick"), "left")
     dealt = open_.join(left, "key").withColumn("side", F.col("root") != F.col("main"))
     own = F.when(F.col("side"), F.pmod(F.xxhash64("rep"), "side_blocks")).otherwise(F.pmod(F.xxhash64("rep"), "main_blocks"))
     dealt = dealt.withColumn("own", own)
@@ -258,12 +275,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One document of each group, with its own columns: that with the smallest doc_id.
 
-    Of rows that agree in doc_id and text one stays. Documents without words all stay, one for each doc_id."""
+    Of rows that agree in doc_id and text one stays, the first by its other columns as JSON. Documents without words
+    all stay, one for each doc_id and text. Any other columns may be there, under any names."""
     found = near_duplicates(docs.select("doc_id", "text"), words, percent, bands, rows).filter("kept")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return kept.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    kept = named.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    rest = [c for c in docs.columns if c != "text"]
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.to_json(F.struct(*(F.col("row")[c].alias(c) for c in rest)))))
+    return kept.withColumn("n", first).filter("n = 1").select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,7 +391,7 @@ def test_near_duplicates_by_brute_force(spark, rows, n, percent):
     texts = [r.text for r in rows] + mutated(1, 150) + mutated(2, 60) + ["Same", "same", "SAME  ", "a b", "A  B", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, sizes = brute_components(texts, n, percent)
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, words=n, percent=percent, bands=20, rows=5, block=16).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, words=n, percent=percent, bands=20, rows=5, block_bytes=16 * 900).collect()}
     assert [got[k].n_shingles for k in range(len(texts))] == sizes
     assert [got[k].component_id for k in range(len(texts))] == want
     assert all(got[k].kept == (want[k] == k) for k in range(len(texts)))
