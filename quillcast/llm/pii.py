@@ -32,7 +32,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TOKEN = rf"(?<![^{WS}])[^{WS}0-9]*+[0-9][^{WS}]*+"
 #: Bounds of the bootstrap: least score and least number of different accepted instances of a pattern, characters
 #: and digits of an identifier. A pattern is trusted if at most about 1.5 other things follow it for each accepted one.
-CONFIDENCE, SEEDS, LENGTH, DIGITS = 0.4, 5, 6, 4
+#: A word and a shape are a pattern only if one in 1 / RATE words after that word looks like an identifier.
+CONFIDENCE, SEEDS, LENGTH, DIGITS, RATE = 0.4, 5, 6, 4, 0.05
 #: Bits of the sieve through which the second pass looks for patterns; its size does not grow.
 SIEVE = 1 << 17
 
@@ -66,8 +67,8 @@ def base_entities(text: Column) -> Column:
 
 
 def shape(t: Column) -> Column:
-    """A token with every stretch of digits as 9, of capitals as A and of other letters as a."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[0-9]+", "9"), r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a")
+    """A token with every digit as 9, every capital as A and every stretch of other letters as a."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]+", "a")
 
 
 def patterns(x: Column) -> Column:
@@ -138,7 +139,11 @@ def trusted_patterns(docs: DataFrame, found: DataFrame) -> DataFrame:
     wanted = keep(edges.groupBy("p").agg(F.count("*").alias("n_v"), F.sum("n").alias("n_own")).filter(F.col("n_v") >= SEEDS), "wanted")
     n_all = keep(background(docs, wanted), "background")
     # A seed of several words is more than one word to the count of all; it counts itself at least.
-    total = wanted.join(n_all, "p", "left").select("p", F.greatest("n_own", F.coalesce("n_all", "n_own")).alias("n_all"))
+    counted = wanted.join(n_all, "p").select("p", "n_own", F.greatest("n_own", "n_all").alias("n_all"))
+    # The shape's pattern has as many instances as its word's at most, so the word was counted.
+    rare = counted.filter(F.col("p").startswith("1 ") & (F.col("n_own") < RATE * F.col("n_all"))).select(F.split("p", " ")[1].alias("l1"))
+    shapes = wanted.filter(F.col("p").startswith("4 ")).withColumn("l1", F.split("p", " ")[1]).join(rare, "l1", "left_anti").select("p", F.col("n_own").alias("n_all"))
+    total = counted.select("p", "n_all").union(shapes)
     edges = keep(edges.join(total, "p").select("p", "v", "n", "n_all"), "edges")
     accepted, last = seeds.withColumn("accepted", F.lit(True)), -1
     while True:
