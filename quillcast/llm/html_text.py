@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on shallow text features.
 
 A page becomes a list of blocks (the text between block-level tags). For each block there are its words and
-link density, those of the blocks before and after it, whether it is a heading, and where it stands: in
-a part that markup names as content, in one that it names as surroundings, or neither. Names count only as
-far as the words of a page bear them out: see `places`. A small decision tree, grown from the labelled table below when the operator is called, decides block by block.
+link density, those of the blocks before and after it, and whether it is a heading. Markup adds what it says of
+the part of the page in which the block stands (content, surroundings or nothing) and two shares: how many of the
+page's words outside of links are in that part, and how many are in named content. Names are features like the
+others: a frame that is called a sidebar but holds the page's words is not dropped for its name. A small decision
+tree, grown from the labelled pages below when the operator is called, decides block by block.
 """
 
 from __future__ import annotations
@@ -24,56 +26,76 @@ h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup opti
 HIDDEN = set("head script style noscript template svg iframe object canvas select textarea button title audio video math datalist".split())
 RAW = set("script style textarea title noscript template iframe".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-AROUND = set("nav footer aside form menu dialog".split())
+AROUND = set("nav footer aside form menu dialog header".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that name content and surroundings.
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|hentry|main|post|postbody|story|storybody)(?:$|[\s_-])", re.I)
-AROUND_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|author|alert|banner|bottom|breadcrumb|breadcrumbs|byline|comment|comments|consent|contentinfo|cookie|cookies|disqus|dialog|foot|footer|footnav|form|gdpr|header|infobar|login|masthead|menu|menubar|meta|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|popular|promo|promoted|promotion|recommended|related|replies|reply|respond|search|share|sharing|shop|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|teaser|toolbar|topbar|tracking|trending|widget|widgets)(?:$|[\s_-])",
-    re.I,
-)
-
-#: Elements whose names may say that they hold the content, names of a page's frame, and those of answers to the content.
+#: Parts of class, id and role names, our own choice: for the content, for surroundings, for answers to the content, and those that
+#: only say where or how. A name counts if each of its parts is in a list: `author-box` does, `author-analysis` doesn't.
+CONTENT_WORDS = set("article articlebody body content entry hentry main post postbody story storybody text".split())
+ANSWER_WORDS = set("comment comments commentlist commentarea commentform discussion disqus replies reply respond".split())
+AROUND_WORDS = ANSWER_WORDS | set("""ad ads adv advert adverts advertisement alert author banner breadcrumb breadcrumbs byline consent contentinfo cookie cookies dialog foot footer footnav
+form gdpr header infobar login masthead menu menubar meta modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted promotion recommended
+related search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar tracking trending widget widgets""".split())
+OTHER_WORDS = set("area bar block bottom box buttons column container field fixed global group icons info inner item items left link links list local message page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+
+#: Elements whose names may say that they hold the content.
 CONTAINERS = set("div section table center form".split())
-LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:layout|page|site|wrap|wrapper|container|outer|inner|grid|row|col|cols|column|columns|content|main)(?:$|[\s_-])", re.I)
-ANSWER_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply|respond|related|recommended)(?:$|[\s_-])", re.I)
 #: What can stand in a head.
 IN_HEAD = set("title meta link base basefont bgsound script style noscript noframes template".split())
 
-#: Words that say of the page that it has a part, and marks of parts that aren't shown.
+#: Words that say of the page that it has a part, and marks of what isn't shown.
 ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|show|hide)[_-]\w+", re.I)
 NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-HEADER_NAMES = re.compile(r"\b(?:article|entry|post|story|page|content)[_-]?header\b", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|(?=<)|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: The labelled table. place: 2 in content, 1 nowhere named on a page without named content, 0 nowhere named on a page
-#: whose named content holds most of the words, -1 in surroundings. Columns: words, link density, words before, link density before, words after,
-#: link density after, heading, place, label (1: main text).
-LABELLED = [
-    (85, 0.00, 9, 0.00, 120, 0.05, 0, 2, 1), (9, 0.00, 0, 0.00, 85, 0.00, 1, 2, 1), (42, 0.02, 60, 0.00, 33, 0.00, 0, 2, 1), (3, 0.00, 40, 0.00, 70, 0.00, 0, 2, 1),
-    (1, 0.00, 35, 0.00, 2, 0.00, 0, 2, 1), (14, 0.30, 50, 0.00, 61, 0.00, 0, 2, 1), (6, 0.50, 44, 0.00, 25, 0.00, 0, 2, 1), (120, 0.00, 0, 0.00, 0, 0.00, 0, 2, 1),
-    (25, 0.10, 2, 1.00, 31, 0.00, 0, 2, 1), (18, 0.00, 70, 0.00, 4, 1.00, 0, 2, 1), (5, 0.00, 1, 0.00, 6, 0.00, 0, 2, 1), (2, 0.00, 0, 0.00, 0, 0.00, 1, 2, 1),
-    (11, 0.90, 40, 0.00, 52, 0.00, 0, 2, 1), (4, 1.00, 55, 0.00, 47, 0.00, 0, 2, 1), (60, 0.00, 3, 1.00, 3, 1.00, 0, 2, 1), (7, 0.00, 4, 1.00, 90, 0.00, 1, 2, 1),
-    (8, 0.00, 40, 0.00, 4, 0.00, 0, 2, 1), (13, 0.00, 9, 0.00, 3, 0.00, 0, 2, 1), (4, 0.00, 3, 1.00, 5, 0.10, 1, 2, 1), (12, 0.00, 0, 0.00, 0, 0.00, 0, 2, 1),
-    (6, 0.00, 6, 0.00, 2, 1.00, 0, 2, 1), (10, 0.10, 5, 0.00, 5, 0.00, 0, 2, 1), (5, 0.00, 2, 1.00, 3, 1.00, 0, 2, 1), (11, 0.00, 70, 0.00, 1, 0.00, 0, 2, 1),
-    (7, 0.20, 8, 0.00, 0, 0.00, 0, 2, 1), (9, 0.00, 3, 1.00, 0, 0.00, 0, 2, 1), (4, 0.00, 2, 0.00, 4, 0.00, 0, 2, 1), (3, 0.00, 90, 0.00, 4, 0.00, 0, 2, 1),
-    (3, 1.00, 4, 1.00, 2, 1.00, 0, 2, 0), (5, 1.00, 3, 1.00, 6, 1.00, 0, 2, 0), (2, 1.00, 1, 1.00, 30, 0.00, 0, 2, 0), (6, 1.00, 80, 0.00, 5, 1.00, 0, 2, 0),
-    (8, 0.95, 7, 0.90, 9, 1.00, 0, 2, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 2, 0),
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, -1, 0), (12, 0.00, 1, 1.00, 9, 0.00, 0, -1, 0), (40, 0.00, 30, 0.00, 60, 0.00, 0, -1, 0), (90, 0.05, 12, 0.00, 45, 0.00, 0, -1, 0),
-    (3, 0.00, 5, 0.00, 0, 0.00, 1, -1, 0), (25, 0.20, 70, 0.00, 0, 0.00, 0, -1, 0), (8, 0.10, 50, 0.00, 0, 0.00, 0, -1, 0), (150, 0.00, 80, 0.00, 90, 0.00, 0, -1, 0),
-    (60, 0.00, 0, 0.00, 20, 0.00, 0, -1, 0), (5, 0.00, 3, 0.00, 70, 0.00, 0, -1, 0), (2, 0.00, 90, 0.00, 40, 0.00, 1, -1, 0), (16, 1.00, 2, 1.00, 1, 1.00, 0, -1, 0),
-    (4, 1.00, 5, 1.00, 3, 0.00, 0, 0, 0), (10, 0.00, 3, 1.00, 80, 0.00, 0, 0, 0), (30, 0.00, 60, 0.00, 5, 0.50, 0, 0, 0), (6, 0.00, 0, 0.00, 4, 1.00, 1, 0, 0),
-    (70, 0.00, 90, 0.00, 12, 0.00, 0, 0, 0), (15, 0.40, 40, 0.00, 0, 0.00, 0, 0, 0), (110, 0.02, 40, 0.00, 30, 0.00, 0, 0, 0), (2, 0.00, 80, 0.00, 0, 0.00, 0, 0, 0),
-    (150, 0.00, 90, 0.00, 60, 0.00, 0, 0, 1), (180, 0.05, 12, 0.00, 110, 0.00, 0, 0, 1), (240, 0.00, 3, 1.00, 4, 1.00, 0, 0, 1), (400, 0.02, 0, 0.00, 150, 0.00, 0, 0, 1),
-    (160, 0.80, 30, 0.90, 5, 1.00, 0, 0, 0), (250, 0.95, 60, 0.00, 10, 1.00, 0, 0, 0), (240, 0.00, 3, 1.00, 4, 1.00, 0, -1, 0), (400, 0.02, 0, 0.00, 150, 0.00, 0, -1, 0), (180, 0.05, 12, 0.00, 110, 0.00, 0, -1, 0),
-    (95, 0.00, 7, 0.00, 60, 0.00, 0, 1, 1), (38, 0.05, 60, 0.00, 75, 0.00, 0, 1, 1), (22, 0.00, 45, 0.00, 3, 1.00, 0, 1, 1), (18, 0.00, 2, 1.00, 50, 0.00, 0, 1, 1),
-    (8, 0.00, 3, 1.00, 85, 0.00, 1, 1, 1), (5, 0.00, 40, 0.00, 60, 0.00, 0, 1, 1), (12, 0.10, 35, 0.00, 28, 0.00, 0, 1, 1), (4, 0.00, 50, 0.00, 35, 0.00, 1, 1, 1),
-    (30, 0.30, 33, 0.00, 41, 0.00, 0, 1, 1), (9, 0.00, 22, 0.00, 64, 0.00, 0, 1, 1), (65, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1), (16, 0.00, 30, 0.10, 20, 0.00, 0, 1, 1),
-    (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0), (9, 0.90, 3, 1.00, 6, 0.80, 0, 1, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 1, 0), (6, 0.50, 30, 0.00, 2, 1.00, 0, 1, 0),
-    (25, 0.80, 4, 1.00, 10, 0.90, 0, 1, 0), (3, 0.00, 0, 0.00, 2, 1.00, 0, 1, 0), (7, 0.20, 3, 1.00, 0, 0.00, 0, 1, 0), (2, 1.00, 60, 0.00, 45, 0.00, 0, 1, 0),
-    (5, 0.00, 6, 0.00, 2, 0.50, 0, 1, 0), (14, 0.60, 8, 0.90, 20, 0.00, 0, 1, 0), (40, 0.90, 20, 0.90, 15, 1.00, 0, 1, 0), (8, 0.00, 2, 1.00, 5, 0.00, 0, 1, 0),
-]
+#: The labelled pages. A block is its part of the page, words, words in links, h for a heading and + for main text. Parts: c named content,
+#: a, b and d surroundings, x answers to the content, n none of these.
+LABELLED = """
+a1/1 a1/1 a1/1 b12 c7h+ c9+ c60+ c3+ c85+ c25+ d10
+a2/2 a3/3 c8h+ c40+ c4/4+ c5/5+ c3/3+ c33+ x40 x90 x3h d16/4
+n3/3 n2/2 n4/4 n8h+ n85+ n40+ n12+ n60+ n6+
+n1/1 n1/1 n9h+ n120+ n5h+ n70+ n4/4 n3/3 n2/2
+a5 c4+ n110+ n95+ n6h+ n150+ n4/4 n3/3
+a3/3 a7h+ a60+ a45+ a8+ a90+ b20 b3/3
+a2/2 n6h+ c200+ c150+ n180+ n10 n3/3 b9
+n7h+ c60+ c80+ c45+ n4 n3/3 b5
+n3/3 n4/4 n2/2 n5/5
+n65+
+n7+
+n16 n2/2 n3/3 n7h+ n48+ n75+ n30/3+ n22+
+a30 a40 c6h+ c14+ c11+ b25 c20+ c9+ x120 x200 x60
+c12+ a150 a80
+n4/4 n5h+ n18+ n22+ n15+ n9+ n3 n2/2 n2/2
+a12 a4/4 c5h+ c2+ c1+ c70+ c6/3+ c14/4+ c11/10+ b8
+n2/2 n3/3 n30/28 n40/36 n6h+ n55+ n35+ n25/20 n14/9
+a5h+ a40+ a12+ a33+ b4/4 x30
+a200 a150 c90+ c120+ c8+ n5 n4
+x20 x60 x200 n9h+ n110+ n80+
+c2h+ c300+ a300 b12h b90 n3 n2/2
+a1/1 a90 a60/10 b5h b40 c5h+ c2/2+ c1/1+ c30+
+n2/2 n3/3 n2h+ n50+ n40+ n3h+ n64+ n4+
+n1h+ n45+ n52+
+n1/1 n1/1 n3h+ n70+ n62+ n58+ n1/1 n3/3
+n3/3 n1h+ n90+ n2+ n80+ n6/6
+n3 n2/2 n4h+ n35+ n28+ n4 n2/2
+a40+ a41+
+n3h+ c80+ c80+
+n3h+ c30+ c70+ c12+ n3
+a7h+ a60+ a80+ n3/3
+"""
+
+
+def labelled_rows() -> np.ndarray:
+    """The labelled table: a row of features and a label for each block of the labelled pages."""
+    out = []
+    for page in LABELLED.split("\n"):
+        blocks = re.findall(r"([a-z])(\d+)(?:/(\d+))?(h?)(\+?)", page)
+        parts = sorted({b[0] for b in blocks})
+        kinds = [{"c": 1, "n": 0}.get(p, -1) for p in parts]
+        facts = [(int(w), int(linked or 0), int(h == "h"), parts.index(p)) for p, w, linked, h, _ in blocks]
+        if facts:
+            out.append(np.column_stack([features(facts, kinds, [p == "x" for p in parts]), [int(b[4] == "+") for b in blocks]]))
+    return np.concatenate(out)
 
 
 def grow(rows: np.ndarray, depth: int = 8) -> dict | int:
@@ -119,44 +141,56 @@ def ends_of(page: str, name: str) -> dict[int, int]:
     return ends
 
 
-def places(nodes: list[tuple[int, str, str, bool]], words: list[int], by_name: bool) -> list[int]:
-    """The place of each element (parent, name, names, shown), given the words in each that are in no link.
+def meaning(named: str) -> tuple[int, bool]:
+    """What names say of an element, (1 content, -1 surroundings, 0 neither; whether it holds answers)."""
+    kind, answers = 0, False
+    for name in named.split():
+        parts = {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+        if not parts or not parts <= CONTENT_WORDS | AROUND_WORDS | OTHER_WORDS:
+            continue
+        around, content = parts & AROUND_WORDS, parts & CONTENT_WORDS
+        if around and not (content and around == {"header"}):
+            kind, answers = -1, answers or bool(around & ANSWER_WORDS)
+        elif content and not around and kind == 0:
+            kind = 1
+    return kind, answers
+
+
+def parts_of(nodes: list[tuple[int, str, str, bool]], words: list[int]) -> tuple[list[int], list[int], list[bool]]:
+    """The part of the page in which each element (parent, name, names, shown) stands; for each part its kind (1 named content,
+    -1 surroundings, 0 neither) and whether it can't be the page's frame (answers, and what isn't shown).
 
-    article and main are content, and with `by_name` containers that are named so. A form or a frame of the
-    page that holds most of its words is no surroundings, whatever it is called; in other surroundings that hold
-    most of the words, main and article are content again. -2 is for what isn't shown."""
+    Part 0 is neither, part 1 is all content; surroundings are parts of their own. Within surroundings article and main
+    are content again if the surroundings hold most of the words of the page, in or out of them, and no answers."""
     within, all_words = list(words), sum(words)
     for k in range(len(nodes) - 1, -1, -1):
         if nodes[k][0] >= 0:
             within[nodes[k][0]] += within[k]
-    out: list[int] = []
-    again: list[tuple[str, ...]] = []  # elements that are content again
+    part, kinds, never, root = [], [0, 1], [False, False], [0, 0]
     for k, (parent, name, named, shown) in enumerate(nodes):
-        place, back = (out[parent], again[parent]) if parent >= 0 else (1, ())
-        most = 2 * within[k] >= all_words
-        if place == 2:
-            named = HEADER_NAMES.sub("", named)
-        whole = name in ("html", "body", "main", "article")
-        around = not whole and bool(AROUND_NAMES.search(named))
-        content = name in ("article", "main") or (by_name and name in CONTAINERS and bool(CONTENT_NAMES.search(named)))
-        frame = most and (name == "form" or (name in CONTAINERS and LAYOUT_NAMES.search(named) and not ANSWER_NAMES.search(named)))
-        if place == -2 or not shown:
-            place = -2
-        elif (name in AROUND and name != "form") or (name == "header" and place != 2):
-            place, back = -1, ("main",) if most else ()
-        elif (name == "form" or around) and not frame:
-            place, back = -1, ("main", "article") if most else ()
-        elif content and (place != -1 or (name in back and not AROUND_NAMES.search(named))):
-            place = 2
-        out.append(place)
-        again.append(back)
-    return out
-
-
-def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
-    """The blocks of a page: their texts, and (words, words in links, heading, place) with place 1 for in no named part."""
+        at = part[parent] if parent >= 0 else 0
+        said, answers = meaning(named)
+        if name in ("article", "main"):
+            said = said or 1
+        elif name in ("html", "body") or (said == 1 and name not in CONTAINERS):
+            said = 0
+        elif name in AROUND and not (name == "header" and at == 1):
+            said = -1
+        if not shown or said == -1:
+            kinds.append(-1)
+            never.append(not shown or answers or (kinds[at] == -1 and never[at]))
+            root.append(k)
+            at = len(kinds) - 1
+        elif said == 1 and (kinds[at] != -1 or (name in ("article", "main") and not never[at] and 2 * within[root[at]] >= all_words)):
+            at = 1
+        part.append(at)
+    return part, kinds, never
+
+
+def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[int], list[bool]]:
+    """The blocks of a page: their texts, (words, words in links, heading, part), and kind and frame of each part: see parts_of()."""
     texts: list[str] = []
-    facts: list[tuple[int, int, int, int]] = []  # with the element in place of its place
+    facts: list[tuple[int, int, int, int]] = []  # at first with the element in place of its part
     nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", True)]
     stack: list[int] = [0]  # open elements
     parts: list[str] = []
@@ -239,37 +273,31 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
     words = [0] * len(nodes)
     for w, linked, _, k in facts:
         words[k] += max(w - linked, 0)
-    for by_name in (True, False):
-        place = places(nodes, words, by_name)
-        found = [(w, linked, heading, max(place[k], -1)) for w, linked, heading, k in facts]
-        if named_most(np.array(found, float).reshape(-1, 4)):
-            break
-    return texts, found
-
-
-def named_most(f: np.ndarray) -> bool:
-    """True if named content holds at least half of the words outside of links and surroundings."""
-    words = np.maximum(f[:, 0] - f[:, 1], 0)
-    return bool(2 * words[f[:, 3] == 2].sum() >= words[f[:, 3] >= 0].sum())
+    part, kinds, never = parts_of(nodes, words)
+    return texts, [(w, linked, heading, part[k]) for w, linked, heading, k in facts], kinds, never
 
 
-def features(facts: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Rows of the labelled table, without the label, for the blocks of one page."""
+def features(facts: list[tuple[int, int, int, int]], kinds: list[int], never: list[bool]) -> np.ndarray:
+    """A row for each block of one page: words, link density, both of the block before and of the one after, heading, kind of
+    its part, the part's share of the words outside of links (0 where it can't be the frame), and that of named content."""
     f = np.array(facts, float).reshape(-1, 4)
-    words, density = f[:, 0], f[:, 1] / np.maximum(f[:, 0], 1)
+    part = f[:, 3].astype(int)
+    words, density = f[:, 0], np.minimum(f[:, 1] / np.maximum(f[:, 0], 1), 1)
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k < 0 else np.concatenate([v[1:], [0.0]])
-    place = f[:, 3].copy()
-    if (place == 2).any() and named_most(f):
-        place[place == 1] = 0
-    return np.column_stack([words, np.minimum(density, 1), shift(words, -1), shift(np.minimum(density, 1), -1), shift(words, 1), shift(np.minimum(density, 1), 1), f[:, 2], place])
+    free = np.maximum(words - f[:, 1], 0)
+    share = np.bincount(part, free, len(kinds)) / max(free.sum(), 1)
+    kind = np.array(kinds, float)
+    named = share[kind == 1].sum()
+    share[np.array(never)] = 0
+    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), f[:, 2], kind[part], share[part], np.full(len(f), named)])
 
 
 def main_text(page: str, tree: dict | int) -> str:
     """The blocks of a page that the tree keeps, in page order, joined by an empty line."""
-    texts, facts = text_blocks(page)
+    texts, facts, kinds, never = text_blocks(page)
     if not texts:
         return ""
-    return "\n\n".join(t for t, ok in zip(texts, decide(tree, features(facts))) if ok)
+    return "\n\n".join(t for t, ok in zip(texts, decide(tree, features(facts, kinds, never))) if ok)
 
 
 def _extract(tree: dict | int):
@@ -290,7 +318,7 @@ def extract_text(pages: DataFrame, *keys: str) -> DataFrame:
     comment ends at the next tag or the end, and nothing else is dropped or capped."""
     rows = pages.select(*keys, "html")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys), "text string"])
-    return rows.mapInArrow(_extract(grow(np.array(LABELLED, float))), schema)
+    return rows.mapInArrow(_extract(grow(labelled_rows())), schema)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
