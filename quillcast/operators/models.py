@@ -3,7 +3,9 @@
 linear, forest and gbt are Spark's own. bayesian needs one pass for sums of products and then iterates on a
 k x k matrix. hist_level and hist_leaf are histogram boosting: features are binned once into a stored table;
 for each level of a tree, gradients are summed by node, feature and bin on the executors, and the driver
-sees these sums only (nodes x features x bins). Leaf-wise growth then takes its leaves from the whole tree.
+sees these sums only (nodes x features x bins). Sums are of whole numbers, so they don't depend on partitions. What
+the trees so far give a row is put into the table every few trees. Leaf-wise growth then takes its leaves
+from the whole tree. entity_affine() is the closed form of `linear` for each entity on its own.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TREES, SEED = 50, 42
-#: With so many partitions at most their sums are added on the driver; beyond, a shuffle adds them first.
-FEW_PARTS = 32
+#: Partial sums that reach the driver at a time; trees after which a row's margin is stored again.
+FAN_IN, RENEW = 32, 5
 MODELS = ["linear", "bayesian", "forest", "gbt", "hist_level", "hist_leaf"]
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -124,49 +128,79 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
         names, wide, k = features, max((len(e) for e in edges), default=0) + 1, len(features)
         forest: list[list[tuple]] = []
 
-        def binned(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spread = df.agg(F.max(F.abs(F.col(label) - base))).first()[0] or 1.0
+        # Gradients as whole numbers of 2 ** -30 of the largest: sums of any 2 ** 33 of them are exact.
+        unit = float(spread) / (1 << 30)
+
+        def binned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in rows:
-                x = np.column_stack([np.searchsorted(e, p[c].fillna(-np.inf).to_numpy(float), "left") for c, e in zip(names, edges)]).astype(np.uint8)
-                yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": p[label].astype(float) - base})
+                x = np.column_stack([np.searchsorted(e, np.nan_to_num(np.array(p.column(i).to_numpy(zero_copy_only=False), float), nan=-np.inf), "left") for i, e in enumerate(edges)]).astype(np.uint8)
+                y = (p.column(k).to_numpy(zero_copy_only=False).astype(float) - base) / unit
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()), pa.array(y)], names=["x", "y"])
+
+        def split(p: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            col = p.column(0)
+            return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, k), p.column(1).to_numpy()
+
+        data = df.select(*(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL").mapInArrow(binned, "x binary, y double").persist()
+
+        def renewed(data: DataFrame, done: list[list[tuple]]) -> DataFrame:
+            """The table with what `done` gives taken off y."""
+
+            def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for p in rows:
+                    x, y = split(p)
+                    for t in done:
+                        y = y - rate * np.array([n[4] for n in t])[_route(t, x)]
+                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(y)], names=["x", "y"])
 
-        data = df.select(*features, label).filter(F.col(label).isNotNull()).mapInPandas(binned, "x binary, y double").persist()
-        n_parts = data.rdd.getNumPartitions()
+            return data.mapInArrow(run, "x binary, y double").persist()
 
-        def sums_of(tree: list[tuple], open_nodes: list[int], done: list[list[tuple]]) -> dict[int, np.ndarray]:
+        def sums_of(data: DataFrame, tree: list[tuple], open_nodes: list[int], done: list[list[tuple]]) -> dict[int, np.ndarray]:
             size = len(open_nodes) * k * wide
 
-            def partial(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                sums = np.zeros((2, size))
+            def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums = np.zeros((2, size), np.int64)
                 place = np.full(len(tree), -1)
                 place[open_nodes] = np.arange(len(open_nodes))
                 for p in rows:
-                    x = np.frombuffer(b"".join(p["x"]), np.uint8).reshape(-1, k)
-                    g = -p["y"].to_numpy()
+                    x, y = split(p)
                     for t in done:
-                        g = g + rate * np.array([n[4] for n in t])[_route(t, x)]
+                        y = y - rate * np.array([n[4] for n in t])[_route(t, x)]
                     at = place[_route(tree, x)]
                     own = at >= 0
-                    key = ((at[own, None] * k + np.arange(k)) * wide + x[own]).reshape(-1)
-                    sums[0] += np.bincount(key, np.repeat(g[own], k), size)
-                    sums[1] += np.bincount(key, minlength=size)
-                full = np.flatnonzero(sums[1])
-                yield pd.DataFrame({"key": full, "g": sums[0][full], "h": sums[1][full]})
-
-            sums = data.mapInPandas(partial, "key long, g double, h double")
-            if n_parts > FEW_PARTS:
-                sums = sums.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            total = sums.toPandas().groupby("key", as_index=False).sum()
-            out = np.zeros((size, 2))
-            out[total["key"]] = total[["g", "h"]]
-            return dict(zip(open_nodes, out.reshape(len(open_nodes), k, wide, 2)))
-
+                    g = np.rint(-y[own])
+                    base_key = at[own] * (k * wide)
+                    for f in range(k):
+                        key = base_key + f * wide + x[own, f]
+                        # Halves of 30 bits keep the sums of bincount, which are doubles, exact.
+                        low = np.mod(g, 1 << 20)
+                        sums[0] += np.rint(np.bincount(key, (g - low) / (1 << 20), size)).astype(np.int64) * (1 << 20) + np.rint(np.bincount(key, low, size)).astype(np.int64)
+                        sums[1] += np.bincount(key, minlength=size)
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
+
+            def add(key, t: pa.Table) -> pa.Table:
+                total = sum(np.frombuffer(b, np.int64) for b in t.column("sums").to_pylist())
+                return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+            parts, n = data.mapInArrow(partial, "part long, sums binary"), data.rdd.getNumPartitions()
+            while n > FAN_IN:
+                n = -(-n // FAN_IN)
+                parts = parts.groupBy((F.col("part") % n).alias("part")).applyInArrow(add, "part long, sums binary")
+            total = np.zeros(2 * size, np.int64)
+            for r in parts.select("sums").collect():  # at most FAN_IN
+                total += np.frombuffer(r["sums"], np.int64)
+            out = np.moveaxis(total.reshape(2, len(open_nodes), k, wide), 0, -1).astype(float)
+            return dict(zip(open_nodes, out))
+
+        recent: list[list[tuple]] = []
         for _ in range(trees):
             tree: list[tuple] = [(-1, 0, 0, 0, 0.0)]
             open_nodes, level = [0], 0
             gains: dict[int, float] = {}
             # A node's best split doesn't depend on other nodes, so each level is one job for either growth.
             while open_nodes and level < depth:
-                found, open_nodes = sums_of(tree, open_nodes, forest), []
+                found, open_nodes = sums_of(data, tree, open_nodes, recent), []
                 for node, s in found.items():
                     gain, f, b = _grow(s, lam, least)
                     if gain > 1e-12:
@@ -177,8 +211,14 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
                         gains[node] = gain
                         open_nodes += [at, at + 1]
                 level += 1
-            forest.append(_best_first(tree, gains, leaves) if growth == "leaf" else tree)
+            recent.append(_best_first(tree, gains, leaves) if growth == "leaf" else tree)
+            if len(recent) == RENEW:
+                forest += recent
+                old, data, recent = data, renewed(data, recent), []
+                data.count()
+                old.unpersist()
         data.unpersist()
+        forest = [[(*n[:4], n[4] * unit) for n in t] for t in forest + recent]
 
         def score(rows: DataFrame) -> DataFrame:
             def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,10 +261,54 @@ def fit_all(train: DataFrame, features: list[str], label: str, models: list[str]
 
 
 def score_long(rows: DataFrame, scorers: dict[str, Scorer], *keys: str) -> DataFrame:
-    """(keys, model, prediction) of every scorer; ValueError without one."""
+    """(keys, model, prediction) of every scorer, in one pass over the rows; ValueError without one."""
     if not scorers:
         raise ValueError("no model could be fitted")
-    out = [s(rows).select(*keys, F.lit(m).alias("model"), F.col("prediction").cast("double").alias("prediction")) for m, s in scorers.items()]
-    for p in out[1:]:
-        out[0] = out[0].unionByName(p)
-    return out[0]
+    rows = rows.drop("prediction")
+    for k, s in enumerate(scorers.values()):
+        rows = s(rows).withColumnRenamed("prediction", f"_prediction{k}")
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"_prediction{k}").cast("double").alias("prediction")) for k, m in enumerate(scorers)))
+    return rows.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.*")
+
+
+def entity_affine(train: DataFrame, entity: str, features: list[str], label: str) -> DataFrame:
+    """(entity, n, coefficients, intercept): least squares for each entity on its own rows, of least norm.
+
+    Per entity one pass of sums (partial before the shuffle); a row of k * k sums is solved in the task that has it. Features
+    that don't vary within an entity have coefficient 0."""
+    cols = [*features, label]
+    m = len(cols)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    sums = train.filter(F.col(label).isNotNull()).groupBy(F.col(entity).alias("_e")).agg(
+        F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs)
+    )
+    rows = sums.select("_e", "n", F.array(*(F.col(f"m{i}") for i in range(m))).alias("mean"), F.array(*(F.col(f"c{i}_{j}") for i, j in pairs)).alias("cov"))
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for mean, cov in zip(p["mean"], p["cov"]):
+                c = np.zeros((m, m))
+                for (i, j), v in zip(pairs, cov):
+                    c[i, j] = c[j, i] = v
+                scale = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
+                scale[scale < 1e-9 * (1 + np.abs(mean[:-1]))] = 0
+                own = np.flatnonzero(scale)
+                w = np.zeros(m - 1)
+                if len(own):
+                    xx = c[np.ix_(own, own)] / np.outer(scale[own], scale[own])
+                    w[own] = np.linalg.lstsq(xx, c[own, -1] / scale[own], rcond=1e-10)[0] / scale[own]
+                out.append((w.tolist(), float(mean[-1] - w @ np.array(mean[:-1]))))
+            yield pd.DataFrame({"_e": p["_e"], "n": p["n"], "coefficients": [o[0] for o in out], "intercept": [o[1] for o in out]})
+
+    kind = rows.schema["_e"].dataType.simpleString()
+    return rows.mapInPandas(solve, f"_e {kind}, n long, coefficients array<double>, intercept double").withColumnRenamed("_e", entity)
+
+
+def score_affine(rows: DataFrame, fitted: DataFrame, entity: str, features: list[str]) -> DataFrame:
+    """rows with `prediction` of its entity's model from entity_affine(); null for an entity without one."""
+    f = fitted.select(F.col(entity).alias("_e"), F.col("coefficients").alias("_w"), F.col("intercept").alias("_i"))
+    value = F.col("_i")
+    for k, c in enumerate(features):
+        value = value + F.col(c) * F.get("_w", F.lit(k))
+    return rows.join(f, F.col(entity).eqNullSafe(F.col("_e")), "left").withColumn("prediction", value).drop("_e", "_w", "_i")

@@ -5,50 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcast.functions.text import normalize_name
-
-
-def _trigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
-
-
-def _longest(c: Column) -> Column:
-    """The longest word (the first of equals)."""
-    return F.array_max(F.transform(F.split(c, " "), lambda t, i: F.struct(F.length(t), -i, t.alias("t"))))["t"]
-
-
-def resolve(queries: DataFrame, ref: DataFrame, query: str, name: str, *order: str, tiers: tuple[int, ...] = (1, 2, 3), small: int = 1000) -> DataFrame:
+from quillcast.functions.text import POSITIONS, normalize_name, primary_category
+from quillcast.functions.values import first_present
+
+#: The ten features of recent averages, and for each the columns that can give it, best first.
+RECENT = {
+    "pts_roll_avg": ["PTS"], "reb_roll_avg": ["REB"], "ast_roll_avg": ["AST"], "min_roll_avg": ["MIN"], "fga_roll_avg": ["FGA", "2PM"],
+    "fg3a_roll_avg": ["3PA", "3PM"], "fta_roll_avg": ["FTA", "FTM"], "stl_roll_avg": ["STL"], "blk_roll_avg": ["BLK"], "tov_roll_avg": ["TO"],
+}
+#: The columns of a season-average row.
+SEASON = ["PTS", "REB", "AST", "MIN", "FGA", "FG3A", "FTA", "STL", "BLK", "TOV"]
+
+
+def _pieces(c: Column, size: int) -> Column:
+    """The different stretches of `size` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(c, i, size)))
+
+
+def containing(needles: DataFrame, names: DataFrame, needle: str = "needle", name: str = "name") -> DataFrame:
+    """Pairs (needle, name) of the different needles and names of two tables, where the name contains the needle literally.
+
+    Names are found by equi-joins: each needle is looked up by that of its trigrams which the fewest names have, so a
+    common trigram is no hot key as long as a needle has a rarer one. Needles of one or two characters are
+    looked up by themselves. Empty needles match nothing."""
+    n = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
+    h = names.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct()
+    n = n.withColumn("size", F.least(F.length("needle"), F.lit(3)))
+    grams = n.select("needle", F.explode(F.when(F.col("size") == 3, _pieces(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("gram"))
+    wanted = grams.select("gram").distinct()
+    # Names by trigram; by shorter pieces too, but only those that a short needle asks for stay.
+    pieces = h.select("name", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("name"), k) for k in (1, 2, 3)))))).alias("gram"))
+    keyed = pieces.join(wanted, "gram", "left_semi")
+    counted = keyed.groupBy("gram").agg(F.count("*").alias("n"))
+    # A needle with a trigram that no name has matches nothing.
+    rarest = grams.join(counted, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(keyed, "gram").filter(F.contains("name", "needle")).select("needle", "name")
+
+
+def resolve(queries: DataFrame, ref: DataFrame, query: str, name: str, *order: str, tiers: tuple[int, ...] = (1, 2, 3), skip: tuple[str, ...] = ()) -> DataFrame:
     """queries with tier and match (a struct of ref's row, null without one).
 
     Tier 1: the normalised names are equal. Tier 2: the name contains the query. Tier 3: the name contains
-    the query's last word. The first row of ref in `order` wins within the lowest tier. A blank query matches
-    nothing; names are literal text, not patterns.
+    the query's last word, leaving out words in `skip` (suffixes such as JR.). The first row of ref in `order` wins
+    within the lowest tier. A blank query matches nothing; names are literal text, not patterns.
 
-    Containment is found by equi-joins: a needle of three or more characters shares its longest word's first
-    trigram with every name that holds it. Shorter needles need a look at every name; for them ref is
-    broadcast only if it has at most `small` rows, else they go by all their one- or two-character pieces."""
+    Rows of ref are joined last, by their name; until then only names take part."""
     q = queries.select(F.col(query).alias("_raw")).distinct().select("_raw", normalize_name(F.col("_raw")).alias("_q")).filter("_q <> ''")
     r = ref.select(F.struct(*ref.columns).alias("_row"), F.struct(*order).alias("_o"), normalize_name(F.col(name)).alias("_name"))
-    found = []
-    if 1 in tiers:
-        found.append(q.join(r, F.col("_q") == F.col("_name")).select("_raw", F.lit(1).alias("_tier"), "_o", "_row"))
-    keyed = None
-    for tier in (t for t in tiers if t > 1):
-        needle = F.col("_q") if tier == 2 else F.element_at(F.split("_q", r"\s+"), -1)
-        n = q.select("_raw", needle.alias("_needle")).withColumn("_word", _longest(F.col("_needle")))
-        long = n.filter(F.length("_word") >= 3).withColumn("_gram", F.substring("_word", 1, 3))
-        if keyed is None:
-            keyed = r.withColumn("_gram", F.explode(_trigrams(F.col("_name"))))
-        found.append(long.join(keyed, "_gram").filter(F.contains("_name", "_needle")).select("_raw", F.lit(tier).alias("_tier"), "_o", "_row"))
-        short = n.filter(F.length("_word") < 3).withColumn("_gram", F.col("_word"))
-        pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1))), lambda i: F.array(F.substring("_name", i, 1), F.substring("_name", i, 2)))))
-        found.append(short.join(r.withColumn("_gram", F.explode(pieces)), "_gram").filter(F.contains("_name", "_needle")).select("_raw", F.lit(tier).alias("_tier"), "_o", "_row"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    best = every.groupBy("_raw").agg(F.min_by(F.struct("_tier", "_row"), F.struct("_tier", "_o")).alias("_best"))
+    # Of the rows that share a name only the first can match.
+    r = r.groupBy("_name").agg(F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row"))
+    words = F.filter(F.split("_q", r"\s+"), lambda w: ~w.isin(*skip)) if skip else F.split("_q", r"\s+")
+    needles = {1: F.col("_q"), 2: F.col("_q"), 3: F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))}
+    asked = q.select("_raw", F.explode(F.array(*(F.struct(F.lit(t).alias("_tier"), needles[t].alias("_needle")) for t in tiers))).alias("x")).select("_raw", "x.*")
+    pairs = containing(asked.filter("_tier > 1"), r, "_needle", "_name") if max(tiers) > 1 else None
+    found = asked.filter("_tier = 1").select("_raw", "_tier", F.col("_needle").alias("_name"))
+    if pairs is not None:
+        found = found.unionByName(asked.filter("_tier > 1").join(pairs, F.col("_needle") == F.col("needle")).select("_raw", "_tier", F.col("name").alias("_name")))
+    ranked = found.join(r.select("_name", "_o"), "_name").groupBy("_raw").agg(F.min_by(F.struct("_tier", "_name"), F.struct("_tier", "_o")).alias("_best"))
+    best = ranked.select("_raw", "_best._tier", "_best._name").join(r.select("_name", "_row"), "_name")
     joined = queries.join(best, queries[query].eqNullSafe(F.col("_raw")), "left")
-    return joined.select(*queries.columns, F.col("_best._tier").alias("tier"), F.col("_best._row").alias("match"))
+    return joined.select(*queries.columns, F.col("_tier").alias("tier"), F.col("_row").alias("match"))
 
 
 def resolve_value(queries: DataFrame, ref: DataFrame, query: str, name: str, value: str, *order: str, missing: float = 20.0, no_table: float = 25.0) -> DataFrame:
@@ -58,6 +74,49 @@ def resolve_value(queries: DataFrame, ref: DataFrame, query: str, name: str, val
     return found.select(*queries.columns, F.coalesce(F.col(f"match.{value}").cast("double"), F.lit(no_table if empty else missing)).alias(value))
 
 
+def recent_averages(queries: DataFrame, averages: DataFrame, query: str, name: str, *order: str) -> DataFrame:
+    """queries with has_averages and the ten features of RECENT from the row that resolve() finds.
+
+    A feature comes from the first of its columns that the table has, 0 if it has none; a null in that column stays
+    null, and without a row all are null."""
+    row = averages.select(*order, F.col(f"`{name}`").alias("_player"), F.lit(True).alias("_has"), *(first_present(averages, names).alias(f) for f, names in RECENT.items()))
+    found = resolve(queries, row, query, "_player", *order)
+    return found.select(*queries.columns, F.coalesce("match._has", F.lit(False)).alias("has_averages"), *(F.col(f"match.{f}").alias(f) for f in RECENT))
+
+
+def positions_of(queries: DataFrame, query: str, positions: DataFrame, info: DataFrame, order: str = "o", info_order: str = "o", default: str = "SG") -> DataFrame:
+    """queries with `position`: from positions(name, position) by the normalised name, where the last duplicate wins; else the
+    primary position of the first row of info(name, position) by name, then by the query's last word; else the default."""
+    last = positions.groupBy(normalize_name(F.col("name")).alias("_n")).agg(F.max_by("position", order).alias("_own"))
+    out = queries.join(last.filter("_n <> ''"), normalize_name(F.col(query)) == F.col("_n"), "left").drop("_n")
+    found = resolve(out, info.select("name", "position", F.col(info_order).alias("_io")), query, "name", "_io", tiers=(1, 3))
+    own = F.nullif(F.trim("_own"), F.lit(""))
+    other = F.when(F.col("match").isNotNull(), F.coalesce(F.nullif(primary_category(F.col("match.position"), POSITIONS), F.lit("")), F.lit(default)))
+    return found.select(*queries.columns, F.coalesce(own, other, F.lit(default)).alias("position"))
+
+
+def season_rows(entities: DataFrame, entity: str, players: DataFrame, usage: DataFrame, as_of: str, *order: str) -> DataFrame:
+    """One log row, dated as_of, for each entity whose name usage knows: `entity`, GAME_DATE and the columns of SEASON.
+
+    The id gives the name in players(id, full_name), compared as text; the first row of usage whose PLAYER contains the name,
+    whatever the case, gives the averages. Columns that usage lacks and nulls are 0. Other entities have no row."""
+    who = entities.join(players, F.col(entity).cast("string") == F.col("id").cast("string")).select(entity, F.upper("full_name").alias("_needle"))
+    u = usage.select(F.upper("PLAYER").alias("_name"), F.struct(*order).alias("_o"), F.struct(*(F.coalesce(first_present(usage, [c]), F.lit(0.0)).alias(c) for c in SEASON)).alias("_row"))
+    u = u.groupBy("_name").agg(F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row"))
+    best = containing(who, u, "_needle", "_name").join(u, F.col("name") == F.col("_name")).groupBy("needle").agg(F.min_by("_row", "_o").alias("_row"))
+    out = who.join(best, F.col("_needle") == F.col("needle"))
+    return out.select(entity, F.lit(as_of).cast("date").alias("GAME_DATE"), "_row.*")
+
+
+def log_or_season(entities: DataFrame, entity: str, log: DataFrame, players: DataFrame, usage: DataFrame, as_of: str, *order: str) -> DataFrame:
+    """The rows of log(entity, GAME_DATE, columns of SEASON) of each entity, and season_rows() for those without any; `source` says which."""
+    same = F.col(f"e.{entity}").cast("string") == F.col(f"l.{entity}").cast("string")
+    own = entities.select(entity).alias("e").join(log.alias("l"), same)
+    first = own.select(F.col(f"e.{entity}").alias(entity), F.col("l.GAME_DATE").cast("date").alias("GAME_DATE"), *(F.col(f"l.{c}").cast("double").alias(c) for c in SEASON), F.lit("log").alias("source"))
+    rest = entities.select(entity).alias("e").join(log.alias("l"), same, "left_anti")
+    return first.unionByName(season_rows(rest, entity, players, usage, as_of, *order).withColumn("source", F.lit("average")))
+
+
 def lookup_chain(df: DataFrame, key: str, tables: list[tuple[DataFrame, str, str, str, bool]], default: str, out: str) -> DataFrame:
     """df with `out` from the first table that has the key: (table, its key, its value, its order, last row wins)."""
     cs = []
@@ -78,15 +137,22 @@ def fallback_join(df: DataFrame, log: DataFrame, key: str, log_key: str, alt: st
     return first.unionByName(rest)
 
 
-def prefer_exact(df: DataFrame, ref: DataFrame, on: str, key: str, alias: str, name: str, values: dict[str, float], *order: str) -> DataFrame:
+def prefer_exact(df: DataFrame, ref: DataFrame, on: str, key: str, alias: str, name: str, values: dict[str, float], *order: str, mode: str = "exact") -> DataFrame:
     """df with `values` of the row of ref (same `on`) whose name equals the alias or the key, else contains one.
 
-    Exact beats containment, then `order`; without a match each value has its default. Candidates share `on`."""
+    With mode "exact" equality beats containment, then `order`; with mode "first" only `order` counts. Without a match each
+    value has its default. Names are compared in upper case and first found among the different names of ref; rows are
+    joined by (on, name) afterwards, so nothing is paired within `on`."""
+    if mode not in ("exact", "first"):
+        raise ValueError(f"unknown mode: {mode}")
     names = [c for c in ref.columns if c != on]
-    r = ref.select(F.col(on).alias("_on"), F.struct(*(F.col(c) for c in names)).alias("_r"))
-    n = F.upper(F.col(f"_r.{name}"))
-    keys = df.select(on, key, alias).distinct().join(r, F.col(on) == F.col("_on"))
-    rank = F.when(n.isin(F.upper(alias), F.upper(key)), 0).when(F.contains(n, F.upper(alias)) | F.contains(n, F.upper(key)), 1)
-    best = keys.withColumn("_rank", rank).filter("_rank IS NOT NULL")
-    best = best.groupBy(on, key, alias).agg(F.min_by("_r", F.struct("_rank", *(F.col(f"_r.{o}") for o in order))).alias("_best"))
-    return df.join(best, [on, key, alias], "left").select(*df.columns, *(F.coalesce(F.col(f"_best.{v}").cast("double"), F.lit(d)).alias(v) for v, d in values.items()))
+    r = ref.select(F.col(on).alias("_on"), F.upper(F.trim(F.col(name))).alias("_name"), F.struct(*(F.col(c) for c in names)).alias("_r"))
+    r = r.groupBy("_on", "_name").agg(F.min_by("_r", F.struct(*(F.col(f"_r.{o}") for o in order))).alias("_r"))
+    keys = df.select(on, key, alias).distinct()
+    asked = keys.select(on, key, alias, F.explode(F.array_distinct(F.array(F.upper(alias), F.upper(key)))).alias("_needle")).filter("_needle <> ''")
+    pairs = containing(asked, r, "_needle", "_name")
+    found = asked.join(pairs, F.col("_needle") == F.col("needle")).withColumn("_rank", F.when(F.col("name") == F.col("needle"), 0).otherwise(1) if mode == "exact" else F.lit(0))
+    found = found.join(r, (F.col(on) == F.col("_on")) & (F.col("name") == F.col("_name")))
+    best = found.groupBy(F.col(on).alias("_a"), F.col(key).alias("_b"), F.col(alias).alias("_c")).agg(F.min_by("_r", F.struct("_rank", *(F.col(f"_r.{o}") for o in order))).alias("_best"))
+    same = F.col(on).eqNullSafe(F.col("_a")) & F.col(key).eqNullSafe(F.col("_b")) & F.col(alias).eqNullSafe(F.col("_c"))
+    return df.join(best, same, "left").select(*df.columns, *(F.coalesce(F.col(f"_best.{v}").cast("double"), F.lit(d)).alias(v) for v, d in values.items()))

@@ -14,8 +14,10 @@ def exact_split(df: DataFrame, group: str, keys: list[str], share: float = 0.2,
     return ranked.withColumn("is_test", F.col("_n") <= F.ceil(F.lit(share) * F.col("_all"))).drop("_n", "_all")
 
 
-def pooled_split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = 42, buckets: int = 64) -> DataFrame:
-    """df with is_test over all rows: an exact split within each bucket of a hash, so no task sorts everything."""
+def pooled_split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = 42, rows: int = 20_000) -> DataFrame:
+    """df with is_test over all rows: an exact split within each bucket of a hash, of about `rows` rows each, so the
+    tasks grow in number with the table and not in size."""
+    buckets = max(1, -(-df.count() // rows))
     return exact_split(df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets))), "_b", keys, share, seed).drop("_b")
 
 

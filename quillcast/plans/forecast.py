@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcast.operators import augment, ensemble, models, rolling, split_scale
+from quillcast.functions import text as ft
+from quillcast.functions.values import safe_float
+from quillcast.operators import augment, ensemble, models, resolve, rolling, schedule, split_scale
 from quillcast.operators.augment import CONTEXT, FEATURES, NUMERIC
 
-#: Defaults of what the opponents allow.
+#: The target of each statistic, and defaults of what the opponents allow.
+TARGETS = {"points": "target_pts", "rebounds": "target_reb", "assists": "target_ast", "fantasy": "target_fd"}
 ALLOWED = {"opp_pts_allowed": 25.0, "opp_reb_allowed": 8.0, "opp_ast_allowed": 6.0, "opp_fd_allowed": 45.0}
 
 
@@ -38,9 +43,8 @@ def status_of(found: str, averages: str, game: str) -> Column:
 
 def target_column(name: str) -> str:
     """The target column of a statistic's name, in any case."""
-    known = {"points": "target_pts", "rebounds": "target_reb", "assists": "target_ast", "fantasy": "target_fd"}
     try:
-        return known[name.strip().lower()]
+        return TARGETS[name.strip().lower()]
     except KeyError:
         raise ValueError(f"unknown statistic: {name}") from None
 
@@ -67,10 +71,91 @@ def fit(features: DataFrame, entity: str, target: str = "points", copies: int =
 def predict(requests: DataFrame, features: DataFrame, entity: str, target: str = "points", copies: int = 100, seed: int = 42, names: list[str] | None = None) -> DataFrame:
     """requests(entity, found, averages, game) with status, prediction, spread, mean_score, confidence, n_models.
 
-    Rows that can't be scored keep their status and have nulls."""
+    Rows that can't be scored keep their status and have nulls. The features are held (in memory or on disk) from training
+    to scoring, so they are assembled once."""
+    features = features.persist()
     scorers, report = fit(features, entity, target, copies, seed, names)
     able = requests.withColumn("status", status_of("found", "averages", "game"))
     ready = able.filter("status = 'ok'").select(entity).join(features, entity)
     scores = report.select("model", F.col("r2").alias("score"))
     out = ensemble.combine(models.score_long(ready, scorers, entity), entity, scores)
     return able.select(entity, "status").join(out, entity, "left")
+
+
+#: The defence table's abbreviations of teams, where they differ.
+TEAM_ALIASES = {"GSW": "GS", "NOP": "NO", "NYK": "NY", "PHX": "PHO", "SAS": "SA", "BRK": "BKN", "CHO": "CHA"}
+#: Which recent average is which numeric feature.
+RECENT_OF = {"pts": "pts", "reb": "reb", "ast": "ast", "mins": "min", "fga": "fga", "fg3a": "fg3a", "fta": "fta", "stl": "stl", "blk": "blk", "tov": "tov"}
+
+
+@dataclass
+class Sources:
+    """The tables of a prediction. Each has `o`, which orders its rows: where several match, the first one counts.
+
+    info: player_id, player_name, team_id, position. averages: Player and the columns of resolve.RECENT. usage: PLAYER, USGPCT.
+    games: home, visitor (team ids). teams: id, abbreviation (one row each, no order). positions: name, position (the last
+    one counts). defense: position, Team, PTS, REB, AST."""
+
+    info: DataFrame
+    averages: DataFrame
+    usage: DataFrame
+    games: DataFrame
+    teams: DataFrame
+    positions: DataFrame
+    defense: DataFrame
+
+
+def request_features(requests: DataFrame, s: Sources, aliases: dict[str, str] | None = None) -> DataFrame:
+    """requests(request_id, name, spread, total) with player_id, position, opponent, status and the 18 features.
+
+    Names are resolved against info, averages and usage, the team's first game gives opponent and is_home, the position
+    and the opponent give what the defence allows. status is not_found, no_averages, no_game or ok, from what these joins
+    found. A missing average is 0, usage and defence have their defaults; without a game is_home is null."""
+    q = requests.select("request_id", "name", F.col("spread").cast("double").alias("spread"), F.col("total").cast("double").alias("total"))
+    found = resolve.resolve(q, s.info, "name", "player_name", "o")
+    found = found.select(*q.columns, F.col("match").isNotNull().alias("found"), F.col("match.player_id").alias("player_id"), F.nullif(F.col("match.team_id").cast("long"), F.lit(0).cast("long")).alias("team_id"))
+    found = resolve.recent_averages(found, s.averages, "name", "Player", "o")
+    found = resolve.resolve_value(found, s.usage, "name", "PLAYER", "USGPCT", "o").withColumnRenamed("USGPCT", "usage_rate")
+    found = schedule.game_context(found, "team_id", s.games, "home", "visitor", s.teams, "id", "abbreviation", "o")
+    found = resolve.positions_of(found, "name", s.positions, s.info.select(F.col("player_name").alias("name"), "position", "o"))
+    found = found.withColumn("_alias", F.coalesce(ft.alias(F.col("opponent"), aliases or TEAM_ALIASES), F.lit(""))).withColumn("_key", F.coalesce("opponent", F.lit("")))
+    number = lambda c: safe_float(ft.first_token(F.col(c).cast("string")))
+    defense = s.defense.select("position", "Team", "o", number("PTS").alias("opp_pts_allowed"), number("REB").alias("opp_reb_allowed"), number("AST").alias("opp_ast_allowed"), number("PTS").alias("opp_fd_allowed"))
+    found = resolve.prefer_exact(found, defense, "position", "_key", "_alias", "Team", ALLOWED, "o")
+    numeric = [F.coalesce(f"{r}_roll_avg", F.lit(0.0)).alias(c) for c, r in RECENT_OF.items()]
+    context = [F.col(c).cast("double").alias(c) for c in CONTEXT]
+    status = status_of("found", "has_averages", "has_game")
+    found = found.withColumn("has_game", F.col("opponent").isNotNull())
+    return found.select("request_id", "name", "player_id", "position", "opponent", status.alias("status"), *numeric, *context)
+
+
+def predict_requests(requests: DataFrame, s: Sources, copies: int = 100, seed: int = 42, names: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """requests(request_id, name, stat, spread, total), from names to predictions: a record for each (see result_record()).
+
+    The models of a statistic are trained on the noisy rows of all its requests that can be scored. A statistic that
+    is not known has the status bad_stat; rows that can't be scored have null predictions."""
+    stat = F.lower(F.trim("stat"))
+    asked = requests.withColumn("stat", F.when(stat.isin(*TARGETS), stat))
+    f = request_features(asked, s, aliases).join(asked.select("request_id", "stat"), "request_id").persist()
+    ok = f.filter((F.col("status") == "ok") & F.col("stat").isNotNull())
+    out = []
+    for name in sorted(r["stat"] for r in ok.select("stat").distinct().collect()):  # of four at most
+        own = ok.filter(F.col("stat") == name).select("request_id", *FEATURES)
+        scorers, report = fit(own, "request_id", name, copies, seed, names)
+        long = models.score_long(own, scorers, "request_id")
+        each = long.groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "prediction")))).alias("individual_predictions"))  # at most six
+        out.append(ensemble.combine(long, "request_id", report.select("model", F.col("r2").alias("score"))).join(each, "request_id"))
+    status = F.when((F.col("status") == "ok") & F.col("stat").isNull(), "bad_stat").otherwise(F.col("status"))
+    if not out:
+        kinds = "prediction double, spread double, mean_score double, n_models long, confidence double, individual_predictions map<string, double>"
+        return result_record(f.withColumn("status", status).withColumns({c.split(" ", 1)[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in kinds.split(", ", 5) if c.split(" ", 1)[0] != "spread"}))
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return result_record(f.withColumn("status", status).join(out[0].drop("spread"), "request_id", "left"))
+
+
+def result_record(df: DataFrame) -> DataFrame:
+    """The shape of an answer: request_id, player, status, target_stat, prediction, confidence, usage_rate, game_context (opponent,
+    is_home, spread, total) and individual_predictions by model."""
+    context = F.struct("opponent", F.col("is_home").cast("int").alias("is_home"), "spread", "total").alias("game_context")
+    return df.select("request_id", F.col("name").alias("player"), "status", F.col("stat").alias("target_stat"), "prediction", "confidence", "usage_rate", context, "individual_predictions")

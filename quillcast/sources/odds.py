@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Record field, market, key within the market.
-FIELDS = [
-    ("home_spread", "spreads", "home_handicap"), ("home_spread_odds", "spreads", "home_odds"),
-    ("away_spread", "spreads", "away_handicap"), ("away_spread_odds", "spreads", "away_odds"),
-    ("total_line", "totals", "total"), ("over_odds", "totals", "over_odds"), ("under_odds", "totals", "under_odds"),
-]
+#: Keys of a match, of a market, and of the numbers in it, each list in the order in which they are tried.
+HOME, AWAY, DATE = ["home_team", "home", "homeTeam"], ["away_team", "away", "awayTeam"], ["date", "start_time", "datetime"]
+MARKETS, SPREADS, TOTALS = ["markets", "odds"], ["spreads", "spread"], ["totals", "total"]
+NUMBERS = {
+    "home_spread": ("_spread", ["home_handicap", "home_line", "handicap"]),
+    "home_spread_odds": ("_spread", ["home_odds", "odds_home"]),
+    "away_spread": ("_spread", ["away_handicap", "away_line"]),
+    "away_spread_odds": ("_spread", ["away_odds", "odds_away"]),
+    "total_line": ("_total", ["total", "line", "total_line"]),
+    "over_odds": ("_total", ["over_odds", "over"]),
+    "under_odds": ("_total", ["under_odds", "under"]),
+}
 WRAPPERS = ("data", "matches", "events")
+#: What counts as missing, as JSON.
+FALSY = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
 
 def matches(raw: DataFrame, text: str = "value") -> DataFrame:
@@ -22,18 +30,36 @@ def matches(raw: DataFrame, text: str = "value") -> DataFrame:
     return v.select(picked.alias("list")).selectExpr("explode(coalesce(try_variant_get(list, '$', 'array<variant>'), array())) AS match")
 
 
-def _number(path: str) -> Column:
-    return F.try_variant_get("match", path, "double")
+def _get(v: str, key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{key}", kind)
+
+
+def _there(v: Column) -> Column:
+    """A variant, null where it counts as missing."""
+    return F.when(~F.to_json(v).isin(*FALSY), v)
 
 
 def flatten(docs: DataFrame, sport: str = "basketball", zero_is_value: bool = False) -> DataFrame:
     """One flat record for each match that has both teams; absent markets are null.
 
-    Of a list the first element counts. A 0 handicap counts as missing unless zero_is_value."""
-    def field(market: str, key: str) -> Column:
-        c = F.coalesce(_number(f"$.markets.{market}[0].{key}"), _number(f"$.markets.{market}.{key}"))
-        return c if zero_is_value else F.nullif(c, F.lit(0.0))
+    Every field has several keys; the first with a value counts, and of a list of markets the first element. A 0 counts
+    as missing, unless it stands under the last key of its field or zero_is_value is set."""
+
+    def text(keys: list[str]) -> Column:
+        return F.coalesce(*(F.nullif(_get("match", k, "string"), F.lit("")) for k in keys[:-1]), _get("match", keys[-1], "string"))
+
+    def number(v: str, keys: list[str]) -> Column:
+        tried = [_get(v, k, "double") for k in keys]
+        return F.coalesce(*(c if zero_is_value else F.nullif(c, F.lit(0.0)) for c in tried[:-1]), tried[-1])
+
+    def first(v: Column) -> Column:
+        return F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
 
-    word = lambda k: F.try_variant_get("match", f"$.{k}", "string")
-    out = docs.select(word("home_team").alias("home_team"), word("away_team").alias("away_team"), word("date").alias("date"), F.lit(sport).alias("sport"), *(field(m, k).alias(n) for n, m, k in FIELDS))
+    out = docs.select("match", F.coalesce(*(_there(_get("match", k)) for k in MARKETS)).alias("_markets"))
+    out = out.select("match", *(F.coalesce(*(_there(_get("_markets", k)) for k in keys)).alias(name) for name, keys in (("_spread", SPREADS), ("_total", TOTALS))))
+    out = out.select("match", first(F.col("_spread")).alias("_spread"), first(F.col("_total")).alias("_total"))
+    out = out.select(
+        text(HOME).alias("home_team"), text(AWAY).alias("away_team"), text(DATE).alias("date"), F.lit(sport).alias("sport"),
+        *(number(v, keys).alias(name) for name, (v, keys) in NUMBERS.items()),
+    )
     return out.filter((F.coalesce("home_team", F.lit("")) != "") & (F.coalesce("away_team", F.lit("")) != ""))

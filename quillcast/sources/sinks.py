@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,5 +40,14 @@ def run_metadata(df: DataFrame, season: int, source: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(season).alias("season"), F.lit(source).alias("source"))
 
 
+def append_metadata(df: DataFrame, path: str, season: int, source: str, now: datetime | None = None) -> DataFrame:
+    """Append run_metadata() of df with last_updated (`now`, else the time of the run) to the table at `path`; the row."""
+    at = F.lit(now) if now else F.current_timestamp()
+    row = run_metadata(df, season, source).select(at.alias("last_updated"), "*")
+    row = df.sparkSession.createDataFrame(row.collect(), row.schema)  # one row; stored and returned alike
+    row.write.mode("append").parquet(path)
+    return row
+
+
 def as_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -64,23 +65,27 @@ def partition_of(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, hours: float = 24, force: bool = False) -> DataFrame | None:
-    """The table at `path` if it is younger than `hours`; else build it, write it beside and swap it in.
-
-    If building fails or gives no row, the old table is returned, however old; None if there is none."""
-    fs, p = _fs(spark, path)
-    there = fs.exists(p)
-    if there and not force:
-        age = datetime.now(UTC) - datetime.fromtimestamp(fs.getFileStatus(p).getModificationTime() / 1000, UTC)
+    """The newest table in the folder `path` if it is younger than `hours`; else build it, as a table of its own beside the
+    older ones, which go once the new one is complete. A reader thus always finds a complete table.
+
+    If building fails or gives no row, a warning says so and the old table is returned, however old; None if there is none."""
+    fs, root = _fs(spark, path)
+    done = [s for s in (fs.listStatus(root) if fs.exists(root) else []) if fs.exists(_fs(spark, f"{s.getPath()}/_SUCCESS")[1])]
+    done = sorted(done, key=lambda s: (s.getModificationTime(), s.getPath().getName()))
+    if done and not force:
+        age = datetime.now(UTC) - datetime.fromtimestamp(done[-1].getModificationTime() / 1000, UTC)
         if age < timedelta(hours=hours):
-            return spark.read.parquet(path)
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+            return spark.read.parquet(str(done[-1].getPath()))
+    fresh = f"{path.rstrip('/')}/built={datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    why = "it has no rows"
     try:
         build().write.parquet(fresh)
         if not spark.read.parquet(fresh).isEmpty():
-            fs.delete(p, True)
-            fs.rename(_fs(spark, fresh)[1], p)
-            return spark.read.parquet(path)
-    except Exception:  # whatever the build raises, the old table serves
-        pass
+            for s in done:
+                fs.delete(s.getPath(), True)
+            return spark.read.parquet(fresh)
+    except Exception as e:  # whatever the build raises, the old table serves
+        why = f"{type(e).__name__}: {e}"[:300]
+    warnings.warn(f"{path} was not built again: {why}", stacklevel=2)
     fs.delete(_fs(spark, fresh)[1], True)
-    return spark.read.parquet(path) if there else None
+    return spark.read.parquet(str(done[-1].getPath())) if done else None
