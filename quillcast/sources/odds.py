@@ -25,7 +25,8 @@ FALSY = ("null", "false", "0", "0.0", '""', "[]", "{}")
 def matches(raw: DataFrame, text: str = "value") -> DataFrame:
     """The match documents (variant `match`) in raw JSON texts: a bare list, or a list under the first wrapper key
     that is present, even if it is empty. A null, blank or broken text has none."""
-    v = raw.select(F.try_parse_json(F.nullif(F.trim(F.col(text)), F.lit(""))).alias("v")).filter("v IS NOT NULL")
+    # explode() of one element: what it holds is evaluated once, whatever is made of it above.
+    v = raw.select(F.explode(F.array(F.try_parse_json(F.trim(F.col(text))))).alias("v")).filter("v IS NOT NULL")
     picked = F.coalesce(*(F.try_variant_get("v", f"$.{w}", "variant") for w in WRAPPERS), F.col("v"))
     return v.select(picked.alias("list")).selectExpr("explode(coalesce(try_variant_get(list, '$', 'array<variant>'), array())) AS match")
 
@@ -55,9 +56,11 @@ def flatten(docs: DataFrame, sport: str = "basketball", zero_is_value: bool = Fa
     def first(v: Column) -> Column:
         return F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
 
-    out = docs.select("match", F.coalesce(*(_there(_get("match", k)) for k in MARKETS)).alias("_markets"))
-    out = out.select("match", *(F.coalesce(*(_there(_get("_markets", k)) for k in keys)).alias(name) for name, keys in (("_spread", SPREADS), ("_total", TOTALS))))
-    out = out.select("match", first(F.col("_spread")).alias("_spread"), first(F.col("_total")).alias("_total"))
+    out = docs.select("match", F.explode(F.array(F.coalesce(*(_there(_get("match", k)) for k in MARKETS)))).alias("_markets"))
+    markets = [F.coalesce(*(_there(_get("_markets", k)) for k in keys)).alias(name) for name, keys in (("_spread", SPREADS), ("_total", TOTALS))]
+    out = out.select("match", F.explode(F.array(F.struct(*markets))).alias("_m"))
+    out = out.select("match", F.explode(F.array(F.struct(first(F.col("_m._spread")).alias("_spread"), first(F.col("_m._total")).alias("_total")))).alias("_m"))
+    out = out.select("match", "_m._spread", "_m._total")
     out = out.select(
         text(HOME).alias("home_team"), text(AWAY).alias("away_team"), text(DATE).alias("date"), F.lit(sport).alias("sport"),
         *(number(v, keys).alias(name) for name, (v, keys) in NUMBERS.items()),
