@@ -112,12 +112,19 @@ def request_features(requests: DataFrame, s: Sources, aliases: dict[str, str] |
     and the opponent give what the defence allows. status is not_found, no_averages, no_game or ok, from what these joins
     found. A missing average is 0, usage and defence have their defaults; without a game is_home is null."""
     q = requests.select("request_id", "name", F.col("spread").cast("double").alias("spread"), F.col("total").cast("double").alias("total"))
-    found = resolve.resolve(q, s.info, "name", "player_name", "o")
-    found = found.select(*q.columns, F.col("match").isNotNull().alias("found"), F.col("match.player_id").alias("player_id"), F.nullif(F.col("match.team_id").cast("long"), F.lit(0).cast("long")).alias("team_id"))
-    found = resolve.recent_averages(found, s.averages, "name", "Player", "o")
-    found = resolve.resolve_value(found, s.usage, "name", "PLAYER", "USGPCT", "o").withColumnRenamed("USGPCT", "usage_rate")
-    found = schedule.game_context(found, "team_id", s.games, "home", "visitor", s.teams, "id", "abbreviation", "o")
-    found = resolve.positions_of(found, "name", s.positions, s.info.select(F.col("player_name").alias("name"), "position", "o"))
+    # Every lookup starts from the different names, so that the plan grows with the number of lookups and not with its power.
+    names = q.select("name").filter("name IS NOT NULL").distinct()
+    who = resolve.resolve(names, s.info, "name", "player_name", "o")
+    who = who.select("name", F.col("match").isNotNull().alias("found"), F.col("match.player_id").alias("player_id"), F.nullif(F.col("match.team_id").cast("long"), F.lit(0).cast("long")).alias("team_id"))
+    averages = resolve.recent_averages(names, s.averages, "name", "Player", "o")
+    usage = resolve.resolve_value(names, s.usage, "name", "PLAYER", "USGPCT", "o").withColumnRenamed("USGPCT", "usage_rate")
+    places = resolve.positions_of(names, "name", s.positions, s.info.select(F.col("player_name").alias("name"), "position", "o"))
+    teams = s.info.select(F.col("team_id").cast("long").alias("team_id")).distinct()
+    game = schedule.game_context(teams, "team_id", s.games, "home", "visitor", s.teams, "id", "abbreviation", "o")
+    found = q
+    for more in (who, averages, usage, places):
+        found = found.join(more, "name", "left")
+    found = found.join(game, "team_id", "left").withColumns({"found": F.coalesce("found", F.lit(False)), "has_averages": F.coalesce("has_averages", F.lit(False)), "position": F.coalesce("position", F.lit("SG"))})
     found = found.withColumn("_alias", F.coalesce(ft.alias(F.col("opponent"), aliases or TEAM_ALIASES), F.lit(""))).withColumn("_key", F.coalesce("opponent", F.lit("")))
     number = lambda c: safe_float(ft.first_token(F.col(c).cast("string")))
     defense = s.defense.select("position", "Team", "o", number("PTS").alias("opp_pts_allowed"), number("REB").alias("opp_reb_allowed"), number("AST").alias("opp_ast_allowed"), number("PTS").alias("opp_fd_allowed"))

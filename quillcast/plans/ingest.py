@@ -20,10 +20,10 @@ ROSTER_CELLS = {"position": 2, "jersey": 0, "height": 3, "weight": 4, "birth_dat
 
 
 def _rows(pages: DataFrame, table: str, least: int) -> DataFrame:
-    """Rows of the first table of that id on each page, and the pages' errors."""
-    rows = table_rows(pages, least).filter((F.col("table_id") == table) | F.col("error").isNotNull())
+    """Rows, of `least` cells, of the first table of that id on each page, and the pages' errors."""
+    rows = table_rows(pages).filter((F.col("table_id") == table) | F.col("error").isNotNull())
     first = rows.groupBy("page_id").agg(F.min("table_ix").alias("_first"))
-    return rows.join(first, "page_id").filter((F.col("table_ix") == F.col("_first")) | F.col("error").isNotNull())
+    return rows.join(first, "page_id").filter(((F.col("table_ix") == F.col("_first")) & (F.size("cells") >= least)) | F.col("error").isNotNull())
 
 
 def _cell(k: int) -> Column:

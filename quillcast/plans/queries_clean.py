@@ -52,7 +52,7 @@ def run_metadata(t: Tables) -> DataFrame:
     return sinks.run_metadata(t.customer, 2026, "customer")
 
 
-@query("result_json")
+@query("result_json", """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_acctbal":' || CAST(c_acctbal AS VARCHAR) || '}' AS result FROM customer""")
 def result_json(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", sinks.as_json("c_custkey", "c_name", "c_acctbal").alias("result"))
 
@@ -117,7 +117,8 @@ def odds_flatten(t: Tables) -> DataFrame:
     return odds.flatten(odds.matches(raw))
 
 
-@query("odds_parse")
+@query("odds_parse", """SELECT '{"away_team":"' || CASE WHEN event_id % 7 = 0 THEN '' ELSE 'u' || user_id END || '","date":"d","home_team":"' || event_type || '","markets":{"spreads":' || CASE WHEN event_id % 2 = 0 THEN '[' ELSE '' END
+  || '{"home_handicap":' || json_extract_string(props, '$.k') || ',"home_odds":-110}' || CASE WHEN event_id % 2 = 0 THEN ']' ELSE '' END || ',"totals":[{"total":' || event_id % 3 || '}]}}' AS match FROM events""")
 def odds_parse(t: Tables) -> DataFrame:
     return odds.matches(t.events.select(F.expr(EVENT_JSON).alias("value"))).select(F.expr("to_json(match)").alias("match"))
 
@@ -346,7 +347,7 @@ def ingest_roster(t: Tables) -> DataFrame:
     return links.join(teams, "page_id").select("player_id", "page_id", "host")
 
 
-@query("ingest_schedule")
+@query("ingest_schedule", """SELECT page_id, count(*) AS n_games, min(href) AS first_game FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS href FROM pages) WHERE href <> '' GROUP BY page_id""")
 def ingest_schedule(t: Tables) -> DataFrame:
     links = pages.list_links(t.pages).filter(F.col("href") != "")
     return links.groupBy("page_id").agg(F.count("*").alias("n_games"), F.min("href").alias("first_game"))

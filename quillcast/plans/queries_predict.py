@@ -141,13 +141,13 @@ def roster_teams(t: Tables) -> DataFrame:
 def sources(t: Tables) -> forecast.Sources:
     """The tables of a prediction: customers as players, nations as teams, their orders as recent games."""
     info = t.customer.select(F.col("c_custkey").cast("string").alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_nationkey").alias("team_id"), F.col("c_mktsegment").alias("position"), F.col("c_custkey").alias("o"))
-    per = t.orders.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") / 10000, 6).alias("PTS"), F.count("*").alias("REB"), (F.max("o_orderkey") % 9).alias("AST"))
+    per = t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("PTS"), F.count("*").alias("REB"), (F.max("o_orderkey") % 9).alias("AST"))
     averages = per.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("Player"), "PTS", "REB", "AST", (F.col("REB") * 2).alias("2PM"), F.col("REB").alias("3PM"), F.col("c_custkey").alias("o"))
     usage = t.customer.filter("c_custkey % 5 <> 0").select(F.col("c_name").alias("PLAYER"), F.pmod(F.floor(F.col("c_acctbal") / 400), F.lit(30)).cast("double").alias("USGPCT"), F.col("c_custkey").alias("o"))
     games = t.nation.filter("n_nationkey % 5 <> 4").select(F.col("n_nationkey").alias("home"), ((F.col("n_nationkey") * 7 + 1) % 25).alias("visitor"), F.col("n_nationkey").alias("o"))
     teams = t.nation.filter("n_nationkey <> 8").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("abbreviation"))
     positions = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("position"), F.col("c_custkey").alias("o"))
-    defense = t.customer.groupBy(F.col("c_mktsegment").alias("position"), F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal") / 100, 4).cast("string").alias("PTS"), F.count("*").cast("string").alias("REB"), F.lit(7).alias("AST"))
+    defense = t.customer.groupBy(F.col("c_mktsegment").alias("position"), F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").cast("string").alias("PTS"), F.count("*").cast("string").alias("REB"), F.lit(7).alias("AST"))
     defense = defense.join(t.nation, F.col("k") == F.col("n_nationkey")).select("position", F.concat(F.lit("x"), "n_name").alias("Team"), F.concat_ws(" ", "PTS", F.lit("3")).alias("PTS"), "REB", "AST", F.col("k").alias("o"))
     return forecast.Sources(info, averages, usage, games, teams, positions, defense)
 
@@ -163,14 +163,14 @@ def asked(t: Tables) -> DataFrame:
 REQUEST_SQL = f"""q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 9 = 0 THEN 'nobody ' || c_custkey || 'x' WHEN c_custkey % 9 = 1 THEN substr(c_name, 7, 30) ELSE ' ' || lower(c_name) END AS name, CAST(c_custkey % 21 - 10 AS DOUBLE) AS spread, CAST(200 + c_custkey % 50 AS DOUBLE) AS total FROM customer),
   u AS (SELECT request_id, upper(trim(name)) AS qn FROM q),
   pick AS (SELECT request_id, c.c_custkey, c_nationkey, c_mktsegment FROM (SELECT u.request_id, c_custkey, row_number() OVER (PARTITION BY u.request_id ORDER BY CASE WHEN upper(c_name) = qn THEN 1 ELSE 2 END, c_custkey) AS k FROM u JOIN customer ON contains(upper(c_name), qn)) p JOIN customer c ON c.c_custkey = p.c_custkey WHERE k = 1),
-  avgs AS (SELECT o_custkey, c_name, round(avg(o_totalprice) / 10000, 6) AS pts, count(*)::DOUBLE AS reb, (max(o_orderkey) % 9)::DOUBLE AS ast FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  avgs AS (SELECT o_custkey, c_name, max(o_totalprice) AS pts, count(*)::DOUBLE AS reb, (max(o_orderkey) % 9)::DOUBLE AS ast FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
   av AS (SELECT * FROM (SELECT request_id, a.*, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN upper(c_name) = qn THEN 1 ELSE 2 END, o_custkey) AS k FROM u JOIN avgs a ON contains(upper(c_name), qn)) WHERE k = 1),
   us AS (SELECT * FROM (SELECT request_id, CAST(((floor(c_acctbal / 400) % 30) + 30) % 30 AS DOUBLE) AS usage, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN upper(c_name) = qn THEN 1 ELSE 2 END, c_custkey) AS k FROM u JOIN customer ON c_custkey % 5 <> 0 AND contains(upper(c_name), qn)) WHERE k = 1),
   g AS (SELECT n_nationkey AS home, (n_nationkey * 7 + 1) % 25 AS visitor FROM nation WHERE n_nationkey % 5 <> 4),
   s AS (SELECT home AS team, visitor AS opponent, 1 AS is_home, home AS o FROM g UNION ALL SELECT visitor, home, 0, home FROM g WHERE home <> visitor),
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY o, is_home) AS k FROM s) WHERE k = 1),
   po AS (SELECT u.request_id, coalesce((SELECT lower(c_mktsegment) FROM customer WHERE c_custkey % 3 = 0 AND upper(c_name) = qn), p.c_mktsegment, 'SG') AS position FROM u LEFT JOIN pick p ON p.request_id = u.request_id),
-  d AS (SELECT c_mktsegment AS position, upper('x' || n_name) AS team, round(avg(c_acctbal) / 100, 4) AS pts, count(*)::DOUBLE AS reb, n_nationkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_name, n_nationkey),
+  d AS (SELECT c_mktsegment AS position, upper('x' || n_name) AS team, max(c_acctbal) AS pts, count(*)::DOUBLE AS reb, n_nationkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_name, n_nationkey),
   x AS (SELECT q.*, p.c_custkey, p.c_nationkey, po.position, f.opponent AS opponent_id, CASE WHEN f.opponent IS NOT NULL THEN coalesce(CASE WHEN f.opponent <> 8 THEN n_name END, 'UNK') END AS opponent, f.is_home,
     CASE WHEN p.c_custkey IS NULL THEN 'not_found' WHEN av.request_id IS NULL THEN 'no_averages' WHEN f.opponent IS NULL THEN 'no_game' ELSE 'ok' END AS status, av.pts, av.reb, av.ast, us.usage
     FROM q LEFT JOIN pick p USING (request_id) LEFT JOIN av USING (request_id) LEFT JOIN us USING (request_id) LEFT JOIN po USING (request_id) LEFT JOIN f ON f.team = nullif(p.c_nationkey, 0) LEFT JOIN nation ON n_nationkey = f.opponent),
@@ -202,12 +202,12 @@ def result_record(t: Tables) -> DataFrame:
     return out.select("request_id", "player", "prediction", "usage_rate", "game_context.is_home", "game_context.spread", "game_context.total", F.col("individual_predictions")["a"].alias("a_model"))
 
 
-@query("entity_linear", """WITH x AS (SELECT o_custkey, o_totalprice AS y, year(o_orderdate)::DOUBLE AS a FROM orders), m AS (SELECT o_custkey, count(*) AS n, avg(a) AS ma, avg(y) AS my, covar_pop(a, y) AS c, var_pop(a) AS v FROM x GROUP BY 1)
-  SELECT o_custkey, n, round(CASE WHEN v > 1e-9 THEN c / v ELSE 0 END, 3) + 0.0 AS slope, round(my - CASE WHEN v > 1e-9 THEN c / v ELSE 0 END * ma, 1) + 0.0 AS intercept FROM m""")
+@query("entity_linear", """WITH x AS (SELECT o_custkey, o_totalprice / 3.14159 AS y, (year(o_orderdate) - 1995)::DOUBLE AS a FROM orders), m AS (SELECT o_custkey, count(*) AS n, avg(a) AS ma, avg(y) AS my, covar_pop(a, y) AS c, var_pop(a) AS v FROM x GROUP BY 1)
+  SELECT o_custkey, n, round(CASE WHEN v > 1e-9 THEN c / v ELSE 0 END, 2) + 0.0 AS slope, round(my - CASE WHEN v > 1e-9 THEN c / v ELSE 0 END * ma, 1) + 0.0 AS intercept FROM m""")
 def entity_linear(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_custkey", F.col("o_totalprice").alias("y"), F.year("o_orderdate").cast("double").alias("a"))
+    rows = t.orders.select("o_custkey", (F.col("o_totalprice") / 3.14159).alias("y"), (F.year("o_orderdate") - 1995).cast("double").alias("a"))
     out = models.entity_affine(rows, "o_custkey", ["a"], "y")
-    return out.select("o_custkey", "n", (F.round(F.get("coefficients", F.lit(0)), 3) + 0.0).alias("slope"), (F.round("intercept", 1) + 0.0).alias("intercept"))
+    return out.select("o_custkey", "n", (F.round(F.get("coefficients", F.lit(0)), 2) + 0.0).alias("slope"), (F.round("intercept", 1) + 0.0).alias("intercept"))
 
 
 
