@@ -179,7 +179,7 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
                         sums[1] += np.bincount(key, minlength=size)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
 
-            def add(key, t: pa.Table) -> pa.Table:
+            def add(key, t):
                 total = sum(np.frombuffer(b, np.int64) for b in t.column("sums").to_pylist())
                 return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
