@@ -14,17 +14,24 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 
+#: Bits of a sieve, at any number of documents.
+SIEVE = 1 << 27
+#: Folders of our own, by application.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; in local mode one of our own where that is unset."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _OWN.get(sc.applicationId)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(root)
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
 
 
@@ -52,6 +59,21 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(part, bits): bitmaps of 4 KB of the hashes of a column, at most SIEVE bits in all."""
+    h = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    return keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
+    """The rows whose bit is set: all that are wanted, and few others until the sieve fills up. bits is broadcast: 16 MB at most."""
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(SIEVE)))
+    rows = rows.withColumn("_part", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h").cast("int"))
+    rows = rows.join(F.broadcast(bits), F.col("_part") == F.col("part"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter((F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2) == 1).drop("_h", "_part", "_bit", "part", "bits")
+
+
 def let(value, body):
     """Evaluate the column `value` once per row and use it in `body(column)`; a plain reference inside
     a higher-order function would be evaluated for each element."""

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import keep, table
+from quillcast.llm.common import keep, sieve, sifted, table
 from quillcast.llm.components import components
 from quillcast.llm.text_arrays import LOWER, NOT_SPACE, mix, runs, slices, text_buffers, word_bounds, word_hashes
 
-#: Bytes of the sets in one half of a block, and pairs that one copy of a centre's set serves.
-BLOCK_BYTES, PAIRS = 4 << 20, 2048
+#: Bytes of the sets in one half of a block.
+BLOCK_BYTES = 4 << 20
 #: Documents without an id get a number from here on, by their text; it never leaves this module.
 NO_ID = 1 << 62
 
@@ -121,20 +121,16 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(percent: int):
-    """Links among rows (a, part, b, s) in order of (a, part, b): the row of each (a, part) with null b has the set of a."""
-
     def run(batches):
-        at, held = None, None
         for batch in batches:
-            part, b, sets = (batch.column(k) for k in (1, 2, 3))
-            found = ([], [])
-            for k, (i, j, other) in enumerate(zip(batch.column(0).to_pylist(), part.to_pylist(), b.to_pylist())):
-                if other is None:
-                    at, held = (i, j), np.frombuffer(sets[k].as_buffer().to_pybytes(), np.uint64)
-                elif at == (i, j) and similar(held, np.frombuffer(sets[k].as_buffer(), np.uint64), percent):
-                    found[0].append(i)
-                    found[1].append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            a, b, x, y = (batch.column(k) for k in range(4))
+            last, held, ok = None, None, np.zeros(len(a), bool)
+            for k, (i, p, q) in enumerate(zip(a.to_pylist(), x, y)):
+                if i != last:
+                    last, held = i, np.frombuffer(p.as_buffer(), np.uint64)
+                ok[k] = similar(held, np.frombuffer(q.as_buffer(), np.uint64), percent)
+            keep_rows = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([a.filter(keep_rows), b.filter(keep_rows)], names=["a", "b"])
 
     return run
 
@@ -214,19 +210,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # Sets of too different sizes can't be linked.
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = keep(member.filter("rep <> centre.rep").filter(near(F.col("n"), F.col("centre.n"))).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = member.select(F.col("rep").alias("node")).distinct()
-    sets = docs.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "node long, s binary")
+    wanted = keep(member.select(F.col("rep").alias("node")).distinct(), "wanted")
+    # Only the texts that the sieve lets through are shuffled to those that are wanted.
+    able = sifted(docs.select("node", "text"), sieve(wanted, "node"), "node")
+    sets = able.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(words), "node long, s binary")
     sets = keep(sets, "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b). A centre's set goes once to every PAIRS of its pairs, so none is a task's burden."""
-        parts = pairs.groupBy("a").agg(F.count("*").alias("pairs")).select("a", F.ceil(F.col("pairs") / PAIRS).alias("parts"))
-        parts = keep(parts, "parts")
-        part = F.pmod(F.xxhash64("b"), F.col("parts"))
-        ask = pairs.join(parts, "a").select("a", part.alias("part"), "b").join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "s")
-        centre = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
-        both = ask.union(centre).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-        return keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+        return keep(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     def rooted(roots: DataFrame, members: DataFrame) -> DataFrame:
         return members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))

@@ -20,7 +20,7 @@ import re._parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import keep, let, table
+from quillcast.llm.common import keep, let, sieve, sifted, table
 from quillcast.llm.spans import SPAN, digest, find_spans, tagged
 
 #: Kind, pattern, and the least length of the value after the keyword (0: no such condition).
@@ -39,8 +39,6 @@ MORE_RULES = [
 ]
 RULES = BASE_RULES + MORE_RULES
 MOST = 16
-#: Bits of the sieve: 16 MB, in bitmaps of 4 KB, at any number of documents.
-SIEVE = 1 << 27
 
 
 def trigram_query(pattern: str) -> list[set[str]] | None:
@@ -102,21 +100,6 @@ def candidates(index: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame
     return both.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def sieve(keys: DataFrame) -> DataFrame:
-    """(part, bits): bitmaps of the hashes of `key`, at most SIEVE bits in all."""
-    h = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
-    return keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-
-
-def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """rows(key, ...) whose bit is set."""
-    rows = rows.withColumn("_h", F.pmod(F.xxhash64("key"), F.lit(SIEVE)))
-    rows = rows.withColumn("_part", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h").cast("int"))
-    rows = rows.join(F.broadcast(bits), F.col("_part") == F.col("part"))
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.filter((F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2) == 1).drop("_h", "_part", "_bit", "part", "bits")
-
-
 def find_secrets(docs: DataFrame, rules: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """(doc_id, spans) for every row of docs(doc_id, text): spans is an array per rule of (s, e, t).
 
@@ -134,7 +117,7 @@ def find_secrets(docs: DataFrame, rules: list[tuple[str, str, int]] | None = Non
     scanned = [(name, p, c) for name, p, c in rules if trigram_query(p) is None]
     first = keep(docs.select("doc_id", "key", held_trigrams(F.col("text"), named).alias("trigrams"), *(spans(p, c).alias(name) for name, p, c in scanned)), "index")
     able = keep(candidates(first, rules), "candidates")
-    texts = sifted(docs.select("key", "text"), sieve(able)).groupBy("key").agg(F.min("text").alias("text")).join(able, "key")
+    texts = sifted(docs.select("key", "text"), sieve(able, "key"), "key").groupBy("key").agg(F.min("text").alias("text")).join(able, "key")
     none = F.array().cast(SPAN)
     verify = lambda k, p, c: F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, spans(p, c)).otherwise(none)
     verified = keep(texts.select("key", *(verify(k, p, c).alias(name) for k, (name, p, c) in enumerate(rules) if trigram_query(p) is not None)), "verified")
