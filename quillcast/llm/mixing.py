@@ -2,10 +2,10 @@
 
 Targets: the sources' weights share the words of all documents; a source gives at most `epochs` times its
 own words, and what is over goes to the others by weight (in closed form, over one row per source).
-Schedule: 2 ** m slots of `block` words. Slot n asks the n-th van der Corput point which source it takes from:
+Schedule: 2 ** m slots, for blocks of a 2 ** -m of all words (to one word). Slot n asks the n-th van der Corput point which source it takes from:
 the one in whose stretch of the cumulative targets the point lies. So the points decide how many slots a source
 has (its target / block, to one slot) and every stretch of the schedule has each source in proportion.
-Slots are ranked within their source; rank k takes the k-th block of `block` words of the source's shuffled
+Slots are ranked within their source; rank k takes the k-th block of the source's shuffled
 stream of documents (repeated for each epoch, and not beyond the last), and documents join by (source, block).
 
 A block has about the cube root of all words: the slots, and with them the joins, grow less than the
@@ -33,8 +33,8 @@ def n_words(text: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
-    """One row per source of sized(source, size): sid, source, source_size, target, bits and block (the schedule has
-    2 ** bits slots of `block` words), first and slots (the source's stretch of the points, in units of 2 ** -bits), and
+    """One row per source of sized(source, size): sid, source, source_size, target, bits and all (the schedule has
+    2 ** bits slots for `all` words), first and slots (the source's stretch of the points, in units of 2 ** -bits), and
     take (the whole words that its slots can take).
 
     Sources take `weights` in turn by code point, null last. A source without words has target 0."""
@@ -58,9 +58,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epoch
     per = per.withColumn("cells", F.pow(F.lit(2.0), F.col("bits")).cast("decimal(17,0)"))
     edge = lambda c: F.expr(f"coalesce((CAST(`{c}` AS DECIMAL(20,0)) * cells + `all` - 1) div nullif(CAST(`all` AS DECIMAL(20,0)), 0), 0L)")
     per = per.withColumn("from", F.col("upto") - F.col("whole")).withColumn("first", edge("from")).withColumn("slots", edge("upto") - F.col("first"))
-    per = per.withColumn("block", F.ceil(F.col("all") / F.pow(F.lit(2.0), F.col("bits"))).cast("long"))
-    take = F.least(F.col("slots") * F.col("block"), F.col("source_size") * epochs)
-    return per.select("sid", "source", "source_size", "target", "bits", "block", "first", "slots", take.alias("take"))
+    take = F.least(_times("slots", "all", "cells"), F.col("source_size") * epochs)
+    return per.select("sid", "source", "source_size", "target", "bits", F.col("cells").cast("long").alias("cells"), "all", "first", "slots", take.alias("take"))
+
+
+def _times(x: str, by: str, over: str, less: int = 0) -> Column:
+    """(x * by - less) div over, in whole numbers of 38 digits."""
+    return F.expr(f"(CAST({x} AS DECIMAL(20,0)) * CAST(`{by}` AS DECIMAL(17,0)) - {less}) div CAST(`{over}` AS DECIMAL(20,0))")
 
 
 def schedule(targets: DataFrame) -> DataFrame:
@@ -81,10 +85,10 @@ def schedule(targets: DataFrame) -> DataFrame:
 
 
 def shuffled(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """sized with sid, take, block, source_size and off, the words before a document in its source's shuffled stream."""
+    """sized with sid, take, cells, all, source_size and off, the words before a document in its source's shuffled stream."""
     # md5 orders documents alike on every engine; ties of whole rows are interchangeable.
     h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    rows = sized.join(F.broadcast(targets.select("sid", F.col("source").alias("_s"), "source_size", "take", "block")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = sized.join(F.broadcast(targets.select("sid", F.col("source").alias("_s"), "source_size", "take", "cells", "all")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("h", h).withColumn("bucket", F.conv(F.substring("h", 1, BITS // 4), 16, 10).cast("long"))
     rows = rows.join(prefix_sums(rows, ["sid"], "bucket", "size").hint("merge"), ["sid", "bucket"])
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,8 +107,9 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3)
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1) / F.col("source_size")))))
     rows = rows.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("off"))
     rows = rows.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("take"))).filter("begin < end")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))))
-    low, high = F.greatest("begin", F.col("k") * F.col("block")), F.least("end", (F.col("k") + 1) * F.col("block"))
+    # Block k has the words from (k * all) div cells on, so word p is in block ((p + 1) * cells - 1) div all.
+    rows = rows.withColumn("k", F.explode(F.sequence(_times("begin + 1", "cells", "all", 1), _times("`end`", "cells", "all", 1))))
+    low, high = F.greatest("begin", _times("k", "all", "cells")), F.least("end", _times("k + 1", "all", "cells"))
     rows = rows.select("rid", "sid", "k", "epoch", (low - F.col("begin")).alias("at"), (high - low).alias("words"))
     return rows.join(slots.hint("merge"), ["sid", "k"]).select("rid", "slot", "epoch", "at", "words"), targets
 
@@ -147,15 +152,15 @@ t AS (SELECT sid, source, source_size, least(cap, w * max(CASE WHEN level <= cap
 u AS (SELECT *, least(CAST(round(target) AS BIGINT), source_size * 3) AS whole FROM t),
 n AS (SELECT greatest(1, CAST(ceil(log2(greatest(sum(whole), 1)::DOUBLE) * (2.0::DOUBLE / 3)) AS INT)) AS bits, CAST(sum(whole) AS BIGINT) AS total FROM u),
 v AS (SELECT sid, CAST(sum(whole) OVER (ORDER BY sid) AS BIGINT) AS upto, whole FROM u),
-z AS (SELECT (1::BIGINT << bits) AS cells, bits, total, CAST(ceil(total / (1::BIGINT << bits)::DOUBLE) AS BIGINT) AS block FROM n),
-p AS (SELECT i AS slot, CAST(list_sum(list_transform(range(bits), lambda j: ((i >> j) & 1) << (bits - 1 - j))) AS HUGEINT) * total AS point, cells, block FROM z, unnest(range(cells)) AS q(i)),
-h AS (SELECT sid, slot, block, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM p JOIN v ON point >= CAST(upto - whole AS HUGEINT) * cells AND point < CAST(upto AS HUGEINT) * cells),
-b AS (SELECT sid, any_value(block) AS block, least(count(*) * any_value(block), any_value(3 * source_size)) AS take FROM h JOIN u USING (sid) GROUP BY sid),
-o AS (SELECT rid, sid, size, source_size, take, block, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+z AS (SELECT (1::BIGINT << bits) AS cells, bits, total FROM n),
+p AS (SELECT i AS slot, CAST(list_sum(list_transform(range(bits), lambda j: ((i >> j) & 1) << (bits - 1 - j))) AS HUGEINT) * total AS point, cells, total FROM z, unnest(range(cells)) AS q(i)),
+h AS (SELECT sid, slot, cells, total, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM p JOIN v ON point >= CAST(upto - whole AS HUGEINT) * cells AND point < CAST(upto AS HUGEINT) * cells),
+b AS (SELECT sid, any_value(cells) AS cells, any_value(total) AS total, least(CAST(count(*)::HUGEINT * any_value(total) // any_value(cells) AS BIGINT), any_value(3 * source_size)) AS take FROM h JOIN u USING (sid) GROUP BY sid),
+o AS (SELECT rid, sid, size, source_size, take, cells, total, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN b USING (sid)),
-e AS (SELECT rid, sid, block, CAST(off + epoch * source_size AS BIGINT) AS lo, CAST(least(off + epoch * source_size + size, take) AS BIGINT) AS hi FROM o, unnest([0, 1, 2]) AS x(epoch) WHERE size > 0 AND off + epoch * source_size < take),
-c AS (SELECT rid, sid, block, lo, hi, unnest(range(lo // block, (hi - 1) // block + 1)) AS k FROM e),
-g AS (SELECT rid, CAST(sum(least(hi, (c.k + 1) * c.block) - greatest(lo, c.k * c.block)) AS BIGINT) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM c JOIN h ON h.sid = c.sid AND h.k = c.k GROUP BY rid)
+e AS (SELECT rid, sid, cells, total, CAST(off + epoch * source_size AS BIGINT) AS lo, CAST(least(off + epoch * source_size + size, take) AS BIGINT) AS hi FROM o, unnest([0, 1, 2]) AS x(epoch) WHERE size > 0 AND off + epoch * source_size < take),
+c AS (SELECT rid, sid, cells, total, lo, hi, unnest(range(CAST(((lo + 1)::HUGEINT * cells - 1) // total AS BIGINT), CAST((hi::HUGEINT * cells - 1) // total AS BIGINT) + 1)) AS k FROM e),
+g AS (SELECT rid, CAST(sum(least(hi, (c.k + 1)::HUGEINT * c.total // c.cells) - greatest(lo, c.k::HUGEINT * c.total // c.cells)) AS BIGINT) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM c JOIN h ON h.sid = c.sid AND h.k = c.k GROUP BY rid)
 SELECT d.doc_id, d.size, u.source_size, u.target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
 FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN g USING (rid)
 """
