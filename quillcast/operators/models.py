@@ -144,6 +144,8 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
 
         data = df.select(*(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL").mapInArrow(binned, "x binary, y double").persist()
 
+        n_parts = data.rdd.getNumPartitions()
+
         def renewed(data: DataFrame, done: list[list[tuple]]) -> DataFrame:
             """The table with what `done` gives taken off y."""
 
@@ -183,7 +185,7 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
                 total = sum(np.frombuffer(b, np.int64) for b in t.column("sums").to_pylist())
                 return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
-            parts, n = data.mapInArrow(partial, "part long, sums binary"), data.rdd.getNumPartitions()
+            parts, n = data.mapInArrow(partial, "part long, sums binary"), n_parts
             while n > FAN_IN:
                 n = -(-n // FAN_IN)
                 parts = parts.groupBy((F.col("part") % n).alias("part")).applyInArrow(add, "part long, sums binary")
