@@ -3,7 +3,8 @@
 linear, forest and gbt are Spark's own. bayesian needs one pass for sums of products and then iterates on a
 k x k matrix. hist_level and hist_leaf are histogram boosting: features are binned once into a stored table;
 for each level of a tree, gradients are summed by node, feature and bin on the executors, and the driver
-sees these sums only (nodes x features x bins). Sums are of whole numbers, so they don't depend on partitions. What
+sees these sums only (nodes x features x bins). Sums are of whole numbers, so with the same bins a model does
+not depend on partitions (the bins are approximate quantiles). What
 the trees so far give a row is put into the table every few trees. Leaf-wise growth then takes its leaves
 from the whole tree. entity_affine() is the closed form of `linear` for each entity on its own.
 """
@@ -123,7 +124,7 @@ def _best_first(tree: list[tuple], gains: dict[int, float], leaves: int) -> list
 def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int = 31, rate: float = 0.1, lam: float = 1.0, bins: int = 32):
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
         edges = bin_edges(df, features, bins)
-        base = float(df.agg(F.avg(label)).first()[0] or 0.0)
+        base = float(np.float32(df.agg(F.avg(label)).first()[0] or 0.0))  # without the digits that depend on the order of a sum
         least = 20 if growth == "leaf" else 1
         names, wide, k = features, max((len(e) for e in edges), default=0) + 1, len(features)
         forest: list[list[tuple]] = []
@@ -188,7 +189,7 @@ def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int
             parts, n = data.mapInArrow(partial, "part long, sums binary"), n_parts
             while n > FAN_IN:
                 n = -(-n // FAN_IN)
-                parts = parts.groupBy((F.col("part") % n).alias("part")).applyInArrow(add, "part long, sums binary")
+                parts = parts.groupBy((F.col("part") % n).alias("_group")).applyInArrow(add, "part long, sums binary")
             total = np.zeros(2 * size, np.int64)
             for r in parts.select("sums").collect():  # at most FAN_IN
                 total += np.frombuffer(r["sums"], np.int64)
