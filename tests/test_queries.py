@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import json
 import os
 
 import pytest
@@ -11,7 +12,8 @@ from quillcast import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"fit_gbt", "fit_hist_level", "fit_hist_leaf"}
+#: Chains of hundreds of jobs: the queries that train six models are run below with models that cost nothing.
+SLOW = {"fit_gbt", "fit_hist_level", "fit_hist_leaf", "model_report", "score_long", "predict_batch", "predict_requests"}
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +88,15 @@ def test_forecast_queries_train_every_model_on_every_copy(spark, monkeypatch):
         assert [r.model for r in registry.QUERIES[f"fit_{m}"](spark, DATA).collect()] == [m]
     rows = 100 * spark.read.parquet(f"{DATA}/customer.parquet").count()
     assert len(sizes) == 24 and all(0.75 * rows < n < 0.85 * rows for n in sizes)
+
+
+def test_requests_train_every_model(spark, monkeypatch):
+    from quillcast.operators import models
+
+    for m in models.MODELS:
+        monkeypatch.setitem(models.ESTIMATORS, m, lambda df, features, label: models._affine([0.0] * len(features), 1.0, features))
+    got = registry.QUERIES["predict_requests"](spark, DATA).collect()
+    ok = [r for r in got if r.status == "ok"]
+    assert len(got) == spark.read.parquet(f"{DATA}/customer.parquet").count() and {r.target_stat for r in ok} == {"points", "rebounds", "assists", "fantasy"}
+    assert all(set(json.loads(r.individual_predictions)) == set(models.MODELS) and r.prediction == 1.0 for r in ok)
+    assert {"ok", "not_found", "no_game"} <= {r.status for r in got} and all(r.prediction is None for r in got if r.status != "ok")
