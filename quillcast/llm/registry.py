@@ -7,6 +7,7 @@ from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quillcast.llm.pii import op6_find_personal_data
 from quillcast.llm.quality import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablation
+from quillcast.llm.ranked_search import OP13_SQL, op13_ranked_search
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 from quillcast.llm.sharding import op8_shard
 from quillcast.llm.token_files import op7_token_files
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_shard": op8_shard,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE = {
     "op1_mix_sources": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLE = {
     "quality_ablation": ABLATION_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
