@@ -10,6 +10,7 @@ from quillcast.llm.quality import ABLATION_SQL, OP5_SQL, op5_quality_rules, qual
 from quillcast.llm.ranked_search import OP13_SQL, op13_ranked_search
 from quillcast.llm.secrets import OP2_SQL, op2_secret_scan
 from quillcast.llm.sharding import op8_shard
+from quillcast.llm.token_alignment import op11_align_tokens
 from quillcast.llm.token_files import op7_token_files
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_shard": op8_shard,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_align_tokens": op11_align_tokens,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE = {
