@@ -3,6 +3,7 @@
 from quillcast.llm.decontaminate import OP10_SQL, op10_decontaminate
 from quillcast.llm.html_text import op3_html_text
 from quillcast.llm.language import op4_identify_language
+from quillcast.llm.language_model import op12_score_documents
 from quillcast.llm.mixing import OP1_SQL, op1_mix_sources
 from quillcast.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quillcast.llm.pii import op6_find_personal_data
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_align_tokens": op11_align_tokens,
+    "op12_score_documents": op12_score_documents,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE = {
