@@ -153,7 +153,7 @@ def _search(all_docs: int, all_terms: int, top: int, kind: pa.DataType):
             d, tf = np.frombuffer(d, np.int32).astype(np.int64), np.frombuffer(tf, np.int32).astype(np.int64)
             lists.append(ImpactList(d, w * ((1_000_000_000 * tf) // (SCALE * tf + 20 * m[d]))))
             for i in items:
-                asked.setdefault(i, []).append(k)
+                asked.setdefault(i["item_id"], []).append(k)
         # A null doc_id counts as the lowest.
         known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
         items, found, scores = [], [], []
@@ -185,7 +185,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     weight = F.floor(SCALE * F.log((2 * F.lit(total["d"]) + 2).cast("double") / (2 * F.col("df") + 1)))
     weighted = held.select("term", weight.alias("weight")).filter("weight > 0")
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")
-    asked = terms.join(weighted, "term").groupBy("term", "weight", block).agg(F.collect_list("item_id").alias("items"))  # of one block: bounded by BLOCK_PAIRS
+    asked = terms.join(weighted, "term").groupBy("term", "weight", block).agg(F.collect_list(F.struct("item_id")).alias("items"))  # a null counts too; of one block: bounded by BLOCK_PAIRS
     kind = terms.schema["item_id"].dataType
     rows = index.filter("term IS NOT NULL").join(asked, "term").select("chunk", "block", "term", "docs", "amounts", F.lit(None).cast("array<long>").alias("ids"), "weight", "items")
     heads = index.filter("term IS NULL").select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(None).cast("string").alias("term"), "docs", "amounts", "ids", F.lit(0).cast("long").alias("weight"), F.lit(None).cast(rows.schema["items"].dataType).alias("items"))

@@ -62,7 +62,11 @@ def test_against_sql(spark, name):
     assert got == sorted(tuple(fix(r[cols.index(n)]) for n in names) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op3_html_text"}))
+#: Queries whose rows are not documents; their odd rows have tests of their own.
+OTHER_ROWS = {"op3_html_text", "quality_ablation", "op13_ranked_search"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - OTHER_ROWS))
 def test_odd_rows_and_an_empty_table(spark, odd, tmp_path, name):
     """Every row comes back, whatever is in it; an empty table gives an empty result; clashing columns do no harm."""
     clash = odd.withColumns({"n_words": F.lit("x"), "size": F.lit("x"), "spans": F.lit("x"), "rid": F.lit("x"), "node": F.lit("x"), "start": F.lit("x"), "kept": F.lit("x"), "target": F.lit("x")})
@@ -75,6 +79,17 @@ def test_odd_rows_and_an_empty_table(spark, odd, tmp_path, name):
     assert registry.QUERIES[name](spark, e).count() == 0
 
 
+def test_ablation_of_odd_rows_and_of_an_empty_table(spark, odd, tmp_path):
+    """A row for each policy and rule, whatever the documents are; without documents all counts are 0."""
+    d, e = write(odd.withColumns({"rule": F.lit("x"), "policy": F.lit("x")}), tmp_path / "odd"), write(odd.limit(0), tmp_path / "empty")
+    got, none = registry.QUERIES["quality_ablation"](spark, d).collect(), registry.QUERIES["quality_ablation"](spark, e).collect()
+    rules = {(p, r) for p, own in quality.POLICIES.items() for r in own}
+    assert len(got) == len(rules) and {(r.policy, r.rule) for r in got} == {(r.policy, r.rule) for r in none} == rules
+    assert all((r.n_failed, r.n_only, r.n_kept_without) == (0, 0, 0) for r in none)
+    failed = {(r.policy, r.rule): r.n_failed for r in got}
+    assert max(failed.values()) >= 8 and all(0 <= r.n_only <= r.n_failed <= len(ODD) for r in got)
+
+
 # 1. mixing
 
 
