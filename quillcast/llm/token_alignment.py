@@ -25,12 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcast.llm.common import keep, table
+from quillcast.llm.common import batches_of, keep, table
 from quillcast.llm.text_arrays import slices, text_buffers
 from quillcast.llm.token_files import Encoder, gather, vocabulary_file
 
 #: Tokens of a lane, tokens looked at to find where one begins, and the most that is compared at a time.
-LANE, LOOK, WIDEST = 1024, 64, 4096
+LANE, LOOK, WIDEST = 256, 64, 4096
+#: Bytes of text that are aligned at a time.
+SLICE_BYTES = 1 << 20
+#: Stretches that a worker's cache of A keeps, and documents that a worker gets at a time.
+MOST_KEPT, TOGETHER = 1 << 18, 1000
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 GROUPS = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
 
@@ -49,9 +53,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def after_blank(col: pa.Array) -> pa.Array:
-    """A blank and each text."""
-    blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+def after_blank(col: pa.Array, before: str = "") -> pa.Array:
+    """`before`, a blank and each text."""
+    blank, none = pa.scalar(f"{before} ", pa.large_string()), pa.scalar("", pa.large_string())
     return pc.binary_join_element_wise(blank, col.cast(pa.large_string()), none)
 
 
@@ -83,7 +87,7 @@ class Tokenizers:
     def __init__(self, source: str, model: bytes):
         import sentencepiece
 
-        self.a = PlainEncoder(source)
+        self.a = PlainEncoder(source, most_kept=MOST_KEPT)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         letters, by_id = byte_letters(), {k: t for t, k in self.a.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.of_a = Vocabulary([bytes(letters[c] for c in by_id.get(k, "")) for k in range(max(by_id) + 1)])
@@ -93,10 +97,16 @@ class Tokenizers:
         piece = [self.b.id_to_piece(k) for k in range(n)]
         self.of_b = Vocabulary([b"" if odd[k] else bytes([int(piece[k][1:-1], 16)]) if self.b.is_byte(k) else piece[k].replace("▁", " ").encode() for k in range(n)])
         self.pairs = possible_pairs(self.of_a.entries, self.of_b.entries)
+        self.stop = self.of_a.entries.index(b".")
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, number of ids of each text) of A and of B."""
-        a, n_a = self.a.encode(after_blank(col))
+        # Behind a full stop, which is always a token of its own before a blank, the blank is cut like all others.
+        a, n_a = self.a.encode(after_blank(col, "."))
+        first = np.cumsum(n_a) - n_a
+        if not (a[first] == self.stop).all():
+            raise ValueError("a full stop before a blank isn't a token of its own")
+        a, n_a = np.delete(a, first), n_a - 1
         lists = self.b.encode(col.to_pylist(), num_threads=1)
         n_b = np.array([len(x) for x in lists], np.int64)
         return a.astype(np.int64), n_a, np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum())), n_b
@@ -225,9 +235,9 @@ def _align(held, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _worker(held)
         for batch in batches:
-            col = batch.column(1).cast(pa.large_string())
-            for lo, hi in slices(text_buffers(col)[1]):
-                part = col.slice(lo, hi - lo).fill_null("")
+            col = batch.column(1)
+            for lo, hi in slices(text_buffers(col)[1], SLICE_BYTES):
+                part = col.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
                 a, n_a, b, n_b = t.encode(part)
                 data, offs = text_buffers(after_blank(part))
                 ok = (np.diff(offs) > 1) & same_bytes(t.of_a, a, n_a, data, offs) & same_bytes(t.of_b, b, n_b, data, offs)
@@ -315,7 +325,8 @@ def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = No
     held = _tokenizers(docs, vocabulary, model)
     pairs = Tokenizers(*held.value).pairs
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stored = keep(rows.mapInArrow(_align(held, False), DIGEST), "links")
+    with batches_of(spark, TOGETHER):
+        stored = keep(rows.mapInArrow(_align(held, False), DIGEST), "links")
     sums = stored.select("links").mapInArrow(_count(len(pairs)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(len(pairs), np.int64)
     n[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
