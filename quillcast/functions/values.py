@@ -58,3 +58,21 @@ def unit_noise(seed: int | str, name: str, *keys: Column) -> Column:
 
 def uniform(low: float, high: float, seed: int | str, name: str, *keys: Column) -> Column:
     return F.lit(low) + F.lit(high - low) * unit_noise(seed, name, *keys)
+
+
+def counter_noise(seed: int, stream: str, names: list[str], *keys: Column) -> dict[str, Column]:
+    """For each name a number in [0, 1) of 2 ** 21 steps, like unit_noise(); three names share one 64-bit hash of the keys and a counter."""
+    out = {}
+    for k, name in enumerate(names):
+        h = F.xxhash64(F.lit(f"{seed}:{stream}:{k // 3}"), *keys)
+        out[name] = F.shiftrightunsigned(h, 21 * (k % 3)).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") / F.lit(float(1 << 21))
+    return out
+
+
+def noises(kind: str, bounds: dict[str, tuple[float, float]], seed: int, stream: str, *keys: Column) -> dict[str, Column]:
+    """For each name a number within its bounds: by counter_noise() with kind "counter", by unit_noise() (digits of md5) with "md5"."""
+    if kind == "md5":
+        return {n: uniform(*b, seed, n, *keys) for n, b in bounds.items()}
+    if kind != "counter":
+        raise ValueError(f"unknown noise: {kind}")
+    return {n: F.lit(bounds[n][0]) + F.lit(bounds[n][1] - bounds[n][0]) * u for n, u in counter_noise(seed, stream, list(bounds), *keys).items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcast.functions.values import clamp, uniform
+from quillcast.functions.values import clamp, noises
 
 #: The columns of a feature row, with the defaults of a training base row.
 NUMERIC = ["pts", "reb", "ast", "mins", "fga", "fg3a", "fta", "stl", "blk", "tov"]
@@ -17,24 +17,25 @@ NOISE, RATE, FINAL = (0.8, 1.2), (0.9, 1.1), (0.95, 1.05)
 HOME, AWAY = 1.05, 0.98
 
 
-def replicate(df: DataFrame, keys: list[str], columns: list[str], n: int = 100, seed: int = 42) -> DataFrame:
+def replicate(df: DataFrame, keys: list[str], columns: list[str], n: int = 100, seed: int = 42, noise: str = "md5") -> DataFrame:
     """n copies of each row, numbered by `copy`, each of `columns` times its own noise; the rest stays as it is.
 
-    Noise depends on keys, copy, column and seed only. Copies are made by explode, in the task of the row."""
+    Noise depends on keys, copy, column and seed only (see noises() for its kinds). Copies are made by explode, in the task of the row."""
     out = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     ks = [F.col(k) for k in keys] + [F.col("copy")]
-    return out.select(*((F.col(c) * uniform(*NOISE, seed, c, *ks)).alias(c) if c in columns else F.col(c) for c in out.columns))
+    u = noises(noise, {c: NOISE for c in columns}, seed, "copies", *ks)
+    return out.select(*((F.col(c) * u[c]).alias(c) if c in columns else F.col(c) for c in out.columns))
 
 
-def targets(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+def targets(df: DataFrame, keys: list[str], seed: int = 42, noise: str = "md5") -> DataFrame:
     """df with target_pts, target_reb, target_ast (each at least 0) and target_fd, the weighted score of the unfloored values."""
     ks = [F.col(k) for k in keys]
-    u = lambda name, bounds: uniform(*bounds, seed, name, *ks)
+    u = noises(noise, {f"t_{k}": RATE for k in ("pts", "reb", "ast")} | {f"f_{k}": FINAL for k in ("pts", "reb", "ast")}, seed, "targets", *ks)
     home = F.when(F.col("is_home") == 1, HOME).otherwise(AWAY)
     raw = {
-        "pts": F.col("pts") * u("t_pts", RATE) * (F.col("usage_rate") / 25) * (F.col("opp_pts_allowed") / 25) * home * (F.col("total") / 220) * u("f_pts", FINAL),
-        "reb": F.col("reb") * u("t_reb", RATE) * (F.col("opp_reb_allowed") / 8) * home * u("f_reb", FINAL),
-        "ast": F.col("ast") * u("t_ast", RATE) * (F.col("usage_rate") / 25) * (F.col("opp_ast_allowed") / 6) * home * u("f_ast", FINAL),
+        "pts": F.col("pts") * u["t_pts"] * (F.col("usage_rate") / 25) * (F.col("opp_pts_allowed") / 25) * home * (F.col("total") / 220) * u["f_pts"],
+        "reb": F.col("reb") * u["t_reb"] * (F.col("opp_reb_allowed") / 8) * home * u["f_reb"],
+        "ast": F.col("ast") * u["t_ast"] * (F.col("usage_rate") / 25) * (F.col("opp_ast_allowed") / 6) * home * u["f_ast"],
     }
     df = df.withColumns({f"_{k}": v for k, v in raw.items()})
     score = weighted_score(F.col("_pts"), F.col("_reb"), F.col("_ast"), F.col("stl"), F.col("blk"), F.col("tov"))

@@ -11,13 +11,13 @@ MISSING_SCORE = 0.8
 
 
 def combine(predictions: DataFrame, request: str, scores: DataFrame | None = None) -> DataFrame:
-    """From (request, model, prediction) and (model, score): prediction, spread, mean_score, confidence, n_models per request.
+    """From (request, model, prediction) and (model, score), or from predictions with their own `score`: prediction, spread, mean_score, confidence, n_models per request.
 
     A model without a score counts as 0.8. confidence = (0.7 * mean score + 0.3 * agreement) * 100 within 60 and
     99; agreement = 1 - min(spread / mean, 0.3), or 0.85 if the mean isn't positive."""
     if scores is not None:
         predictions = predictions.join(scores.select("model", "score"), "model", "left")
-    else:
+    elif "score" not in predictions.columns:
         predictions = predictions.withColumn("score", F.lit(None).cast("double"))
     return with_confidence(predictions.groupBy(request).agg(
         F.avg("prediction").alias("prediction"), F.stddev_pop("prediction").alias("spread"),

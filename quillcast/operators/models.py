@@ -1,12 +1,7 @@
 """Six regressors as Spark jobs over one feature table.
 
-linear, forest and gbt are Spark's own. bayesian needs one pass for sums of products and then iterates on a
-k x k matrix. hist_level and hist_leaf are histogram boosting: features are binned once into a stored table;
-for each level of a tree, gradients are summed by node, feature and bin on the executors, and the driver
-sees these sums only (nodes x features x bins). Sums are of whole numbers, so with the same bins a model does
-not depend on partitions (the bins are approximate quantiles). What
-the trees so far give a row is put into the table every few trees. Leaf-wise growth then takes its leaves
-from the whole tree. entity_affine() is the closed form of `linear` for each entity on its own.
+linear and bayesian are solved from one matrix of sums (gram.py), forest is Spark's own, gbt, hist_level and hist_leaf are
+histogram boosting (boosting.py): gbt with leaves that are plain means, hist_level and hist_leaf with shrunken ones. entity_affine() is the closed form for each entity on its own.
 """
 
 from __future__ import annotations
@@ -14,17 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, SEED = 50, 42
-#: Partial sums that reach the driver at a time; trees after which a row's margin is stored again.
-FAN_IN, RENEW = 32, 5
+from quillcast.operators import gram
+from quillcast.operators.boosting import TREES, fit_histogram
+
+SEED = 42
 MODELS = ["linear", "bayesian", "forest", "gbt", "hist_level", "hist_leaf"]
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -51,203 +45,24 @@ def _affine(coefficients: list[float], intercept: float, features: list[str]) ->
     return score
 
 
-def fit_bayesian(df: DataFrame, features: list[str], label: str, rounds: int = 300, tolerance: float = 1e-6) -> Scorer:
-    """Ridge regression whose noise and weight precisions come from the evidence (MacKay 1992)."""
-    cols = [*features, label]
-    k = len(features)
-    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    row = df.agg(F.count("*"), *(F.avg(c) for c in cols), *(F.covar_pop(cols[i], cols[j]) for i, j in pairs)).first()
-    n, mean = row[0], np.array(row[1 : k + 2], float)
-    c = np.zeros((k + 1, k + 1))
-    for (i, j), v in zip(pairs, row[k + 2 :]):
-        c[i, j] = c[j, i] = v * n
-    xx, xy, yy = c[:k, :k], c[:k, k], c[k, k]
-    values, vectors = np.linalg.eigh(xx)
-    values, turned = np.maximum(values, 0), vectors.T @ xy
-    alpha, lam, w = n / max(yy, 1e-12), 1.0, np.zeros(k)
-    for _ in range(rounds):
-        new = vectors @ (turned / (values + lam / alpha))
-        gamma = float((alpha * values / (lam + alpha * values)).sum())
-        residual = max(yy - 2 * new @ xy + new @ xx @ new, 1e-12)
-        lam, alpha = (gamma + 2e-6) / (new @ new + 2e-6), (n - gamma + 2e-6) / (residual + 2e-6)
-        done = np.abs(new - w).sum() < tolerance
-        w = new
-        if done:
-            break
-    return _affine(w.tolist(), float(mean[k] - w @ mean[:k]), features)
-
-
-def bin_edges(df: DataFrame, features: list[str], bins: int = 32) -> list[list[float]]:
-    """Inner bounds of each feature's bins, by approximate quantiles."""
-    quantiles = df.approxQuantile(features, [k / bins for k in range(1, bins)], 0.002)
-    return [sorted(set(q)) for q in quantiles]
-
-
-def _grow(sums: np.ndarray, lam: float, least: int) -> tuple[float, int, int]:
-    """The best split of a node from sums[feature, bin, (g, h)]: gain, feature, last bin on the left."""
-    g, h = sums[:, :, 0], sums[:, :, 1]
-    gl, hl = np.cumsum(g, 1)[:, :-1], np.cumsum(h, 1)[:, :-1]
-    ga, ha = g.sum(1, keepdims=True), h.sum(1, keepdims=True)
-    gain = gl**2 / (hl + lam) + (ga - gl) ** 2 / (ha - hl + lam) - ga**2 / (ha + lam)
-    gain[(hl < least) | (ha - hl < least)] = -np.inf
-    if not gain.size or not np.isfinite(gain.max()):
-        return 0.0, -1, -1
-    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-    return float(gain[f, b]), int(f), int(b)
-
-
-def _route(tree: list[tuple], x: np.ndarray) -> np.ndarray:
-    """The leaf of each row of binned features. A node is (feature, bin, low, high, value); feature -1 is a leaf, whose value counts."""
-    f, b, low, high = (np.array([n[k] for n in tree]) for k in range(4))
-    at, rows = np.zeros(len(x), int), np.arange(len(x))
-    while True:
-        inner = f[at] >= 0
-        if not inner.any():
-            return at
-        at = np.where(inner, np.where(x[rows, f[at]] <= b[at], low[at], high[at]), at)
-
-
-def _best_first(tree: list[tuple], gains: dict[int, float], leaves: int) -> list[tuple]:
-    """The part of a fully grown tree that leaf-wise growth makes: always the waiting leaf of most gain, up to `leaves` leaves."""
-    taken: set[int] = set()
-    waiting = [0] if 0 in gains else []
-    while waiting and len(taken) < leaves - 1:
-        node = max(waiting, key=lambda k: (gains[k], -k))
-        waiting.remove(node)
-        taken.add(node)
-        waiting += [k for k in tree[node][2:4] if k in gains]
-    kept = sorted({0} | {k for n in taken for k in tree[n][2:4]})
-    new = {k: i for i, k in enumerate(kept)}
-    return [(f, b, new[low], new[high], v) if k in taken else (-1, 0, 0, 0, v) for k in kept for f, b, low, high, v in [tree[k]]]
-
-
-def _fit_histogram(growth: str, trees: int = TREES, depth: int = 6, leaves: int = 31, rate: float = 0.1, lam: float = 1.0, bins: int = 32):
+def _from_gram(solve: Callable[[gram.Block], tuple[np.ndarray, float]]) -> Callable[[DataFrame, list[str], str], Scorer]:
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
-        edges = bin_edges(df, features, bins)
-        base = float(np.float32(df.agg(F.avg(label)).first()[0] or 0.0))  # without the digits that depend on the order of a sum
-        least = 20 if growth == "leaf" else 1
-        names, wide, k = features, max((len(e) for e in edges), default=0) + 1, len(features)
-        forest: list[list[tuple]] = []
-
-        spread = df.agg(F.max(F.abs(F.col(label) - base))).first()[0] or 1.0
-        # Gradients as whole numbers of 2 ** -30 of the largest: sums of any 2 ** 33 of them are exact.
-        unit = float(spread) / (1 << 30)
-
-        def binned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for p in rows:
-                x = np.column_stack([np.searchsorted(e, np.nan_to_num(np.array(p.column(i).to_numpy(zero_copy_only=False), float), nan=-np.inf), "left") for i, e in enumerate(edges)]).astype(np.uint8)
-                y = (p.column(k).to_numpy(zero_copy_only=False).astype(float) - base) / unit
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()), pa.array(y)], names=["x", "y"])
-
-        def split(p: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            col = p.column(0)
-            return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, k), p.column(1).to_numpy()
-
-        data = df.select(*(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL").mapInArrow(binned, "x binary, y double").persist()
-
-        n_parts = data.rdd.getNumPartitions()
-
-        def renewed(data: DataFrame, done: list[list[tuple]]) -> DataFrame:
-            """The table with what `done` gives taken off y."""
-
-            def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for p in rows:
-                    x, y = split(p)
-                    for t in done:
-                        y = y - rate * np.array([n[4] for n in t])[_route(t, x)]
-                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(y)], names=["x", "y"])
-
-            return data.mapInArrow(run, "x binary, y double").persist()
-
-        def sums_of(data: DataFrame, tree: list[tuple], open_nodes: list[int], done: list[list[tuple]]) -> dict[int, np.ndarray]:
-            size = len(open_nodes) * k * wide
-
-            def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sums = np.zeros((2, size), np.int64)
-                place = np.full(len(tree), -1)
-                place[open_nodes] = np.arange(len(open_nodes))
-                for p in rows:
-                    x, y = split(p)
-                    for t in done:
-                        y = y - rate * np.array([n[4] for n in t])[_route(t, x)]
-                    at = place[_route(tree, x)]
-                    own = at >= 0
-                    g = np.rint(-y[own])
-                    base_key = at[own] * (k * wide)
-                    for f in range(k):
-                        key = base_key + f * wide + x[own, f]
-                        # Halves of 30 bits keep the sums of bincount, which are doubles, exact.
-                        low = np.mod(g, 1 << 20)
-                        sums[0] += np.rint(np.bincount(key, (g - low) / (1 << 20), size)).astype(np.int64) * (1 << 20) + np.rint(np.bincount(key, low, size)).astype(np.int64)
-                        sums[1] += np.bincount(key, minlength=size)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
-
-            def add(key, t):
-                total = sum(np.frombuffer(b, np.int64) for b in t.column("sums").to_pylist())
-                return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
-
-            parts, n = data.mapInArrow(partial, "part long, sums binary"), n_parts
-            while n > FAN_IN:
-                n = -(-n // FAN_IN)
-                parts = parts.groupBy((F.col("part") % n).alias("_group")).applyInArrow(add, "part long, sums binary")
-            total = np.zeros(2 * size, np.int64)
-            for r in parts.select("sums").collect():  # at most FAN_IN
-                total += np.frombuffer(r["sums"], np.int64)
-            out = np.moveaxis(total.reshape(2, len(open_nodes), k, wide), 0, -1).astype(float)
-            return dict(zip(open_nodes, out))
-
-        recent: list[list[tuple]] = []
-        for _ in range(trees):
-            tree: list[tuple] = [(-1, 0, 0, 0, 0.0)]
-            open_nodes, level = [0], 0
-            gains: dict[int, float] = {}
-            # A node's best split doesn't depend on other nodes, so each level is one job for either growth.
-            while open_nodes and level < depth:
-                found, open_nodes = sums_of(data, tree, open_nodes, recent), []
-                for node, s in found.items():
-                    gain, f, b = _grow(s, lam, least)
-                    if gain > 1e-12:
-                        low, high = s[f, : b + 1].sum(0), s[f, b + 1 :].sum(0)
-                        at = len(tree)
-                        tree += [(-1, 0, 0, 0, -low[0] / (low[1] + lam)), (-1, 0, 0, 0, -high[0] / (high[1] + lam))]
-                        tree[node] = (f, b, at, at + 1, tree[node][4])
-                        gains[node] = gain
-                        open_nodes += [at, at + 1]
-                level += 1
-            recent.append(_best_first(tree, gains, leaves) if growth == "leaf" else tree)
-            if len(recent) == RENEW:
-                forest += recent
-                old, data, recent = data, renewed(data, recent), []
-                data.count()
-                old.unpersist()
-        data.unpersist()
-        forest = [[(*n[:4], n[4] * unit) for n in t] for t in forest + recent]
-
-        def score(rows: DataFrame) -> DataFrame:
-            def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for p in parts:
-                    x = np.column_stack([np.searchsorted(e, p[c].fillna(-np.inf).to_numpy(float), "left") for c, e in zip(names, edges)])
-                    y = np.full(len(p), base)
-                    for t in forest:
-                        y = y + rate * np.array([n[4] for n in t])[_route(t, x)]
-                    p["prediction"] = y
-                    yield p
-
-            schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "prediction double"])
-            return rows.mapInPandas(predict, schema)
-
-        return score
+        found = gram.gram(df, [*features, label])
+        if found is None:
+            raise ValueError("no row has all features and a label")
+        w, intercept = solve(found)
+        return _affine(w.tolist(), intercept, features)
 
     return fit
 
 
 ESTIMATORS: dict[str, Callable[[DataFrame, list[str], str], Scorer]] = {
-    "linear": _spark_model(lambda: LinearRegression(solver="normal")),
-    "bayesian": fit_bayesian,
+    "linear": _from_gram(gram.least_squares),
+    "bayesian": _from_gram(gram.evidence_ridge),
     "forest": _spark_model(lambda: RandomForestRegressor(numTrees=TREES, maxDepth=8, seed=SEED, featureSubsetStrategy="all", subsamplingRate=1.0)),
-    "gbt": _spark_model(lambda: GBTRegressor(maxIter=TREES, maxDepth=6, stepSize=0.1, seed=SEED)),
-    "hist_level": _fit_histogram("level"),
-    "hist_leaf": _fit_histogram("leaf"),
+    "gbt": fit_histogram("level", lam=0.0),
+    "hist_level": fit_histogram("level"),
+    "hist_leaf": fit_histogram("leaf"),
 }
 
 
@@ -274,38 +89,22 @@ def score_long(rows: DataFrame, scorers: dict[str, Scorer], *keys: str) -> DataF
     return rows.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.*")
 
 
-def entity_affine(train: DataFrame, entity: str, features: list[str], label: str) -> DataFrame:
-    """(entity, n, coefficients, intercept): least squares for each entity on its own rows, of least norm.
+def entity_affine(train: DataFrame, entity: str, features: list[str], label: str, solve: Callable[[gram.Block], tuple[np.ndarray, float]] = gram.least_squares) -> DataFrame:
+    """(entity, n, coefficients, intercept) of each entity's own rows: least squares of least norm, or `solve` (evidence_ridge for the Bayesian model).
 
-    Per entity one pass of sums (partial before the shuffle); a row of k * k sums is solved in the task that has it. Features
-    that don't vary within an entity have coefficient 0."""
-    cols = [*features, label]
-    m = len(cols)
-    pairs = [(i, j) for i in range(m) for j in range(i, m)]
-    sums = train.filter(F.col(label).isNotNull()).groupBy(F.col(entity).alias("_e")).agg(
-        F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs)
-    )
-    rows = sums.select("_e", "n", F.array(*(F.col(f"m{i}") for i in range(m))).alias("mean"), F.array(*(F.col(f"c{i}_{j}") for i, j in pairs)).alias("cov"))
+    Rows become blocks of sums where they are; an entity's blocks, one for each task with rows of it, are shuffled, merged and solved in
+    a task. Features that don't vary within an entity have coefficient 0. Rows with a null or NaN take no part."""
+    rows = gram.gram_by(train, entity, [*features, label])
 
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for mean, cov in zip(p["mean"], p["cov"]):
-                c = np.zeros((m, m))
-                for (i, j), v in zip(pairs, cov):
-                    c[i, j] = c[j, i] = v
-                scale = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
-                scale[scale < 1e-9 * (1 + np.abs(mean[:-1]))] = 0
-                own = np.flatnonzero(scale)
-                w = np.zeros(m - 1)
-                if len(own):
-                    xx = c[np.ix_(own, own)] / np.outer(scale[own], scale[own])
-                    w[own] = np.linalg.lstsq(xx, c[own, -1] / scale[own], rcond=1e-10)[0] / scale[own]
-                out.append((w.tolist(), float(mean[-1] - w @ np.array(mean[:-1]))))
-            yield pd.DataFrame({"_e": p["_e"], "n": p["n"], "coefficients": [o[0] for o in out], "intercept": [o[1] for o in out]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram.total(b) for b in batch.column(1).to_pylist()]
+            out = [solve(b) for b in found]
+            columns = [batch.column(0), pa.array([b[0] for b in found], pa.int64()), pa.array([w.tolist() for w, _ in out], pa.list_(pa.float64())), pa.array([i for _, i in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["entity", "n", "coefficients", "intercept"])
 
-    kind = rows.schema["_e"].dataType.simpleString()
-    return rows.mapInPandas(solve, f"_e {kind}, n long, coefficients array<double>, intercept double").withColumnRenamed("_e", entity)
+    kind = rows.schema["entity"].dataType.simpleString()
+    return rows.mapInArrow(run, f"entity {kind}, n long, coefficients array<double>, intercept double").withColumnRenamed("entity", entity)
 
 
 def score_affine(rows: DataFrame, fitted: DataFrame, entity: str, features: list[str]) -> DataFrame:

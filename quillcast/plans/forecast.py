@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillcast.functions import text as ft
 from quillcast.functions.values import safe_float
-from quillcast.operators import augment, ensemble, models, resolve, rolling, schedule, split_scale
+from quillcast.operators import augment, ensemble, entity_models, models, resolve, rolling, schedule, split_scale
 from quillcast.operators.augment import CONTEXT, FEATURES, NUMERIC
 
 #: The target of each statistic, and defaults of what the opponents allow.
@@ -30,10 +30,10 @@ def feature_row(entities: DataFrame, log: DataFrame, opponents: DataFrame, entit
     return out.select(entity, *numeric, *context)
 
 
-def training_rows(features: DataFrame, entity: str, copies: int = 100, seed: int = 42) -> DataFrame:
+def training_rows(features: DataFrame, entity: str, copies: int = 100, seed: int = 42, noise: str = "counter") -> DataFrame:
     """`copies` noisy replicas of each feature row, with targets. is_home and usage_rate stay as they are."""
     noisy = [c for c in FEATURES if c not in ("is_home", "usage_rate")]
-    return augment.targets(augment.replicate(features, [entity], noisy, copies, seed), [entity, "copy"], seed)
+    return augment.targets(augment.replicate(features, [entity], noisy, copies, seed, noise), [entity, "copy"], seed, noise)
 
 
 def status_of(found: str, averages: str, game: str) -> Column:
@@ -55,7 +55,8 @@ def fit(features: DataFrame, entity: str, target: str = "points", copies: int =
     A model that fails is left out and its error is its status. The split is held while the models are fitted
     and measured, in memory or on disk; the report has one row for each model."""
     label = target_column(target)
-    rows = split_scale.pooled_split(training_rows(features, entity, copies, seed), [entity, "copy"], 0.2, seed).persist()
+    features = features.select(entity, *FEATURES).persist()
+    rows = split_scale.pooled_split(training_rows(features, entity, copies, seed).select(entity, "copy", *FEATURES, label), [entity, "copy"], 0.2, seed).persist()
     scorers, status = models.fit_all(rows.filter("NOT is_test"), FEATURES, label, names)
     errors = {}
     if scorers:
@@ -64,6 +65,7 @@ def fit(features: DataFrame, entity: str, target: str = "points", copies: int =
         found = scored.groupBy("model").agg(ensemble.mae(label, "prediction").alias("mae"), ensemble.r2(label, "prediction").alias("r2"))
         errors = {r["model"]: (r["mae"], r["r2"]) for r in found.collect()}
     rows.unpersist()
+    features.unpersist()
     report = [(m, s, *errors.get(m, (None, None))) for m, s in status.items()]
     return scorers, features.sparkSession.createDataFrame(report, "model string, status string, mae double, r2 double")
 
@@ -136,22 +138,42 @@ def request_features(requests: DataFrame, s: Sources, aliases: dict[str, str] |
     return found.select("request_id", "name", "player_id", "position", "opponent", status.alias("status"), *numeric, *context)
 
 
-def predict_requests(requests: DataFrame, s: Sources, copies: int = 100, seed: int = 42, names: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+def predict_own(features: DataFrame, entity: str, target: str, copies: int = 100, seed: int = 42, names: list[str] | None = None) -> DataFrame:
+    """(entity, model, prediction, mae, score): each row of features(entity, `target`, the 18 features) by models of its own noisy copies, 80 % of which they learn from.
+
+    `target` is the column with the name of each row's statistic (a key of TARGETS). The entity must be different in all rows."""
+    able = features.withColumn("_test", split_scale.test_copies([entity], copies, 0.2, seed))
+    rows = training_rows(able, entity, copies, seed)
+    label = F.coalesce(*(F.when(F.col(target) == k, F.col(v)) for k, v in TARGETS.items()))
+    role = F.when(F.array_contains("_test", F.col("copy")), 1).otherwise(0)
+    rows = rows.select(entity, "copy", *FEATURES, label.alias("_label"), role.alias("_role"))
+    asked = features.select(entity, F.lit(-1).alias("copy"), *FEATURES, F.lit(None).cast("double").alias("_label"), F.lit(2).alias("_role"))
+    return entity_models.predictions(rows.unionByName(asked), entity, FEATURES, "_label", "_role", "copy", names, features.count())
+
+
+def predict_requests(requests: DataFrame, s: Sources, copies: int = 100, seed: int = 42, names: list[str] | None = None, aliases: dict[str, str] | None = None, scope: str = "pooled") -> DataFrame:
     """requests(request_id, name, stat, spread, total), from names to predictions: a record for each (see result_record()).
 
-    The models of a statistic are trained on the noisy rows of all its requests that can be scored. A statistic that
-    is not known has the status bad_stat; rows that can't be scored have null predictions."""
+    With scope "pooled" the models of a statistic are trained on the noisy rows of all its requests that can be scored, with "entity" each request has
+    models of its own rows. A statistic that is not known has the status bad_stat; rows that can't be scored have null predictions."""
+    if scope not in ("pooled", "entity"):
+        raise ValueError(f"unknown scope: {scope}")
     stat = F.lower(F.trim("stat"))
     asked = requests.withColumn("stat", F.when(stat.isin(*TARGETS), stat))
     f = request_features(asked, s, aliases).join(asked.select("request_id", "stat"), "request_id").persist()
     ok = f.filter((F.col("status") == "ok") & F.col("stat").isNotNull())
+    found = []
+    if scope == "entity":
+        found.append((predict_own(ok.select("request_id", "stat", *FEATURES), "request_id", "stat", copies, seed, names), None))
+    else:
+        for name in sorted(r["stat"] for r in ok.select("stat").distinct().collect()):  # of four at most
+            own = ok.filter(F.col("stat") == name).select("request_id", *FEATURES)
+            scorers, report = fit(own, "request_id", name, copies, seed, names)
+            found.append((models.score_long(own, scorers, "request_id"), report.select("model", F.col("r2").alias("score"))))
     out = []
-    for name in sorted(r["stat"] for r in ok.select("stat").distinct().collect()):  # of four at most
-        own = ok.filter(F.col("stat") == name).select("request_id", *FEATURES)
-        scorers, report = fit(own, "request_id", name, copies, seed, names)
-        long = models.score_long(own, scorers, "request_id")
+    for long, scores in found:
         each = long.groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "prediction")))).alias("individual_predictions"))  # at most six
-        out.append(ensemble.combine(long, "request_id", report.select("model", F.col("r2").alias("score"))).join(each, "request_id"))
+        out.append(ensemble.combine(long, "request_id", scores).join(each, "request_id"))
     status = F.when((F.col("status") == "ok") & F.col("stat").isNull(), "bad_stat").otherwise(F.col("status"))
     if not out:
         kinds = "prediction double, spread double, mean_score double, n_models long, confidence double, individual_predictions map<string, double>"

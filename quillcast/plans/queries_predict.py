@@ -195,6 +195,13 @@ def predict_requests(t: Tables) -> DataFrame:
     return out.select("request_id", "player", "status", "target_stat", "prediction", "confidence", "usage_rate", "game_context.*", F.to_json("individual_predictions").alias("individual_predictions"))
 
 
+@query("predict_requests_own")
+def predict_requests_own(t: Tables) -> DataFrame:
+    """The same with six models for each request, of its own 100 noisy rows."""
+    out = forecast.predict_requests(asked(t), sources(t), scope="entity")
+    return out.select("request_id", "player", "status", "target_stat", "prediction", "confidence", "usage_rate", "game_context.*", F.to_json("individual_predictions").alias("individual_predictions"))
+
+
 @query("result_record", f"WITH {PLAIN_SQL} SELECT c_custkey AS request_id, CAST(c_custkey AS VARCHAR) AS player, round(pts, 6) AS prediction, round(usage_rate, 6) AS usage_rate, CAST(is_home AS INT) AS is_home, spread, total, round(reb, 6) AS a_model FROM f")
 def result_record(t: Tables) -> DataFrame:
     f = features(t).select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").cast("string").alias("name"), F.lit("ok").alias("status"), F.lit("points").alias("stat"), F.round("pts", 6).alias("prediction"), F.lit(60.0).alias("confidence"), F.round("usage_rate", 6).alias("usage_rate"), F.lit("X").alias("opponent"), "is_home", "spread", "total", F.create_map(F.lit("a"), F.round("reb", 6)).alias("individual_predictions"))

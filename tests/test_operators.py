@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillcast.functions import text as ft
 from quillcast.functions import values as fv
-from quillcast.operators import augment, clean, ensemble, models, resolve, rolling, schedule, split_scale
+from quillcast.operators import augment, boosting, clean, ensemble, models, resolve, rolling, schedule, split_scale
 from quillcast.plans import forecast, queries_clean
 from quillcast.sources import odds, pages, sinks, tables
 from quillcast.streaming.ingest import ingest
@@ -189,7 +189,7 @@ def test_confidence_bounds(spark):
 @pytest.mark.parametrize("name", ["linear", "bayesian", "hist_level", "hist_leaf"])
 def test_models_fit(spark, name):
     df = spark.range(400).selectExpr("id", "cast(id % 20 as double) a", "cast(id % 7 as double) b").selectExpr("*", "3 * a - 2 * b + 1 y").coalesce(2)
-    fit = models.ESTIMATORS[name] if "hist" not in name else models._fit_histogram(name[5:], trees=12, depth=4)
+    fit = models.ESTIMATORS[name] if "hist" not in name else boosting.fit_histogram(name[5:], trees=12, depth=4)
     out = fit(df, ["a", "b"], "y")(df).agg(ensemble.r2("y", "prediction").alias("r2")).first()["r2"]
     assert out > (0.999 if "hist" not in name else 0.8)
 
@@ -198,7 +198,7 @@ def test_leaf_wise_trees_have_all_their_leaves(spark):
     """One tree against the definition: split the leaf of most gain, one at a time, up to 31 leaves and depth 6."""
     raw = [(float(k % 37), float(k * 7 % 41), float((k % 37 * 97 + k * 7 % 41 * 31) % 101)) for k in range(12000)]
     df = spark.createDataFrame(raw, "a double, b double, y double").coalesce(3)
-    edges = models.bin_edges(df, ["a", "b"])
+    edges = boosting.bin_edges(df, ["a", "b"])
     x = np.column_stack([np.searchsorted(e, [r[k] for r in raw], "left") for k, e in enumerate(edges)])
     g = -(np.array([r[2] for r in raw]) - np.mean([r[2] for r in raw]))
 
@@ -207,7 +207,7 @@ def test_leaf_wise_trees_have_all_their_leaves(spark):
         for f in range(2):
             np.add.at(sums[f, :, 0], x[rows, f], g[rows])
             np.add.at(sums[f, :, 1], x[rows, f], 1)
-        return (*(models._grow(sums, 1.0, 20) if depth < 6 else (0.0, -1, -1)), rows, depth)
+        return (*(boosting.best_split(sums, 1.0, 20) if depth < 6 else (0.0, -1, -1)), rows, depth)
 
     found = [split(np.arange(12000), 0)]
     while len(found) < 31 and max(f[0] for f in found) > 1e-12:
@@ -217,7 +217,7 @@ def test_leaf_wise_trees_have_all_their_leaves(spark):
     want = np.zeros(12000)
     for *_, rows, _ in found:
         want[rows] = -g[rows].sum() / (len(rows) + 1.0)
-    got = models._fit_histogram("leaf", trees=1, rate=1.0)(df, ["a", "b"], "y")(df).collect()
+    got = boosting.fit_histogram("leaf", trees=1, rate=1.0)(df, ["a", "b"], "y")(df).collect()
     mean = np.mean([r[2] for r in raw])
     assert len(found) == 31 and len({round(r["prediction"], 6) for r in got}) == 31
     assert {(r["a"], r["b"]): r["prediction"] for r in got} == pytest.approx({(r[0], r[1]): w + mean for r, w in zip(raw, want)})

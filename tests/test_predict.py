@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillcast.operators import models, resolve
+from quillcast.operators import boosting, models, resolve
 from quillcast.operators.augment import FEATURES
 from quillcast.plans import forecast, ingest
 from quillcast.sources import odds, sinks
@@ -158,11 +158,11 @@ def test_a_model_for_each_entity(spark):
 
 @pytest.mark.parametrize("growth", ["level", "leaf"])
 def test_boosting_with_the_same_bins_does_not_depend_on_partitions(spark, growth, monkeypatch):
-    monkeypatch.setattr(models, "bin_edges", lambda df, features, bins: [np.linspace(-2, 2, bins - 1).tolist() for _ in features])
+    monkeypatch.setattr(boosting, "bin_edges", lambda df, features, bins, least: [np.linspace(-2, 2, bins - 1).tolist() for _ in features])
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (600, 2))
     df = spark.createDataFrame([(float(a), float(b), float(np.sin(a) + 0.3 * b)) for a, b in x], "a double, b double, y double")
-    fit = models._fit_histogram(growth, trees=8, depth=3)
+    fit = boosting.fit_histogram(growth, trees=8, depth=3)
     got = [[r.prediction for r in fit(df.repartition(n, "a"), ["a", "b"], "y")(df.coalesce(1)).collect()] for n in (1, 40)]
     assert got[0] == got[1]
     y = np.sin(x[:, 0]) + 0.3 * x[:, 1]
