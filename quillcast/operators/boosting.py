@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import pickle
+import socket
 from collections.abc import Callable, Iterator
-from multiprocessing.connection import Client, Listener
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pandas as pd
@@ -176,6 +177,13 @@ def _rows(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(x, np.uint8).reshape(-1, k), np.frombuffer(y)
 
 
+def _prompt(c: Connection) -> Connection:
+    """Without waiting for more to send: a message's head and body go out at once."""
+    with socket.socket(fileno=os.dup(c.fileno())) as s:
+        s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return c
+
+
 class _Held:
     """A task's binned rows, with the node where each stands in the tree that grows."""
 
@@ -214,7 +222,7 @@ def _barrier(s: Settings):
         if tasks.partitionId() == 0:
             with Listener(("", 0), authkey=key, backlog=TASKS) as listener:
                 tasks.allGather(f"{listener.address[1]} {key.hex()}")
-                others = [listener.accept() for _ in range(len(tasks.getTaskInfos()) - 1)]
+                others = [_prompt(listener.accept()) for _ in range(len(tasks.getTaskInfos()) - 1)]
 
             def sums_of(tree: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
                 for c in others:
@@ -238,6 +246,7 @@ def _barrier(s: Settings):
         port, key = tasks.allGather("")[0].split(" ")
         host = tasks.getTaskInfos()[0].address.rsplit(":", 1)[0]
         with Client((host, int(port)), authkey=bytes.fromhex(key)) as first:
+            _prompt(first)
             while (asked := first.recv())[0] != "end":  # a lost task closes its connections, which fails the stage; Spark runs it again
                 if asked[0] == "sums":
                     first.send_bytes(held.sums(asked[1], asked[2]).tobytes())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +30,13 @@ def containing(needles: DataFrame, names: DataFrame, needle: str = "needle", nam
 
     Names are found by equi-joins: each needle is looked up by that of its trigrams which the fewest names have, so a
     common trigram is no hot key as long as a needle has a rarer one. Needles of one or two characters are
-    looked up by themselves. Empty needles match nothing."""
+    looked up by themselves; names are cut that short only if there are such needles. Empty needles match nothing."""
     n = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
     h = names.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct()
-    n = n.withColumn("size", F.least(F.length("needle"), F.lit(3)))
-    grams = n.select("needle", F.explode(F.when(F.col("size") == 3, _pieces(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("gram"))
+    sizes = [3] if n.filter(F.length("needle") < 3).isEmpty() else [1, 2, 3]
+    grams = n.select("needle", F.explode(F.when(F.length("needle") >= 3, _pieces(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("gram"))
     wanted = grams.select("gram").distinct()
-    # Names by trigram; by shorter pieces too, but only those that a short needle asks for stay.
-    pieces = h.select("name", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("name"), k) for k in (1, 2, 3)))))).alias("gram"))
+    pieces = h.select("name", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("name"), k) for k in sizes))))).alias("gram"))
     keyed = pieces.join(wanted, "gram", "left_semi")
     counted = keyed.groupBy("gram").agg(F.count("*").alias("n"))
     # A needle with a trigram that no name has matches nothing.
@@ -42,36 +44,72 @@ def containing(needles: DataFrame, names: DataFrame, needle: str = "needle", nam
     return rarest.join(keyed, "gram").filter(F.contains("name", "needle")).select("needle", "name")
 
 
+@dataclass
+class Reference:
+    """A table that names are looked up in: the column of its names, the column `order` of which the first row counts, and the tiers that apply."""
+
+    table: DataFrame
+    name: str
+    order: str
+    tiers: tuple[int, ...] = (1, 2, 3)
+
+
+def resolve_in(queries: DataFrame, query: str, references: dict[str, Reference], skip: tuple[str, ...] = ()) -> DataFrame:
+    """queries with a column for each reference: a struct of `tier` and `match` (its row), null without a match. Tiers are those of resolve().
+
+    All references share one lookup: their different names make one index, which each needle asks once. For each needle and reference the
+    first name is chosen before queries are joined, so a last word that many queries and many names share costs their sum, not their
+    product. Orders are compared as they are and must have one type. Rows of a reference are joined last, by name."""
+    q = queries.select(F.col(query).alias("_raw")).distinct().select("_raw", normalize_name(F.col("_raw")).alias("_q")).filter("_q <> ''")
+    words = F.filter(F.split("_q", r"\s+"), lambda w: ~w.isin(*skip)) if skip else F.split("_q", r"\s+")
+    needles = {1: F.col("_q"), 2: F.col("_q"), 3: F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))}
+    tiers = sorted({t for r in references.values() for t in r.tiers})
+    asked = q.select("_raw", F.explode(F.array(*(F.struct(F.lit(t).alias("_tier"), needles[t].alias("_needle")) for t in tiers))).alias("x")).select("_raw", "x.*").filter("_needle <> ''")
+    rows = {k: r.table.select(normalize_name(F.col(r.name)).alias("_name"), F.struct(F.col(r.order).alias("o")).alias("_o"), F.struct(*r.table.columns).alias("_row")) for k, r in references.items()}
+    # Of the rows that share a name only the first can match.
+    names = reduce(DataFrame.unionByName, (r.groupBy("_name").agg(F.min("_o").alias("_o")).select(F.lit(k).alias("_in"), "_name", "_o") for k, r in rows.items()))
+    found = asked.filter("_tier = 1").join(names, F.col("_needle") == F.col("_name")).select("_raw", "_tier", "_in", "_name", "_o")
+    if max(tiers) > 1:
+        pairs = containing(asked.filter("_tier > 1"), names, "_needle", "_name")
+        first = pairs.join(names, F.col("name") == F.col("_name")).groupBy("needle", "_in").agg(F.min("_o").alias("_o"), F.min_by("_name", "_o").alias("_name"))
+        found = found.unionByName(asked.filter("_tier > 1").join(first, F.col("_needle") == F.col("needle")).select("_raw", "_tier", "_in", "_name", "_o"))
+    able = [(F.col("_in") == k) & F.col("_tier").isin(*r.tiers) for k, r in references.items()]
+    best = found.filter(reduce(Column.__or__, able)).groupBy("_raw", "_in").agg(F.min_by(F.struct("_tier", "_name"), F.struct("_tier", "_o")).alias("_best"))
+    wide = best.groupBy("_raw").agg(*(F.max(F.when(F.col("_in") == k, F.col("_best"))).alias(f"_b{i}") for i, k in enumerate(references)))
+    own = [c for c in queries.columns if c not in references]
+    out = queries.select(*own).join(wide, queries[query].eqNullSafe(F.col("_raw")), "left").drop("_raw")
+    for i, (k, r) in enumerate(rows.items()):
+        only = r.groupBy(F.col("_name").alias(f"_n{i}")).agg(F.min_by("_row", "_o").alias(f"_r{i}"))
+        out = out.join(only, F.col(f"_b{i}._name") == F.col(f"_n{i}"), "left")
+    return out.select(*own, *(F.when(F.col(f"_n{i}").isNotNull(), F.struct(F.col(f"_b{i}._tier").alias("tier"), F.col(f"_r{i}").alias("match"))).alias(k) for i, k in enumerate(references)))
+
+
 def resolve(queries: DataFrame, ref: DataFrame, query: str, name: str, *order: str, tiers: tuple[int, ...] = (1, 2, 3), skip: tuple[str, ...] = ()) -> DataFrame:
     """queries with tier and match (a struct of ref's row, null without one).
 
     Tier 1: the normalised names are equal. Tier 2: the name contains the query. Tier 3: the name contains
     the query's last word, leaving out words in `skip` (suffixes such as JR.). The first row of ref in `order` wins
-    within the lowest tier. A blank query matches nothing; names are literal text, not patterns.
+    within the lowest tier. A blank query matches nothing; names are literal text, not patterns."""
+    one = ref.select("*", F.struct(*order).alias("_order"))
+    found = resolve_in(queries, query, {"_found": Reference(one, name, "_order", tiers)}, skip)
+    row = F.struct(*(F.col(f"_found.match.`{c}`").alias(c) for c in ref.columns))
+    return found.select(*queries.columns, F.col("_found.tier").alias("tier"), F.when(F.col("_found").isNotNull(), row).alias("match"))
 
-    Rows of ref are joined last, by their name; until then only names take part."""
-    q = queries.select(F.col(query).alias("_raw")).distinct().select("_raw", normalize_name(F.col("_raw")).alias("_q")).filter("_q <> ''")
-    r = ref.select(F.struct(*ref.columns).alias("_row"), F.struct(*order).alias("_o"), normalize_name(F.col(name)).alias("_name"))
-    # Of the rows that share a name only the first can match.
-    r = r.groupBy("_name").agg(F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row"))
-    words = F.filter(F.split("_q", r"\s+"), lambda w: ~w.isin(*skip)) if skip else F.split("_q", r"\s+")
-    needles = {1: F.col("_q"), 2: F.col("_q"), 3: F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))}
-    asked = q.select("_raw", F.explode(F.array(*(F.struct(F.lit(t).alias("_tier"), needles[t].alias("_needle")) for t in tiers))).alias("x")).select("_raw", "x.*")
-    pairs = containing(asked.filter("_tier > 1"), r, "_needle", "_name") if max(tiers) > 1 else None
-    found = asked.filter("_tier = 1").select("_raw", "_tier", F.col("_needle").alias("_name"))
-    if pairs is not None:
-        found = found.unionByName(asked.filter("_tier > 1").join(pairs, F.col("_needle") == F.col("needle")).select("_raw", "_tier", F.col("name").alias("_name")))
-    ranked = found.join(r.select("_name", "_o"), "_name").groupBy("_raw").agg(F.min_by(F.struct("_tier", "_name"), F.struct("_tier", "_o")).alias("_best"))
-    best = ranked.select("_raw", "_best._tier", "_best._name").join(r.select("_name", "_row"), "_name")
-    joined = queries.join(best, queries[query].eqNullSafe(F.col("_raw")), "left")
-    return joined.select(*queries.columns, F.col("_tier").alias("tier"), F.col("_row").alias("match"))
+
+def value_of(match: str, value: str, ref: DataFrame, missing: float = 20.0, no_table: float = 25.0) -> Column:
+    """`value` of a match's row; `missing` without one, `no_table` if ref is empty."""
+    return F.coalesce(F.col(f"{match}.`{value}`").cast("double"), F.lit(no_table if ref.isEmpty() else missing))
 
 
 def resolve_value(queries: DataFrame, ref: DataFrame, query: str, name: str, value: str, *order: str, missing: float = 20.0, no_table: float = 25.0) -> DataFrame:
     """queries with `value` of the row that resolve() finds; `missing` without one, `no_table` if ref is empty."""
-    empty = ref.isEmpty()
     found = resolve(queries, ref, query, name, *order)
-    return found.select(*queries.columns, F.coalesce(F.col(f"match.{value}").cast("double"), F.lit(no_table if empty else missing)).alias(value))
+    return found.select(*queries.columns, value_of("match", value, ref, missing, no_table).alias(value))
+
+
+def recent_rows(averages: DataFrame, name: str, *order: str) -> DataFrame:
+    """averages as `order`, _player, _has and the ten features of RECENT, each from the first of its columns that the table has, 0 if it has none."""
+    return averages.select(*order, F.col(f"`{name}`").alias("_player"), F.lit(True).alias("_has"), *(first_present(averages, names).alias(f) for f, names in RECENT.items()))
 
 
 def recent_averages(queries: DataFrame, averages: DataFrame, query: str, name: str, *order: str) -> DataFrame:
@@ -79,20 +117,28 @@ def recent_averages(queries: DataFrame, averages: DataFrame, query: str, name: s
 
     A feature comes from the first of its columns that the table has, 0 if it has none; a null in that column stays
     null, and without a row all are null."""
-    row = averages.select(*order, F.col(f"`{name}`").alias("_player"), F.lit(True).alias("_has"), *(first_present(averages, names).alias(f) for f, names in RECENT.items()))
-    found = resolve(queries, row, query, "_player", *order)
+    found = resolve(queries, recent_rows(averages, name, *order), query, "_player", *order)
     return found.select(*queries.columns, F.coalesce("match._has", F.lit(False)).alias("has_averages"), *(F.col(f"match.{f}").alias(f) for f in RECENT))
 
 
+def position_of(own: Column, match: str, default: str = "SG") -> Column:
+    """The position that a name has itself, else the primary one of a match's row, else the default."""
+    other = F.when(F.col(match).isNotNull(), F.coalesce(F.nullif(primary_category(F.col(f"{match}.position"), POSITIONS), F.lit("")), F.lit(default)))
+    return F.coalesce(F.nullif(F.trim(own), F.lit("")), other, F.lit(default))
+
+
+def own_positions(queries: DataFrame, query: str, positions: DataFrame, order: str = "o") -> DataFrame:
+    """queries with _own, the position of positions(name, position) by the normalised name, where the last duplicate wins."""
+    last = positions.groupBy(normalize_name(F.col("name")).alias("_n")).agg(F.max_by("position", order).alias("_own"))
+    return queries.join(last.filter("_n <> ''"), normalize_name(F.col(query)) == F.col("_n"), "left").drop("_n")
+
+
 def positions_of(queries: DataFrame, query: str, positions: DataFrame, info: DataFrame, order: str = "o", info_order: str = "o", default: str = "SG") -> DataFrame:
     """queries with `position`: from positions(name, position) by the normalised name, where the last duplicate wins; else the
     primary position of the first row of info(name, position) by name, then by the query's last word; else the default."""
-    last = positions.groupBy(normalize_name(F.col("name")).alias("_n")).agg(F.max_by("position", order).alias("_own"))
-    out = queries.join(last.filter("_n <> ''"), normalize_name(F.col(query)) == F.col("_n"), "left").drop("_n")
+    out = own_positions(queries, query, positions, order)
     found = resolve(out, info.select("name", "position", F.col(info_order).alias("_io")), query, "name", "_io", tiers=(1, 3))
-    own = F.nullif(F.trim("_own"), F.lit(""))
-    other = F.when(F.col("match").isNotNull(), F.coalesce(F.nullif(primary_category(F.col("match.position"), POSITIONS), F.lit("")), F.lit(default)))
-    return found.select(*queries.columns, F.coalesce(own, other, F.lit(default)).alias("position"))
+    return found.select(*queries.columns, position_of(F.col("_own"), "match", default).alias("position"))
 
 
 def season_rows(entities: DataFrame, entity: str, players: DataFrame, usage: DataFrame, as_of: str, *order: str) -> DataFrame:
@@ -151,8 +197,10 @@ def prefer_exact(df: DataFrame, ref: DataFrame, on: str, key: str, alias: str, n
     keys = df.select(on, key, alias).distinct()
     asked = keys.select(on, key, alias, F.explode(F.array_distinct(F.array(F.upper(alias), F.upper(key)))).alias("_needle")).filter("_needle <> ''")
     pairs = containing(asked, r, "_needle", "_name")
-    found = asked.join(pairs, F.col("_needle") == F.col("needle")).withColumn("_rank", F.when(F.col("name") == F.col("needle"), 0).otherwise(1) if mode == "exact" else F.lit(0))
-    found = found.join(r, (F.col(on) == F.col("_on")) & (F.col("name") == F.col("_name")))
-    best = found.groupBy(F.col(on).alias("_a"), F.col(key).alias("_b"), F.col(alias).alias("_c")).agg(F.min_by("_r", F.struct("_rank", *(F.col(f"_r.{o}") for o in order))).alias("_best"))
+    # The best row of each needle within each `on`, before the keys that share the needle are joined.
+    rank = F.struct((F.when(F.col("name") == F.col("needle"), 0).otherwise(1) if mode == "exact" else F.lit(0)).alias("_rank"), *(F.col(f"_r.{o}") for o in order))
+    first = pairs.join(r, F.col("name") == F.col("_name")).groupBy("_on", "needle").agg(F.min(rank).alias("_k"), F.min_by("_r", rank).alias("_r"))
+    found = asked.join(first, (F.col(on) == F.col("_on")) & (F.col("_needle") == F.col("needle")))
+    best = found.groupBy(F.col(on).alias("_a"), F.col(key).alias("_b"), F.col(alias).alias("_c")).agg(F.min_by("_r", "_k").alias("_best"))
     same = F.col(on).eqNullSafe(F.col("_a")) & F.col(key).eqNullSafe(F.col("_b")) & F.col(alias).eqNullSafe(F.col("_c"))
     return df.join(best, same, "left").select(*df.columns, *(F.coalesce(F.col(f"_best.{v}").cast("double"), F.lit(d)).alias(v) for v, d in values.items()))

@@ -116,16 +116,19 @@ def request_features(requests: DataFrame, s: Sources, aliases: dict[str, str] |
     q = requests.select("request_id", "name", F.col("spread").cast("double").alias("spread"), F.col("total").cast("double").alias("total"))
     # Every lookup starts from the different names, so that the plan grows with the number of lookups and not with its power.
     names = q.select("name").filter("name IS NOT NULL").distinct()
-    who = resolve.resolve(names, s.info, "name", "player_name", "o")
-    who = who.select("name", F.col("match").isNotNull().alias("found"), F.col("match.player_id").alias("player_id"), F.nullif(F.col("match.team_id").cast("long"), F.lit(0).cast("long")).alias("team_id"))
-    averages = resolve.recent_averages(names, s.averages, "name", "Player", "o")
-    usage = resolve.resolve_value(names, s.usage, "name", "PLAYER", "USGPCT", "o").withColumnRenamed("USGPCT", "usage_rate")
-    places = resolve.positions_of(names, "name", s.positions, s.info.select(F.col("player_name").alias("name"), "position", "o"))
+    info = s.info.select("player_id", "player_name", "team_id", "position", "o")
+    found = resolve.resolve_in(resolve.own_positions(names, "name", s.positions), "name", {
+        "who": resolve.Reference(info, "player_name", "o"), "averages": resolve.Reference(resolve.recent_rows(s.averages, "Player", "o"), "_player", "o"),
+        "usage": resolve.Reference(s.usage.select("PLAYER", "USGPCT", "o"), "PLAYER", "o"), "place": resolve.Reference(info, "player_name", "o", (1, 3)),
+    })
+    found = found.select(
+        "name", F.col("who").isNotNull().alias("found"), F.col("who.match.player_id").alias("player_id"), F.nullif(F.col("who.match.team_id").cast("long"), F.lit(0).cast("long")).alias("team_id"),
+        F.col("averages").isNotNull().alias("has_averages"), *(F.col(f"averages.match.{c}").alias(c) for c in resolve.RECENT),
+        resolve.value_of("usage.match", "USGPCT", s.usage).alias("usage_rate"), resolve.position_of(F.col("_own"), "place.match").alias("position"),
+    )
     teams = s.info.select(F.col("team_id").cast("long").alias("team_id")).distinct()
     game = schedule.game_context(teams, "team_id", s.games, "home", "visitor", s.teams, "id", "abbreviation", "o")
-    found = q
-    for more in (who, averages, usage, places):
-        found = found.join(more, "name", "left")
+    found = q.join(found, "name", "left")
     found = found.join(game, "team_id", "left").withColumns({"found": F.coalesce("found", F.lit(False)), "has_averages": F.coalesce("has_averages", F.lit(False)), "position": F.coalesce("position", F.lit("SG"))})
     found = found.withColumn("_alias", F.coalesce(ft.alias(F.col("opponent"), aliases or TEAM_ALIASES), F.lit(""))).withColumn("_key", F.coalesce("opponent", F.lit("")))
     number = lambda c: safe_float(ft.first_token(F.col(c).cast("string")))
