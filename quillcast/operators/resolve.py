@@ -25,15 +25,17 @@ def _pieces(c: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(c, i, size)))
 
 
-def containing(needles: DataFrame, names: DataFrame, needle: str = "needle", name: str = "name") -> DataFrame:
+def containing(needles: DataFrame, names: DataFrame, needle: str = "needle", name: str = "name", short: bool | None = None) -> DataFrame:
     """Pairs (needle, name) of the different needles and names of two tables, where the name contains the needle literally.
 
     Names are found by equi-joins: each needle is looked up by that of its trigrams which the fewest names have, so a
     common trigram is no hot key as long as a needle has a rarer one. Needles of one or two characters are
-    looked up by themselves; names are cut that short only if there are such needles. Empty needles match nothing."""
+    looked up by themselves; names are cut that short only if `short`, by default if there are such needles. Empty needles match nothing."""
     n = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
     h = names.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct()
-    sizes = [3] if n.filter(F.length("needle") < 3).isEmpty() else [1, 2, 3]
+    if short is None:
+        short = not n.filter(F.length("needle") < 3).isEmpty()
+    sizes = [1, 2, 3] if short else [3]
     grams = n.select("needle", F.explode(F.when(F.length("needle") >= 3, _pieces(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("gram"))
     wanted = grams.select("gram").distinct()
     pieces = h.select("name", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("name"), k) for k in sizes))))).alias("gram"))
@@ -196,7 +198,7 @@ def prefer_exact(df: DataFrame, ref: DataFrame, on: str, key: str, alias: str, n
     r = r.groupBy("_on", "_name").agg(F.min_by("_r", F.struct(*(F.col(f"_r.{o}") for o in order))).alias("_r"))
     keys = df.select(on, key, alias).distinct()
     asked = keys.select(on, key, alias, F.explode(F.array_distinct(F.array(F.upper(alias), F.upper(key)))).alias("_needle")).filter("_needle <> ''")
-    pairs = containing(asked, r, "_needle", "_name")
+    pairs = containing(asked, r, "_needle", "_name", True)  # abbreviations may be short; to ask would run all that leads to df
     # The best row of each needle within each `on`, before the keys that share the needle are joined.
     rank = F.struct((F.when(F.col("name") == F.col("needle"), 0).otherwise(1) if mode == "exact" else F.lit(0)).alias("_rank"), *(F.col(f"_r.{o}") for o in order))
     first = pairs.join(r, F.col("name") == F.col("_name")).groupBy("_on", "needle").agg(F.min(rank).alias("_k"), F.min_by("_r", rank).alias("_r"))

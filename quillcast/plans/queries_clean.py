@@ -9,7 +9,7 @@ from quillcast.functions import text as ft
 from quillcast.functions import values as fv
 from quillcast.operators import clean, rolling, schedule, split_scale
 from quillcast.plans.catalog import Tables, query
-from quillcast.sources import odds, pages, sinks, tables
+from quillcast.sources import odds, pages, sinks, snapshots, tables
 
 #: A total order of lineitem.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
@@ -90,7 +90,11 @@ def category_filter(t: Tables) -> DataFrame:
 
 @query("partition_pick", "SELECT p_partkey, p_type FROM part WHERE p_type = 'LARGE'")
 def partition_pick(t: Tables) -> DataFrame:
-    return tables.partition_of(t.part.select("p_partkey", "p_type"), "p_type", "LARGE")
+    """From a snapshot stored by p_type: the files of one folder are read."""
+    path = tables.scratch(t.spark)
+    snapshots.publish(t.part.select("p_partkey", "p_type").repartition("p_type"), path, ("p_type",))
+    stored = snapshots.read(t.spark, path)
+    return tables.partition_of(t.part.select("p_partkey", "p_type").limit(0) if stored is None else stored, "p_type", "LARGE").select("p_partkey", "p_type")
 
 
 @query("slate_for_date", "SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03'")
@@ -365,9 +369,3 @@ def ingest_slate(t: Tables) -> DataFrame:
 def team_dimension(t: Tables) -> DataFrame:
     both = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("full_name"), F.upper(F.substring("r_name", 1, 3)).alias("abbreviation"))
-
-
-@query("daily_refresh", "SELECT 'slate' AS step, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03') AS n_rows UNION ALL SELECT 'players', count(*) FROM customer UNION ALL SELECT 'schedule', count(*) FROM orders")
-def daily_refresh(t: Tables) -> DataFrame:
-    count = lambda step, df: df.agg(F.count("*").alias("n_rows")).select(F.lit(step).alias("step"), "n_rows")
-    return count("slate", schedule.slate(t.orders, "o_orderdate", "1998-10-03")).unionByName(count("players", t.customer)).unionByName(count("schedule", t.orders))

@@ -11,7 +11,7 @@ from quillcast.plans import forecast, ingest
 from quillcast.plans.catalog import Tables, query
 from quillcast.plans.queries_forecast import PLAIN_SQL, features
 from quillcast.plans.queries_join import LOOKUP_SQL, lookups
-from quillcast.sources import odds
+from quillcast.sources import odds, snapshots, tables
 
 #: Odds documents whose keys change with the event: each field is found under one of its keys.
 ODDS_DOCUMENT = """concat('{"', wrapper, '":[{"', element_at(array('home_team', 'home', 'homeTeam'), 1 + k3), '":"', event_type, '","', element_at(array('away_team', 'away', 'awayTeam'), 1 + k3), '":"u', user_id, '","',
@@ -80,15 +80,15 @@ def position_defense_first(t: Tables) -> DataFrame:
     return resolve.prefer_exact(asked, ref, "position", "key", "alias", "team", {"pts": 45.0}, "o", mode="first").select("n_nationkey", "pts")
 
 
-def schedule_pages(t: Tables) -> DataFrame:
-    """A schedule page for each customer, with a row for each order; some rows lack the date, the link or cells."""
+def schedule_pages(t: Tables, whole: bool = False) -> DataFrame:
+    """A schedule page for each customer, with a row for each order; unless `whole` some rows lack the date or cells."""
     k = F.col("o_orderkey")
     cells = [
-        F.concat(F.lit('<th data-stat="date_game">'), F.when(k % 10 != 0, F.date_format("o_orderdate", "EEE, MMM d, yyyy")).otherwise(""), F.lit("</th>")), F.lit("<td>8:00p</td><td>"),
+        F.concat(F.lit('<th data-stat="date_game">'), F.when((k % 10 != 0) | F.lit(whole), F.date_format("o_orderdate", "EEE, MMM d, yyyy")).otherwise(""), F.lit("</th>")), F.lit("<td>8:00p</td><td>"),
         F.concat(F.lit("V"), k % 30, F.lit("</td><td>"), k % 100, F.lit("</td><td>H"), k % 29, F.lit("</td><td>")), F.concat(k % 90, F.lit("</td>")),
         F.when(k % 7 == 0, F.lit('<td data-stat="box_score_text">x</td>')).otherwise(F.concat(F.lit('<td data-stat="box_score_text"><a href="/boxscores/g'), k.cast("string"), F.lit('.html">Box Score</a></td>'))),
     ]
-    row = F.when(k % 11 == 0, F.lit("<tr><td>too</td><td>few</td></tr>")).otherwise(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")))
+    row = F.when((k % 11 == 0) & ~F.lit(whole), F.lit("<tr><td>too</td><td>few</td></tr>")).otherwise(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")))
     # A customer's orders are few.
     rows = t.orders.select("o_custkey", row.alias("row")).groupBy("o_custkey").agg(F.array_join(F.collect_list("row"), "").alias("rows"))
     return rows.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit('<p>Games</p><table id="schedule"><thead><tr class="thead"><th>Date</th></tr></thead><tbody>'), "rows", F.lit("</tbody></table><table id=\"schedule\"><tr>" + "<td>again</td>" * 7 + "</tr></table>")).alias("html"))
@@ -101,6 +101,19 @@ def ingest_schedule_games(t: Tables) -> DataFrame:
     return games.drop("row_ix")
 
 
+@query("daily_refresh", "SELECT 'slate' AS step, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03') AS n_rows UNION ALL SELECT 'players', count(*) FROM customer UNION ALL SELECT 'schedule', count(*) FROM orders")
+def daily_refresh(t: Tables) -> DataFrame:
+    """The whole refresh from pages of all orders, and the rows of what it stored."""
+    base = tables.scratch(t.spark)
+    teams = t.nation.select(F.col("n_nationkey").alias("id"), F.explode(F.array(F.concat(F.lit("H"), "n_nationkey"), F.concat(F.lit("V"), "n_nationkey"))).alias("full_name"))
+    players = ingest.refresh(t.customer, schedule_pages(t, True), teams, "1998-10-03", base, 1998, "pages")
+    count = lambda step, df: df.agg(F.count("*").alias("n_rows")).select(F.lit(step).alias("step"), "n_rows")
+    today = t.spark.read.schema("game_id string").json(f"{base}/todays_games.json")
+    stored = snapshots.read(t.spark, f"{base}/schedule")
+    games = count("schedule", stored if stored is not None else today.limit(0))
+    return count("slate", today).unionByName(players.select(F.lit("players").alias("step"), "n_rows")).unionByName(games)
+
+
 @query("ingest_todays_games", """SELECT o_orderkey AS game, CASE WHEN o_orderkey % 29 < 25 THEN o_orderkey % 29 END AS HOME_TEAM_ID, CASE WHEN o_orderkey % 30 < 25 THEN o_orderkey % 30 END AS VISITOR_TEAM_ID
   FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND month(o_orderdate) = 3 AND day(o_orderdate) = 9 AND year(o_orderdate) = 1995""")
 def ingest_todays_games(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import warnings
 from collections.abc import Callable
@@ -10,6 +11,8 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillcast.sources import snapshots
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,32 +63,34 @@ def with_freshness(df: DataFrame, hours: float = 24, now: datetime | None = None
 
 
 def partition_of(df: DataFrame, column: str, value: str) -> DataFrame:
-    """One category of a table; on a table written by partitions of `column` only its files are read."""
+    """One category of a table; of one stored by folders of `column` (sinks.write_by, snapshots.publish) only its files are read."""
     return df.filter(F.col(column) == value)
 
 
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, hours: float = 24, force: bool = False) -> DataFrame | None:
-    """The newest table in the folder `path` if it is younger than `hours`; else build it, as a table of its own beside the
-    older ones, which go once the new one is complete. A reader thus always finds a complete table.
-
-    If building fails or gives no row, a warning says so and the old table is returned, however old; None if there is none."""
-    fs, root = _fs(spark, path)
-    done = [s for s in (fs.listStatus(root) if fs.exists(root) else []) if fs.exists(_fs(spark, f"{s.getPath()}/_SUCCESS")[1])]
-    done = sorted(done, key=lambda s: (s.getModificationTime(), s.getPath().getName()))
-    if done and not force:
-        age = datetime.now(UTC) - datetime.fromtimestamp(done[-1].getModificationTime() / 1000, UTC)
-        if age < timedelta(hours=hours):
-            return spark.read.parquet(str(done[-1].getPath()))
-    fresh = f"{path.rstrip('/')}/built={datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    """The newest snapshot in the folder `path` if it is younger than `hours`; else one that is built and published beside the older ones.
+
+    Readers planned on an older snapshot finish: its files stay for `hours` (a day at least) after it was replaced. If building fails or gives no row, a warning
+    says so and the newest one is returned, however old; None if there is none."""
+    done = snapshots.versions(spark, path)
+    if done and not force and datetime.now(UTC) - done[-1].at < timedelta(hours=hours):
+        return snapshots.read(spark, path)
     why = "it has no rows"
     try:
-        build().write.parquet(fresh)
-        if not spark.read.parquet(fresh).isEmpty():
-            for s in done:
-                fs.delete(s.getPath(), True)
-            return spark.read.parquet(fresh)
+        if snapshots.publish(build(), path):
+            snapshots.expire(spark, path, hours=max(hours, 24))
+            return snapshots.read(spark, path)
     except Exception as e:  # whatever the build raises, the old table serves
         why = f"{type(e).__name__}: {e}"[:300]
     warnings.warn(f"{path} was not built again: {why}", stacklevel=2)
-    fs.delete(_fs(spark, fresh)[1], True)
-    return spark.read.parquet(str(done[-1].getPath())) if done else None
+    return snapshots.read(spark, path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a table that a query writes and reads again: under spark.checkpoint.dir, in local mode a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/quillcast-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Batch operators on a stream: each micro-batch goes through a cleaning plan and is merged by key."""
+"""Batch operators on a stream: each micro-batch goes through a cleaning plan and into a folder of its own."""
 
 from __future__ import annotations
 
