@@ -12,8 +12,8 @@ from quillcast import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Chains of hundreds of jobs: the queries that train six models are run below with models that cost nothing.
-SLOW = {"fit_gbt", "fit_hist_level", "fit_hist_leaf", "model_report", "score_long", "predict_batch", "predict_requests"}
+#: Four times six models: test_requests_train_every_model runs it with models that cost nothing, test_predictions_from_names with real ones on a fixture.
+SLOW = {"predict_requests"}
 
 
 @pytest.fixture(scope="module")
