@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,7 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]],
     stack: list[int] = [0]  # open elements
     parts: list[str] = []
     state = {"linked": 0, "link": 0, "heading": 0}
+    opened: Counter[str] = Counter()
     ends: dict[str, dict[int, int]] = {}
 
     def close() -> None:
@@ -256,9 +258,11 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]],
         if name in VOID or m[0].endswith("/>"):
             continue
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]][1] == name:
-                    del stack[k:]
+            # An end tag of nothing that is open is passed over; another one ends all that was opened after its element.
+            while opened[name]:
+                last = nodes[stack.pop()][1]
+                opened[last] -= 1
+                if last == name:
                     break
             state["link"] = 0
         else:
@@ -266,9 +270,10 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]],
             if name == "p":
                 # A new paragraph ends an open one.
                 while len(stack) > 1 and nodes[stack[-1]][1] == "p":
-                    stack.pop()
+                    opened[nodes[stack.pop()][1]] -= 1
             nodes.append((stack[-1], name, ABOUT_PAGE.sub("", named), not NOT_SHOWN.search(m[3])))
             stack.append(len(nodes) - 1)
+            opened[name] += 1
     close()
     words = [0] * len(nodes)
     for w, linked, _, k in facts:

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -276,6 +277,15 @@ def test_words_and_links_decide_where_names_do_not():
         assert html_text.main_text(page, tree) == want, page.replace(long, "L")
 
 
+def test_end_tags_of_nothing_are_passed_over_in_linear_time():
+    began = time.process_time()
+    deep = "<div>" * 20000 + "</p></section>" * 50000 + "<p>One sentence of text.</p>" + "</div>" * 20000
+    texts, facts, _, _ = html_text.text_blocks(deep)
+    assert texts == ["One sentence of text."] and facts[0][0] == 4 and time.process_time() - began < 10
+    texts = html_text.text_blocks("<div><section><p>a</section>b</p></div></section>c</div>")[0]
+    assert texts == ["a", "b", "c"]
+
+
 def test_pages_odd_rows(spark, tmp_path):
     pages = [(1, "u", "<article><p>Some text.</p></article>", "x", "y"), (1, "u", "<article><p>Some text.</p></article>", "x", "y"), (None, None, None, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string, n_chars string")
