@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -169,10 +170,16 @@ def predict_requests(requests: DataFrame, s: Sources, copies: int = 100, seed: i
     if scope == "entity":
         found.append((predict_own(ok.select("request_id", "stat", *FEATURES), "request_id", "stat", copies, seed, names), None))
     else:
-        for name in sorted(r["stat"] for r in ok.select("stat").distinct().collect()):  # of four at most
+
+        def trained(name: str) -> tuple[DataFrame, DataFrame]:
             own = ok.filter(F.col("stat") == name).select("request_id", *FEATURES)
             scorers, report = fit(own, "request_id", name, copies, seed, names)
-            found.append((models.score_long(own, scorers, "request_id"), report.select("model", F.col("r2").alias("score"))))
+            return models.score_long(own, scorers, "request_id"), report.select("model", F.col("r2").alias("score"))
+
+        stats = sorted(r["stat"] for r in ok.select("stat").distinct().collect())  # four at most
+        # Training is a chain of small jobs; the statistics' chains run side by side.
+        with ThreadPoolExecutor(max_workers=len(TARGETS)) as pool:
+            found = list(pool.map(trained, stats))
     out = []
     for long, scores in found:
         each = long.groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "prediction")))).alias("individual_predictions"))  # at most six
