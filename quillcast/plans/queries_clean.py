@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillcast.functions import text as ft
 from quillcast.functions import values as fv
 from quillcast.operators import clean, rolling, schedule, split_scale
+from quillcast.plans import rolling_log
 from quillcast.plans.catalog import Tables, query
 from quillcast.sources import odds, pages, sinks, snapshots, tables
 
@@ -293,6 +294,37 @@ def rolling_latest(t: Tables) -> DataFrame:
     return out.select("o_custkey", F.round("o_totalprice_roll_avg", 4).alias("o_totalprice_roll_avg"), "n_rows")
 
 
+def _events_by_batches(t: Tables) -> str:
+    """The events as a growing log of five batches by time; its folder."""
+    log = t.events.select("event_id", "user_id", "ts", "value")
+    day = F.unix_date(F.to_date("ts"))
+    first, last = log.agg(F.min(day), F.max(day)).first()
+    path = tables.scratch(t.spark)
+    span = ((last or 0) - (first or 0)) // 5 + 1
+    batch = F.coalesce(F.floor((day - (first or 0)) / span), F.lit(0))
+    for k in range(5):
+        rolling_log.append(log.filter(batch == k), path, "user_id", ["ts", "event_id"], ["value"])
+    return path
+
+
+@query("rolling_appended", "SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS value_roll_avg FROM events")
+def rolling_appended(t: Tables) -> DataFrame:
+    return rolling_log.rows(t.spark, _events_by_batches(t)).select("event_id", "user_id", "value_roll_avg")
+
+
+@query("rolling_state", """SELECT user_id, max(ts) AS last_ts, arg_max(roll, n) AS value_roll_avg, count(*) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back,
+  avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS roll FROM events) WHERE back <= 5 GROUP BY user_id""")
+def rolling_state(t: Tables) -> DataFrame:
+    last = rolling_log.state(t.spark, _events_by_batches(t))
+    return last.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.max_by("value_roll_avg", F.struct("ts", "event_id")).alias("value_roll_avg"), F.count("*").alias("n_rows"))
+
+
+@query("rolling_chunked", "SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS value_roll_avg FROM events")
+def rolling_chunked(t: Tables) -> DataFrame:
+    log = t.events.select("event_id", "user_id", "ts", "value")
+    return rolling.rolling_means_chunked(log, "user_id", ["ts", "event_id"], ["value", "minutes"], F.to_date("ts")).select("event_id", "user_id", "value_roll_avg")
+
+
 SPLIT_KEYS = LINE_ORDER[1:4]
 SPLIT_HASH = "md5(concat_ws(':', '42', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)))"
 
