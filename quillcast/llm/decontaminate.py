@@ -1,29 +1,33 @@
-"""Benchmark decontamination with suffix arrays over the training text.
+"""Benchmark decontamination with suffix arrays of the training text.
 
 Each slice of a batch of documents is one shard. Its words become ids of the benchmark's vocabulary (0 for any
-other word), and the suffixes that a window could begin are sorted by their first WINDOW words. Every different
-window of the benchmark is binary-searched in that order, key by key, which gives an interval of suffixes; a
-suffix is in one interval for each length of window at most, so all work is linear in the words of the shard
-whatever repeats. The longest verbatim match at a suffix that was hit comes from a binary search in the
-suffix array of the benchmark. Nothing is shuffled: the documents are read once for each block of the benchmark.
+other word), and the suffixes of all runs that are long enough for a window are sorted: by their first WINDOW words, and if any
+window occurs, by doubling as far as the longest item reaches. Every test suffix (place in an item where a
+window begins) is binary-searched in that suffix array: its window gives an interval of training suffixes, its whole a
+place within the interval, between the two training suffixes with the longest matches. Every training suffix in an
+interval then lies between two test suffixes in turn, one of which has the longest verbatim match that begins there. An interval has as many
+rows as its window occurs, and a suffix is in one interval for each length of window, so all work is linear in the
+words of the shard, but for the logarithm, whatever repeats. Nothing is shuffled.
 
 The benchmark is the query set. Spark numbers its items into blocks of at most `block_words` words (one larger item
 is a block of its own) and builds each block in a task; the blocks are stored in the shared folder. One block is
-read and broadcast at a time. Between two blocks the documents are stored with what was found, and the
-block is destroyed; so workers and driver hold one block, whatever the size of the benchmark.
+read and broadcast at a time and destroyed after its search, so workers and driver hold one block, whatever the size of the
+benchmark. With one block the text is read once, and nothing is stored. With more, the text is read once too: the documents' words are
+stored as hashes, each block is searched in them, and stores only what it found in the documents that it hit.
 """
 
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillcast.llm.common import discard, keep, prefix_sums, table
+from quillcast.llm.common import keep, prefix_sums, table
 from quillcast.llm.text_arrays import ALNUM, FAR, LOWER, mix, slices, text_buffers, word_bounds, word_hashes
 
 WINDOW = 10
@@ -94,8 +98,12 @@ def make_block(ids: list[str], texts: list[str], window: int) -> dict:
     seen[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
     item_at = np.zeros(len(spaced), np.int64)
     item_at[place] = item_of
+    window_at = np.full(len(spaced), -1)
+    window_at[at] = np.where(length == window, which.reshape(-1), -1)
+    tests = suffix_array(spaced)
+    tests = tests[window_at[tests] >= 0]  # so the numbers of their windows don't fall
     return {
-        "ids": ids, "vocabulary": vocabulary, "seen": seen, "window": window, "words": spaced, "item": item_at, "strides": strides(spaced, 1), "order": suffix_array(spaced)[(spaced == 0).sum() :],
+        "ids": ids, "vocabulary": vocabulary, "seen": seen, "window": window, "words": spaced, "item": item_at, "strides": strides(spaced, 1), "tests": tests, "tests_window": window_at[tests], "longest": int(sizes.max(initial=0)),
         "at": at[once], "length": length[once], "holder": holder, "members": members,
     }
 
@@ -142,13 +150,75 @@ def _bisect(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray,
     return lo
 
 
-def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All matches of different windows in one shard: (window, word number in the shard, document), and the shard's
-    words with a gap of `window` zeros after each document. No word begins more than one match of each length."""
+def common_words(words: np.ndarray, far: np.ndarray, a: np.ndarray, block: dict, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many words are alike at the shard's places a and the benchmark's places b, of which `size` are known to be."""
+    size = size.copy()
+    on = np.arange(len(a))
+    while len(on):
+        on = on[far[a[on] + size[on]] == block["strides"][b[on] + size[on]]]
+        size[on] += STRIDE
+    on = np.arange(len(a))
+    while len(on):
+        w = words[a[on] + size[on]]
+        on = on[(w > 0) & (w == block["words"][b[on] + size[on]])]
+        size[on] += 1
+    return size
+
+
+def sort_on(words: np.ndarray, suffix: np.ndarray, keys: list[np.ndarray], window: int, longest: int) -> np.ndarray:
+    """Places that are sorted by their first `window` words (with the keys of these), sorted by more than `longest` words.
+
+    The places are all those of some runs of words; the word 0 ends a suffix."""
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)) if len(suffix) else np.zeros(0, bool)
+    rank, ends = np.cumsum(new), np.flatnonzero(words == 0)
+    left = ends[np.searchsorted(ends, suffix)] - suffix
+    at, size = np.zeros(len(words), np.int64), window
+    while size <= longest and len(rank) and rank.max() < len(rank):
+        at[suffix] = rank
+        goes_on = left > size
+        after = np.where(goes_on, at[np.where(goes_on, suffix + size, 0)], 0)
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1] + 1
+        size *= 2
+    return suffix[np.argsort(rank, kind="stable")]
+
+
+def longest_matches(words: np.ndarray, suffix: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a shard's suffix array and the intervals [lo, hi) of the different windows `which` (all of full length, rising): numbers of the suffixes in any
+    interval, the words of the longest match that begins there, and its place in the benchmark.
+
+    Every test suffix with one of these windows is binary-searched in its interval."""
+    far = strides(words, 2)
+    first, last = np.searchsorted(block["tests_window"], which, "left"), np.searchsorted(block["tests_window"], which, "right")
+    number = last - first
+    tests = block["tests"][np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number) + np.repeat(first, number)]
+    # The number of training suffixes that are not above each test suffix.
+    below, above = np.repeat(lo, number), np.repeat(hi, number)
+    low = np.full(len(tests), block["window"])
+    high = low.copy()
+    go = np.flatnonzero(below < above)
+    while len(go):
+        mid = (below[go] + above[go]) >> 1
+        size = common_words(words, far, suffix[mid], block, tests[go], np.minimum(low[go], high[go]))
+        up = words[suffix[mid] + size] <= block["words"][tests[go] + size]
+        below[go], low[go] = np.where(up, mid + 1, below[go]), np.where(up, size, low[go])
+        above[go], high[go] = np.where(up, above[go], mid), np.where(up, high[go], size)
+        go = go[below[go] < above[go]]
+    counts = hi - lo
+    hit = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+    next_test = np.searchsorted(below, hit, "right")
+    none = np.zeros(len(hit), np.int64)
+    before, behind = tests[np.maximum(next_test - 1, 0)], tests[np.minimum(next_test, len(tests) - 1)]
+    a, b = (common_words(words, far, suffix[hit], block, t, none) for t in (before, behind))
+    return hit, np.maximum(a, b), np.where(a >= b, before, behind)
+
+
+def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarray, ...]:
+    """All matches of different windows in one shard: (window, word number in the shard, document, words of the longest match with any item that
+    begins there, its item); the last two are 0 where no window of full length begins. No word begins more than one match of each length."""
     window, vocabulary, none = block["window"], block["vocabulary"], np.zeros(0, np.int64)
     maybe = np.flatnonzero(block["seen"][(hashes & np.uint64(0xFFFF)).astype(np.int64)])
     if not len(maybe) or not len(block["at"]):
-        return none, none, none, none
+        return none, none, none, none, none
     near = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
     same = vocabulary[near] == hashes[maybe]
     places = maybe[same]
@@ -156,13 +226,17 @@ def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarr
     words = np.zeros(len(hashes) + window * (len(first) + 1), np.int64)
     suffix = places + doc * window
     words[suffix] = near[same] + 1
-    # A window begins only where as many of the benchmark's words follow each other as the shortest one has.
+    # Only runs of as many of the benchmark's words as the shortest window has can hold a match.
     full = words > 0
     run = full.copy()
-    for k in range(1, int(block["length"].min())):
+    least = int(block["length"].min())
+    for k in range(1, least):
         run[:-k] &= full[k:]
-    able = run[suffix]
-    suffix, doc = suffix[able], doc[able]
+    held = run.copy()
+    for k in range(1, least):
+        held[k:] |= run[:-k]
+    able = held[suffix]
+    suffix = suffix[able]
     bits = int(len(vocabulary) + 1).bit_length()
     packed = max(1, 62 // bits)
     keys = []
@@ -172,7 +246,7 @@ def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarr
             key = (key << bits) | (words[suffix + j] if j < window else 0)
         keys.append(key)
     order = np.lexsort(keys[::-1])
-    suffix, doc, keys = suffix[order], doc[order], [k[order] for k in keys]
+    suffix, keys = suffix[order], [k[order] for k in keys]
     which = np.arange(len(block["at"]))
     lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(suffix), np.int64)
     for k, key in enumerate(keys):
@@ -189,37 +263,17 @@ def search(hashes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.ndarr
             lo, hi = np.searchsorted(key, low, "left"), np.searchsorted(key, high, "right")
         found = np.flatnonzero(hi > lo)
         which, lo, hi = which[found], lo[found], hi[found]
+    longest, item = np.zeros(len(suffix), np.int64), np.zeros(len(suffix), np.int64)
+    whole = block["length"][which] == window
+    if whole.any():
+        suffix = sort_on(words, suffix, keys, window, block["longest"])
+        hit, size, test = longest_matches(words, suffix, lo[whole], hi[whole], which[whole], block)
+        longest[hit], item[hit] = size, block["item"][test]
     counts = hi - lo
     at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-    return np.repeat(which, counts), suffix[at] - doc[at] * window, doc[at], words
-
-
-def longest_at(words: np.ndarray, at: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in `words`, the longest match of any suffix of the benchmark, and that suffix's item."""
-    bench, order, n = block["words"], block["order"], len(block["order"])
-    far, bench_far = strides(words, 2), block["strides"]
-    lo, hi = np.full(len(at), -1), np.full(len(at), n)
-    low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    while True:
-        go = np.flatnonzero(hi - lo > 1)
-        if not len(go):
-            break
-        mid = (lo[go] + hi[go]) >> 1
-        b, size = order[mid], np.minimum(low[go], high[go])
-        on = np.arange(len(go))
-        while len(on):
-            on = on[far[at[go[on]] + size[on]] == bench_far[b[on] + size[on]]]
-            size[on] += STRIDE
-        on = np.arange(len(go))
-        while len(on):
-            w = words[at[go[on]] + size[on]]
-            on = on[(w > 0) & (w == bench[b[on] + size[on]])]
-            size[on] += 1
-        up = words[at[go] + size] > bench[b + size]
-        lo[go], low[go] = np.where(up, mid, lo[go]), np.where(up, size, low[go])
-        hi[go], high[go] = np.where(up, hi[go], mid), np.where(up, high[go], size)
-    best = np.maximum(low, high)
-    return best, block["item"][order[np.where(low >= high, np.maximum(lo, 0), np.minimum(hi, n - 1))]]
+    # A document's words and its gap are the places before the next one's.
+    doc = np.searchsorted(first + np.arange(len(first)) * window, suffix[at], "right") - 1
+    return np.repeat(which, counts), suffix[at] - doc * window, doc, longest[at], item[at]
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -229,18 +283,46 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
 
 
+def _hash(batches):
+    """The column _text as the hashes of its words, 8 bytes each."""
+    for batch in batches:
+        names = batch.schema.names
+        for lo, hi in slices(text_buffers(batch.column(names.index("_text")))[1]):
+            part = batch.slice(lo, hi - lo)
+            data, offs = text_buffers(part.column(names.index("_text")))
+            starts, ends, first = word_bounds(LOWER[data], offs, ALNUM)
+            hashes = word_hashes(LOWER[data], starts, ends).tobytes()
+            sizes = np.diff(first)
+            out = {"_hashes": pa.array([hashes[8 * a : 8 * b] for a, b in zip(first.tolist(), first[1:].tolist())], pa.binary()), "_words": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_arrays([out.get(c, part.column(k)) for k, c in enumerate(names)], names=names)
+
+
+def _shards(batch):
+    """(rows, hashes of all their words, number of each row's first word with the total last): slices of bounded size."""
+    names = batch.schema.names
+    if "_hashes" in names:
+        data = batch.column(names.index("_hashes"))
+        sizes = np.array([len(x) // 8 for x in data.to_pylist()], np.int64)
+        for lo, hi in slices(np.append(0, np.cumsum(sizes * 8))):
+            yield batch.slice(lo, hi - lo), np.frombuffer(b"".join(data.slice(lo, hi - lo).to_pylist()), np.uint64), np.append(0, np.cumsum(sizes[lo:hi]))
+        return
+    text = names.index("_text")
+    for lo, hi in slices(text_buffers(batch.column(text))[1]):
+        part = batch.slice(lo, hi - lo)
+        data, offs = text_buffers(part.column(text))
+        data = LOWER[data]
+        starts, ends, first = word_bounds(data, offs, ALNUM)
+        yield part, word_hashes(data, starts, ends), first
+
+
 def _pass(held):
     def run(batches):
         block = held.value
         window = block["window"]
         for batch in batches:
             names = batch.schema.names
-            for lo, hi in slices(text_buffers(batch.column(names.index("_text")))[1]):
-                part = batch.slice(lo, hi - lo)
-                data, offs = text_buffers(part.column(names.index("_text")))
-                data = LOWER[data]
-                starts, ends, first = word_bounds(data, offs, ALNUM)
-                which, where, doc, words = search(word_hashes(data, starts, ends), first[:-1], block)
+            for part, hashes, first in _shards(batch):
+                which, where, doc, longest, test_item = search(hashes, first[:-1], block)
                 out = {c: part.column(names.index(c)).to_pylist() for c in ("_hits", "_items", "_longest")}
                 if len(which):
                     length = block["length"][which]
@@ -248,7 +330,7 @@ def _pass(held):
                     o = np.lexsort((-length, where))
                     o = o[np.append(True, np.diff(where[o]) != 0)]
                     place, size, own = where[o], length[o], doc[o]
-                    match, item = longest_at(words, place + own * window, block)
+                    match, item = longest[o], test_item[o].copy()
                     short = match < window
                     size_of = np.where(short, size, match)
                     short_item = np.array([block["members"][k][0] for k in block["holder"][which[o][short]]], np.int64)
@@ -257,8 +339,7 @@ def _pass(held):
                     best = best[np.append(True, np.diff(own[best]) != 0)]
                     for k in best.tolist():
                         d = int(own[k])
-                        if size_of[k] > (out["_longest"][d] or {"words": 0})["words"]:
-                            out["_longest"][d] = {"words": int(size_of[k]), "at": int(place[k] - first[d]), "item": block["ids"][item[k]]}
+                        out["_longest"][d] = {"words": int(size_of[k]), "at": int(place[k] - first[d]), "item": block["ids"][item[k]]}
                     cover = covered(place, place + size, int(first[-1]))
                     # A window doesn't reach into the next document, but the covers of two may touch: they are cut there.
                     cuts = np.unique(first[1:-1])
@@ -268,23 +349,21 @@ def _pass(held):
                     for d in np.unique(in_doc).tolist():
                         a, b = np.searchsorted(in_doc, [d, d + 1])
                         r = (edges[a:b] - first[d]).reshape(-1)
-                        old = out["_hits"][d]
-                        if old:
-                            both = np.concatenate([np.array(old), r])
-                            r = covered(both[::2], both[1::2], int(both.max())).reshape(-1)
                         out["_hits"][d] = r.tolist()
                     pair = np.unique(np.column_stack([doc, block["holder"][which]]), axis=0)
                     bound = np.searchsorted(pair[:, 0], np.unique(pair[:, 0]))
                     for a, b in zip(bound.tolist(), [*bound[1:].tolist(), len(pair)]):
                         d = int(pair[a, 0])
                         members = np.unique(np.concatenate([block["members"][k] for k in pair[a:b, 1]]))
-                        out["_items"][d] = sorted({*(out["_items"][d] or ()), *(block["ids"][k] for k in members)})
+                        out["_items"][d] = sorted({block["ids"][k] for k in members})
                 arrays = []
                 for field in batch.schema:
                     if field.name == "_words":
                         arrays.append(pa.array(np.diff(first), pa.int64()))
                     elif field.name in out:
                         arrays.append(pa.array(out[field.name], field.type))
+                    elif field.name == "_hashes":
+                        arrays.append(pa.nulls(len(part), field.type))
                     else:
                         arrays.append(part.column(names.index(field.name)))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -302,34 +381,54 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     with one of the names above are replaced. With no items nothing is contaminated. Nothing is dropped."""
     new = ["n_words", "n_hit", "items", "longest", "contaminated"]
     own = [c for c in docs.columns if c not in new and c != "text"]
+    spark = docs.sparkSession
     empty = T.StructType([T.StructField("words", T.LongType()), T.StructField("at", T.LongType()), T.StructField("item", T.StringType())])
-    df = docs.select(
-        F.struct(*own).alias("_own") if own else F.lit(None).cast("string").alias("_own"), F.col("text").alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"),
-        F.array().cast("array<string>").alias("_items"), F.lit(None).cast(empty).alias("_longest"),
-    )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    sc = docs.sparkSession.sparkContext
+    none = [F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"), F.lit(None).cast(empty).alias("_longest")]
+    base = [F.struct(*own).alias("_own") if own else F.lit(None).cast("string").alias("_own"), F.col("text").alias("_text"), F.lit(0).cast("long").alias("_words")]
     blocks = benchmark_blocks(items, window, block_words)
     names = [r["block"] for r in blocks.select("block").orderBy("block").collect()]  # a number for each block
-    for k, name in enumerate(names or [None]):
-        data = make_block([], [], window) if name is None else pickle.loads(blocks.filter(F.col("block") == name).first()["data"])
-        held = sc.broadcast(data)
-        found = df.mapInArrow(_pass(held), schema)
-        if k + 1 < len(names):
-            found = keep(found, "found")
-            if k:
-                discard(df)
+
+    def block_of(name: int | None) -> dict:
+        return make_block([], [], window) if name is None else pickle.loads(blocks.filter(F.col("block") == name).first()["data"])
+
+    def loose(df: DataFrame) -> T.StructType:
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
+    if len(names) < 2:
+        df = docs.select(*base, *none)
+        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(block_of(names[0] if names else None))), loose(df)).withColumn("_ranges", ranges("_hits"))
+    else:
+        df = docs.select(*base, F.monotonically_increasing_id().alias("_id"), F.lit(None).cast("binary").alias("_hashes"))
+        df = keep(df.mapInArrow(_hash, loose(df)) if keep_text else df.mapInArrow(_hash, loose(df)).withColumn("_text", F.lit(None).cast("string")), "hashes")
+        found = []
+        for name in names:
+            held = spark.sparkContext.broadcast(block_of(name))
+            part = df.select("_id", "_hashes", F.lit(0).cast("long").alias("_words"), *none)
+            found.append(keep(part.mapInArrow(_pass(held), loose(part)).filter(F.size("_hits") > 0).select("_id", ranges("_hits").alias("_ranges"), "_items", "_longest"), "found"))
             held.destroy()
-        df = found
-    odd = F.filter("_hits", lambda _, i: i % 2 == 1)
-    even = F.filter("_hits", lambda _, i: i % 2 == 0)
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+        every = reduce(DataFrame.union, found).groupBy("_id").agg(
+            F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.flatten(F.collect_list("_items")).alias("_items"),
+            F.max_by("_longest", F.struct(F.col("_longest.words"), -F.col("_longest.at"), F.col("_longest.item"))).alias("_longest"),
+        )
+        df = df.drop("_hashes").join(every, "_id", "left").withColumn("_ranges", F.coalesce("_ranges", ranges(F.array().cast("array<long>"))))
+        df = df.withColumn("_items", F.coalesce(F.array_sort(F.array_distinct("_items")), F.array().cast("array<string>")))
+    # Ranges of different blocks may overlap: a word counts once.
+    total = F.aggregate(
+        F.array_sort("_ranges"), F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda a, r: F.struct(F.greatest(a["end"], r["e"]).alias("end"), (a["n"] + F.greatest(r["e"] - F.greatest(a["end"], r["s"]), F.lit(0).cast("long"))).alias("n")),
+    )
     return df.select(
-        *(F.col("_own")[c].alias(c) for c in own), *([F.col("_text").alias("text")] if keep_text else []), F.col("_words").alias("n_words"), (total(odd) - total(even)).alias("n_hit"),
-        F.col("_items").alias("items"), F.col("_longest").alias("longest"), (F.size("_hits") > 0).alias("contaminated"),
+        *(F.col("_own")[c].alias(c) for c in own), *([F.col("_text").alias("text")] if keep_text else []), F.col("_words").alias("n_words"), total["n"].alias("n_hit"),
+        F.col("_items").alias("items"), F.col("_longest").alias("longest"), (F.size("_ranges") > 0).alias("contaminated"),
     )
 
 
+def ranges(flat: Column | str) -> Column:
+    """[s, e, s, e, ...] as an array of (s, e)."""
+    flat = F.col(flat) if isinstance(flat, str) else flat
+    return F.transform(F.filter(flat, lambda _, i: i % 2 == 0), lambda s, i: F.struct(s.alias("s"), F.get(flat, 2 * i + 1).alias("e")))
+
+
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
     found = find_leaks(docs.select(F.struct(*docs.columns).alias("row"), "text"), items, window, keep_text=False)

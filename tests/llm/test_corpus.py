@@ -716,6 +716,52 @@ def test_suffix_array_by_brute_force():
         assert found == sorted(found)
 
 
+def test_longest_matches_by_brute_force():
+    """Test suffixes in a shard's suffix array: every place's longest match and its item, whatever repeats."""
+    from quillcast.llm.text_arrays import ALNUM, LOWER, text_buffers, word_bounds, word_hashes
+
+    rng = random.Random(4)
+    for trial in range(40):
+        few = [f"w{k}" for k in range(rng.choice([1, 2, 3, 30]))]
+        some = lambda n: " ".join(rng.choice([*few, "other"] if rng.random() < 0.1 else few) for _ in range(n))  # noqa: E731, B023
+        items = [some(rng.choice([1, 3, 9, 10, 11, 25, 60])) for _ in range(rng.choice([1, 4, 12]))]
+        texts = [some(rng.randrange(80)) for _ in range(8)] + [some(5) + " " + rng.choice(items) + " " + some(3), rng.choice(items), ""]
+        texts += texts[3:6]
+        block = decontaminate.make_block([str(k) for k in range(len(items))], items, 10)
+        data, offs = text_buffers(pa.array(texts))
+        starts, ends, first = word_bounds(LOWER[data], offs, ALNUM)
+        which, where, doc, size, item = decontaminate.search(word_hashes(LOWER[data], starts, ends), first[:-1], block)
+        want = {}
+        for d, w in enumerate(t.split() for t in texts):
+            for i in range(len(w)):
+                for t in (x.split() for x in items):
+                    for j in range(len(t)):
+                        n = 0
+                        while i + n < len(w) and j + n < len(t) and w[i + n] == t[j + n]:
+                            n += 1
+                        if n >= 10:
+                            want[first[d] + i] = max(want.get(first[d] + i, 0), n)
+        assert {p: n for p, n in zip(where.tolist(), size.tolist()) if n} == want, trial
+        for p, d, n, t in zip(where.tolist(), doc.tolist(), size.tolist(), item.tolist()):
+            assert first[d] <= p < first[d + 1]
+            assert not n or f" {' '.join(texts[d].split()[p - first[d] :][:n])} " in f" {items[t]} "
+
+
+def test_blocks_of_the_benchmark_give_what_one_gives(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(str(k), some(30)) for k in range(25)] + [("x", some(4)), ("x", some(4)), (None, some(14)), ("e", ""), ("n", None)]
+    docs = [(k, some(20) + " " + " ".join(rng.choice(items[:25])[1].split()[: rng.randrange(30)]) + " " + some(9), k % 3) for k in range(50)]
+    # Overlapping finds of two items, no text, and a repeated row.
+    docs += [(50, items[0][1] + " " + items[1][1], 1), (50, items[0][1] + " " + items[1][1], 1), (51, None, 1), (None, "", 2)]
+    items.append(("o", " ".join((items[0][1] + " " + items[1][1]).split()[15:45])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, _id int"), spark.createDataFrame(items, "item_id string, text string")
+    for with_text in (True, False):
+        rows = [sorted((repr((r.doc_id, r._id, r.n_words, r.n_hit, r["items"], r.longest and r.longest.words, r.contaminated, with_text and r.text)) for r in decontaminate.find_leaks(d, b, block_words=n, keep_text=with_text).collect())) for n in (1 << 19, 60)]
+        assert rows[0] == rows[1] and len(rows[0]) == 54
+
+
 # The pipeline
 
 
