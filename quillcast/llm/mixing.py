@@ -88,7 +88,7 @@ def shuffled(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFra
     """sized with sid, take, cells, all, source_size and off, the words before a document in its source's shuffled stream."""
     # md5 orders documents alike on every engine; ties of whole rows are interchangeable.
     h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    rows = sized.join(F.broadcast(targets.select("sid", F.col("source").alias("_s"), "source_size", "take", "cells", "all")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = sized.join(targets.select("sid", F.col("source").alias("_s"), "source_size", "take", "cells", "all"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("h", h).withColumn("bucket", F.conv(F.substring("h", 1, BITS // 4), 16, 10).cast("long"))
     rows = rows.join(prefix_sums(rows, ["sid"], "bucket", "size").hint("merge"), ["sid", "bucket"])
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +135,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = size_documents(table(spark, sf_dir, "documents"))
     pieces, targets = mix(sized)
     taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
-    rows = sized.join(F.broadcast(targets.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    rows = sized.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "left")
     return rows.join(taken.hint("merge"), "rid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
     )
