@@ -52,7 +52,7 @@ def roster_players(pages: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataF
     A row needs six cells and a link in the second one, which gives name and id. Active players are id, full_name,
     first_name and last_name; a one-word name is a last name."""
     rows = _rows(pages, ROSTER, 6).filter("error IS NULL").filter(F.get("links", F.lit(1)).isNotNull())
-    rows = rows.join(pages.select("page_id", "team_abbreviation"), "page_id").join(F.broadcast(teams.withColumnsRenamed({"id": "team_id", "full_name": "team_name"})), F.col("team_abbreviation") == F.col("abbreviation"))
+    rows = rows.join(pages.select("page_id", "team_abbreviation"), "page_id").join(teams.withColumnsRenamed({"id": "team_id", "full_name": "team_name"}), F.col("team_abbreviation") == F.col("abbreviation"))
     info = rows.select(
         ft.extract_id(F.get("links", F.lit(1)), PLAYER_LINK).alias("player_id"), F.coalesce(F.get("anchors", F.lit(1)), F.lit("")).alias("player_name"),
         "team_id", "team_abbreviation", "team_name", *(_cell(k).alias(c) for c, k in ROSTER_CELLS.items()),
@@ -63,7 +63,7 @@ def roster_players(pages: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataF
 
 def todays_games(games: DataFrame, teams: DataFrame, as_of: str) -> DataFrame:
     """Games of one day with HOME_TEAM_ID and VISITOR_TEAM_ID, null for unknown names."""
-    ids = F.broadcast(teams.select("full_name", F.col("id").cast("long").alias("_id")))
+    ids = teams.select("full_name", F.col("id").cast("long").alias("_id"))
     out = schedule.slate(games, "date", as_of)
     for side in ("home", "visitor"):
         out = out.join(ids, F.col(f"{side}_team") == F.col("full_name"), "left").withColumnRenamed("_id", f"{side.upper()}_TEAM_ID").drop("full_name")
