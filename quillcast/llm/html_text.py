@@ -2,10 +2,12 @@
 
 A page becomes a list of blocks (the text between block-level tags). For each block there are its words and
 link density, those of the blocks before and after it, and whether it is a heading. Markup adds what it says of
-the part of the page in which the block stands (content, surroundings or nothing) and two shares: how many of the
-page's words outside of links are in that part, and how many are in named content. Names are features like the
-others: a frame that is called a sidebar but holds the page's words is not dropped for its name. A small decision
-tree, grown from the labelled pages below when the operator is called, decides block by block.
+the part of the page in which the block stands (content, surroundings or nothing), how many of the page's words outside
+of links are in that part, and whether any are in named content. Names are features like the
+others: a frame that is called a sidebar but holds the page's words is not dropped for its name. Where names say
+nothing the shape of the page does: whether the block, and the one before and after it, stands in the page's core,
+the innermost element that holds most of the words: see core_of(). A small decision tree, grown from the labelled
+pages below when the operator is called, decides block by block.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class, id and role names, our own choice: for the content, for surroundings, for answers to the content, and those that
 #: only say where or how. A name counts if each of its parts is in a list: `author-box` does, `author-analysis` doesn't.
 CONTENT_WORDS = set("article articlebody body content entry hentry main post postbody story storybody text".split())
-ANSWER_WORDS = set("comment comments commentlist commentarea commentform discussion disqus replies reply respond".split())
+ANSWER_WORDS = set("comment comments commentlist commentarea commentform discussion disqus feedback reactions replies reply respond".split())
 AROUND_WORDS = ANSWER_WORDS | set("""ad ads adv advert adverts advertisement alert author banner breadcrumb breadcrumbs byline consent contentinfo cookie cookies dialog foot footer footnav
 form gdpr header infobar login masthead menu menubar meta modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted promotion recommended
 related search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar tracking trending widget widgets""".split())
-OTHER_WORDS = set("area bar block bottom box buttons column container field fixed global group icons info inner item items left link links list local message page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+OTHER_WORDS = set("area bar block bottom box buttons column container field fixed global group icons info inner item items left link links list local message page panel posts primary reader readers right row secondary section site slot top unit user users wrap wrapper".split())
+
+#: Elements that may be the core of a page, and the share of the page's words that makes one of them the core.
+FRAMES = set("article body center div form html main section table tbody tr".split())
+CORE = 0.5
 
 #: Elements whose names may say that they hold the content.
 CONTAINERS = set("div section table center form".split())
@@ -49,8 +55,8 @@ NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|(?=<)|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: The labelled pages. A block is its part of the page, words, words in links, h for a heading and + for main text. Parts: c named content,
-#: a, b and d surroundings, x answers to the content, n none of these.
+#: The labelled pages, one in a line. A block is the element it stands in, its words, words in links, h for a heading and + for main
+#: text. Elements: c an article, a, b and d surroundings, x comments, u, v and w elements whose names say nothing, n the body itself.
 LABELLED = """
 a1/1 a1/1 a1/1 b12 c7h+ c9+ c60+ c3+ c85+ c25+ d10
 a2/2 a3/3 c8h+ c40+ c4/4+ c5/5+ c3/3+ c33+ x40 x90 x3h d16/4
@@ -83,19 +89,56 @@ a40+ a41+
 n3h+ c80+ c80+
 n3h+ c30+ c70+ c12+ n3
 a7h+ a60+ a80+ n3/3
+v11 c5h+ c12+ c21+ c6+
+v9 c5h+ c40+ c49+ c20+ v7
+v11 c4h+ c90+ c99+ c45+ w9
+v14 u8h+ u60+ u45+ u30+ w8
+c6h+ c90+ c70+ c80+ v3h v30 v20 v40
+c5h+ c40+ c49+ c20+ v30 v20
+c3h+ c60+ c70+ c12+ v2h v44
+u6h+ u40+ u50+ u20+ u30+ v31 v21 v11
+n7h+ u60+ u80+ u12+ v6 w3/3
+v2/2 v3/3 u5h+ u30+ u8+ u44+ w9 w2/2
+u4h+ u15+ u12+ u20+ u9+ v8
+v10 u70+ u66+ u5+ u80+ w12 x25
+n9h+ u25+ u30+ u10/2+ v7
+c30+ c25+ v8
+v4h v20 c7h+ c80+ c75+ c9+
+n3h+ n20+ n15+ n9+
+n5h+ n40+ n12+ n35+
+c4h+ c90+ c80+ c100+ b150 b90
+c5h+ c40+ c60+ a80 a3/3
+c70+ c65+ c80+ b190
+c41+ c39+ c45+ c52+ c44+ c40+ n230+
+u5h+ u90+ u80+ u95+ u100+ n250+ v9
+a8h+ a150+ a180+ a130+ b6
+a200+ a160+ a140+ n3/3
+n4h+ a170+ a220+ b9
 """
 
+#: How an element of the labelled pages is written.
+WRITTEN = {"c": "article", "a": "aside", "b": "footer", "d": "nav", "x": 'section class="comments"', "u": 'div class="u"', "v": 'div class="v"', "w": 'div class="w"', "n": ""}
+
+
+def labelled_page(line: str) -> tuple[str, list[int]]:
+    """A line of the labelled pages as html, and the labels of its blocks."""
+    page, labels, at = [], [], "n"
+    for part, words, linked, heading, kept in re.findall(r"([a-z])(\d+)(?:/(\d+))?(h?)(\+?)", line):
+        if part != at:
+            page += [f"</{WRITTEN[at].split()[0]}>" if WRITTEN[at] else "", f"<{WRITTEN[part]}>" if WRITTEN[part] else ""]
+            at = part
+        tag, k = "h2" if heading else "p", int(linked or 0)
+        page.append(f"<{tag}><a>{'w ' * k}</a> {'w ' * (int(words) - k)}</{tag}>")
+        labels.append(int(bool(kept)))
+    return "".join(page), labels
+
 
 def labelled_rows() -> np.ndarray:
     """The labelled table: a row of features and a label for each block of the labelled pages."""
     out = []
-    for page in LABELLED.split("\n"):
-        blocks = re.findall(r"([a-z])(\d+)(?:/(\d+))?(h?)(\+?)", page)
-        parts = sorted({b[0] for b in blocks})
-        kinds = [{"c": 1, "n": 0}.get(p, -1) for p in parts]
-        facts = [(int(w), int(linked or 0), int(h == "h"), parts.index(p)) for p, w, linked, h, _ in blocks]
-        if facts:
-            out.append(np.column_stack([features(facts, kinds, [p == "x" for p in parts]), [int(b[4] == "+") for b in blocks]]))
+    for page, labels in map(labelled_page, LABELLED.split("\n")):
+        if labels:
+            out.append(np.column_stack([features(*text_blocks(page)[1:]), labels]))
     return np.concatenate(out)
 
 
@@ -188,8 +231,36 @@ def parts_of(nodes: list[tuple[int, str, str, bool]], words: list[int]) -> tuple
     return part, kinds, never
 
 
-def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[int], list[bool]]:
-    """The blocks of a page: their texts, (words, words in links, heading, part), and kind and frame of each part: see parts_of()."""
+def core_of(nodes: list[tuple[int, str, str, bool]], words: list[int], blocks: list[int]) -> list[bool]:
+    """For each element, whether it is in the core of the page: the innermost of FRAMES that holds a CORE of all words (`words`, and
+    `blocks` of text, by element) and either is an article or main or has two blocks. One that has others like it
+    beside it is no core but a part of one: articles and sections, elements of the same name and class, and those without a class
+    if the others hold a quarter of its words. Nor is one a core that has a third of its words before it, as comments on a short text."""
+    within, count, children = list(words), list(blocks), {}
+    for k in range(len(nodes) - 1, 0, -1):
+        within[nodes[k][0]] += within[k]
+        count[nodes[k][0]] += count[k]
+        children.setdefault(nodes[k][0], []).append(k)
+    core, least = 0, CORE * within[0]
+    alike = lambda k: (nodes[k][1], nodes[k][1] in ("article", "section") or nodes[k][2])
+    while True:
+        most = max(children.get(core, ()), key=lambda k: within[k], default=None)
+        if most is None or not within[most] or within[most] < least or nodes[most][1] not in FRAMES or (count[most] < 2 and nodes[most][1] not in ("article", "main")):
+            break
+        others = sum(within[k] for k in children[core] if k != most and alike(k) == alike(most))
+        before = sum(within[k] for k in children[core] if k < most)
+        if (others and (alike(most)[1] or 4 * others >= within[most])) or 3 * before >= within[most]:
+            break
+        core = most
+    inside = [core == 0]
+    for k in range(1, len(nodes)):
+        inside.append(k == core or inside[nodes[k][0]])
+    return inside
+
+
+def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int, bool]], list[int], list[bool]]:
+    """The blocks of a page: their texts, (words, words in links, heading, part, in the core), and kind and frame of each part: see
+    parts_of() and core_of()."""
     texts: list[str] = []
     facts: list[tuple[int, int, int, int]] = []  # at first with the element in place of its part
     nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", True)]
@@ -275,26 +346,31 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]],
             stack.append(len(nodes) - 1)
             opened[name] += 1
     close()
-    words = [0] * len(nodes)
+    words, blocks = [0] * len(nodes), [0] * len(nodes)
     for w, linked, _, k in facts:
         words[k] += max(w - linked, 0)
+        blocks[k] += 1
     part, kinds, never = parts_of(nodes, words)
-    return texts, [(w, linked, heading, part[k]) for w, linked, heading, k in facts], kinds, never
+    # Words in surroundings don't make a core, unless they are most of the page's.
+    free = [0 if kinds[p] == -1 else w for w, p in zip(words, part)]
+    inside = core_of(nodes, free if 2 * sum(free) >= sum(words) else words, blocks)
+    return texts, [(w, linked, heading, part[k], inside[k]) for w, linked, heading, k in facts], kinds, never
 
 
-def features(facts: list[tuple[int, int, int, int]], kinds: list[int], never: list[bool]) -> np.ndarray:
+def features(facts: list[tuple[int, int, int, int, bool]], kinds: list[int], never: list[bool]) -> np.ndarray:
     """A row for each block of one page: words, link density, both of the block before and of the one after, heading, kind of
-    its part, the part's share of the words outside of links (0 where it can't be the frame), and that of named content."""
-    f = np.array(facts, float).reshape(-1, 4)
+    its part, the part's share of the words outside of links (0 where it can't be the frame), whether the block, the one
+    before and the one after are in the core, and whether there are words in named content."""
+    f = np.array(facts, float).reshape(-1, 5)
     part = f[:, 3].astype(int)
     words, density = f[:, 0], np.minimum(f[:, 1] / np.maximum(f[:, 0], 1), 1)
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k < 0 else np.concatenate([v[1:], [0.0]])
     free = np.maximum(words - f[:, 1], 0)
     share = np.bincount(part, free, len(kinds)) / max(free.sum(), 1)
     kind = np.array(kinds, float)
-    named = share[kind == 1].sum()
+    named = np.full(len(f), share[kind == 1].sum() > 0)
     share[np.array(never)] = 0
-    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), f[:, 2], kind[part], share[part], np.full(len(f), named)])
+    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), f[:, 2], kind[part], share[part], f[:, 4], shift(f[:, 4], -1), shift(f[:, 4], 1), named])
 
 
 def main_text(page: str, tree: dict | int) -> str:

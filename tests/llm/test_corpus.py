@@ -277,6 +277,39 @@ def test_words_and_links_decide_where_names_do_not():
         assert html_text.main_text(page, tree) == want, page.replace(long, "L")
 
 
+def test_the_core_decides_where_no_name_does():
+    tree = html_text.grow(html_text.labelled_rows())
+    line = lambda n: "word " * (n - 1) + "end."
+    notice, rights = "We use cookies to improve your visit. Accept them all.", "Copyright 2020 Some Company. All rights reserved."
+    for n in (12, 40, 90):
+        want = ["A fine title", line(n), line(n + 9), line(n // 2)]
+        body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{w}</p>" for w in want[1:])
+        talk = "".join(f"<div>{who}: {line(k)}</div>" for who, k in (("Ann", 30), ("Bob", 20), ("Cid", 40)))
+        for page in (f'<div class="cc-window">{notice}</div><main>{body}</main>', f"<main>{body}</main><div>{rights}</div>", f'<div class="q"><div class="z">{body}</div></div><div>{rights}</div>'):
+            assert html_text.main_text(page, tree).split("\n\n") == want, page
+        for page in (f'<main>{body}</main><div class="user-feedback">{talk}</div>', f'<div class="z">{body}</div><div class="q">{talk}</div>'):
+            got = html_text.main_text(page, tree).split("\n\n")
+            assert got[:4] == want and (len(got) == 4 or n == 12), page  # comments that are longer than the text and have no name stay
+    # What a page repeats is no core, and a short text before long comments stays.
+    parts = "".join(f"<section><h2>Part</h2><p>{line(k)}</p><p>{line(9)}</p></section>" for k in (300, 40, 30))
+    assert html_text.main_text(f"<div>{parts}</div>", tree).count("Part") == 3
+    for sort in ("p", 'div class="para"'):
+        got = html_text.main_text("<div>" + "".join(f"<{sort}>{line(k)}</{sort.split()[0]}>" for k in (200, 9, 12)) + "</div>", tree)
+        assert len(got.split("\n\n")) == 3
+
+
+def test_blocks_of_pages_without_names(spark):
+    """The pages with every part written as a div without a name: what was in the article is found by the shape of the page."""
+    tree = html_text.grow(html_text.labelled_rows())
+    kept = right = wanted = 0
+    for p in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        facts, plain = html_text.text_blocks(p.html)[1], re.sub('<div class="ad">', "<div>", re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|ul)\b[^>]*>", r"<\1div>", p.html))
+        inside = np.array([f[3] == 1 for f in facts])
+        found = html_text.decide(tree, html_text.features(*html_text.text_blocks(plain)[1:]))
+        kept, right, wanted = kept + found.sum(), right + (found & inside).sum(), wanted + inside.sum()
+    assert right == wanted and right / kept > 0.95
+
+
 def test_end_tags_of_nothing_are_passed_over_in_linear_time():
     began = time.process_time()
     deep = "<div>" * 20000 + "</p></section>" * 50000 + "<p>One sentence of text.</p>" + "</div>" * 20000
