@@ -20,6 +20,8 @@ from quillcast.llm.text_arrays import LOWER, slices, text_buffers
 ROWS = 1 << 15
 #: Documents of the sample for each language, width of embeddings, epochs, rate, characters of a training piece.
 SAMPLE, WIDTH, EPOCHS, RATE, PIECE = 400, 16, 6, 0.5, 256
+#: Characters that the sample takes of one document.
+LONGEST = 1 << 14
 #: Share of the held-back part whose predictions are kept by the rejection threshold.
 KEPT = 0.99
 
@@ -130,9 +132,17 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
+def excerpt(text: Column, longest: int = LONGEST, pieces: int = 16) -> Column:
+    """A text of at most `longest` characters as it is; of a longer one pieces that lie evenly over the whole of it."""
+    one = longest // pieces - 1
+    at = lambda k: ((F.length(text) - one) * k / (pieces - 1)).cast("int") + 1
+    return F.when(F.length(text) <= longest, text).otherwise(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(text, at(k), F.lit(one)))))
+
+
 def sample(docs: DataFrame, size: int = SAMPLE) -> list:
     """At most `size` rows (text, lang) of each language, the documents with the least hash in each of `size` slots.
 
+    The driver gets no more than LONGEST characters of one: of longer texts, pieces from all over them (see excerpt()).
     The slots are filled by a partial aggregate, so no language is gathered in one task. A language without
     a text that has letters isn't learned."""
     able = docs.filter((fold() != 1) & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
@@ -141,7 +151,7 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> list:
     chosen = keep(slots.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "chosen")
     # Bounded: `size` rows for each language.
     rows = able.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    return sorted(rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
+    return sorted(rows.select("doc_id", "lang", excerpt(F.col("text")).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
 
 
 def _predict(held):

@@ -351,6 +351,18 @@ def test_language_on_held_out_documents(spark, docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sampled_texts_are_bounded(spark):
+    """A longer text gives pieces from all over it; others stay as they are, and predictions still read whole texts."""
+    numbers = " ".join(f"n{k}" for k in range(20000))
+    rows = spark.createDataFrame([(1, numbers, "en"), (3, "short text", "en"), (4, "x" * language.LONGEST, "de")], "doc_id long, text string, lang string")
+    got = dict(rows.select("doc_id", language.excerpt(F.col("text")).alias("t")).collect())
+    assert got[3] == "short text" and got[4] == "x" * language.LONGEST
+    assert len(got[1]) == language.LONGEST - 1 and got[1].startswith(numbers[:500]) and got[1].endswith(numbers[-500:])
+    places = [numbers.index(piece[6:40]) for piece in (got[1][k * 1024 : k * 1024 + 1023] for k in range(16))]
+    assert places == sorted(places) and max(np.diff(places)) < len(numbers) / 14
+    assert sorted(len(r["text"]) for r in language.sample(rows)) == sorted(len(got[r["doc_id"]]) for r in rows.filter((language.fold() != 1)).collect())
+
+
 def test_language_rejects_what_has_no_letter(spark):
     model = language.train(["the cat and the dog", "der hund und die katze"] * 20, ["en", "de"] * 20)
     df = spark.createDataFrame([(1, None), (2, "123 !?"), (3, "the dog and the cat")], "doc_id long, text string")
