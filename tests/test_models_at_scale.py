@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillcast.functions.values import noises
-from quillcast.operators import boosting, entity_models, gram, models, resolve, small_trees, split_scale
+from quillcast.operators import boosting, ensemble, entity_models, gram, models, resolve, small_trees, split_scale
 from quillcast.operators.augment import FEATURES
 from quillcast.plans import forecast
 
@@ -239,3 +239,46 @@ def test_six_real_models_of_all_rows(spark):
     got = {r.e: r for r in forecast.predict(asked, f, "e", "points", copies=30).collect()}
     assert got[1].status == "not_found" and got[1].prediction is None
     assert all(r.n_models == 6 and math.isfinite(r.prediction) and 60 <= r.confidence <= 99 for k, r in got.items() if k != 1)
+
+
+def test_a_forest_of_undrawn_rows_is_one_plain_tree(spark):
+    """With each row drawn once all trees are the tree that plain boosting begins with, whatever the partitions are."""
+    rows = wave(700)
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    edges = boosting.bin_edges(df, ["a", "b"])
+    x = np.column_stack([np.searchsorted(e, [r[k] for r in rows], "left") for k, e in enumerate(edges)])
+    want = dict(zip([r[:2] for r in rows], plain_boosting(x, np.array([r[2] for r in rows]), 1, 4, 0.0, 1, 1.0)))
+    got = {(r.a, r.b): r.prediction for r in boosting.fit_forest(3, 4, draws=np.ones(1 << 16, np.uint8))(df.repartition(3), ["a", "b"], "y")(df).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_are_drawn_as_often_as_with_replacement():
+    w = boosting._drawn(1 << 20, boosting.DRAWS, 42, 3, 7)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+    assert (w == boosting._drawn(1 << 20, boosting.DRAWS, 42, 3, 7)).all() and not (w == boosting._drawn(1 << 20, boosting.DRAWS, 42, 4, 7)).all()
+
+
+def test_of_two_sisters_only_the_smaller_is_counted():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 8, (4000, 3)).astype(np.uint8), rng.normal(0, 1000, 4000)
+    s = boosting.Settings("level", 1, 5, 0, 0.1, 1.0)
+    s.k, s.wide = 3, 8
+    held, counted = boosting._Held(iter([]), s), []
+    held.blocks = [boosting._Block(x[:1500], y[:1500], 8), boosting._Block(x[1500:], y[1500:], 8)]
+
+    def sums_of(tree, nodes):
+        total = held.sums(tree, nodes)
+        counted.append(int(total[:, 0, :, 1].sum()))
+        return dict(zip(nodes, total))
+
+    _, whole, gives = boosting.grow_tree(sums_of, "level", 5, 0, 1.0, 1)
+    assert counted[0] == 4000 and len(counted) == 5 and all(n <= 2000 for n in counted[1:])
+    held.take(whole, gives)
+    assert np.allclose(np.concatenate([b.y for b in held.blocks]), y - 0.1 * boosting.values(whole)[boosting.route(whole, x)])
+
+
+def test_scores_of_models_do_not_shuffle_the_predictions_by_model(spark):
+    p = spark.range(100).selectExpr("id % 10 request", "concat('m', id % 2) model", "double(id) prediction")
+    out = ensemble.combine(p, "request", spark.createDataFrame([("m0", 0.5)], "model string, score double"))
+    assert "hashpartitioning(model" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.request: r.mean_score for r in out.collect()} == {k: pytest.approx(0.8 if k % 2 else 0.5) for k in range(10)}
