@@ -4,7 +4,7 @@ Words are counted over all training documents. Each chunk of documents writes it
 counts by word, and come back to their chunk, so that a word is shuffled once for each chunk and texts are numbered without a
 corpus-wide vocabulary in any task. The most frequent words have numbers of the network (gru.py); all others
 are one symbol there, times their share by counts among these others (a word never seen has a share too), so the
-probabilities of all words and of the end add up to 1. The network starts with the counts' own predictions. In each round every trainer, a group of sampled
+probabilities of all words and of the end add up to 1. The network starts with the counts' own predictions. In each round every trainer, a group of
 training documents, continues from the same parameters, and Spark averages what they return, weighted by words.
 """
 
@@ -23,9 +23,9 @@ from quillcast.llm.chunks import chunks, hashed_words
 from quillcast.llm.common import discard, keep, table
 from quillcast.llm.text_arrays import NOT_SPACE, slices
 
-#: Training words of the network: this many and this share of the corpus (by hash of documents); less only if there are fewer.
+#: Training words that the network sees in every round: this many and this share of the corpus (by hash of documents); all others it sees in one round.
 LEAST_WORDS, SHARE = 2_000_000, 1 / 32
-#: Passes over them, words of a trainer, and averages that reach the driver (2 MB each).
+#: Rounds, words of a trainer, and averages that reach the driver (2 MB each).
 ROUNDS, TRAINER_WORDS, FAN_IN = 3, 250_000, 4
 #: Bytes of word numbers (two each) that are scored together.
 TOGETHER_BYTES = 4 << 20
@@ -167,17 +167,21 @@ def _add(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def fit(ready: DataFrame, counts: Counts, rounds: int = ROUNDS, least: int = LEAST_WORDS, share: float = SHARE, trainer_words: int = TRAINER_WORDS) -> gru.Params:
-    """The network after `rounds` passes over the training documents that a hash chooses: about `least` words and `share` of the corpus."""
+    """The network after `rounds` rounds over all training documents: those that a hash chooses, about `least` words and `share` of the corpus, are in every round,
+    each other one is in one round."""
     params, squares = gru.pack(gru.start(counts.start)), None
     part = min(1.0, least / max(counts.n, 1) + share)
     h = F.xxhash64("doc_id", "words")
-    chosen = ready.filter("fold <> 0").withColumn("h", h).filter(F.pmod(F.col("h"), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
-    trainers = max(1, math.ceil(part * counts.n / trainer_words))
-    lessons = keep(chosen.select("h", "words", F.pmod(F.shiftright("h", 20), F.lit(trainers)).alias("trainer")), "lessons")
+    learnt = ready.filter("fold <> 0").withColumn("h", h)
+    always = F.pmod(F.col("h"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
+    turn = F.pmod(F.xxhash64(F.lit("turn"), "h"), F.lit(max(rounds, 1)))
+    trainers = max(1, math.ceil((part + (1 - part) / rounds) * counts.n / trainer_words))
+    # Texts as numbers are stored already; a second table of them would be most of the corpus.
+    lessons = learnt.select("h", "words", always.alias("always"), turn.alias("turn"), F.pmod(F.shiftright("h", 20), F.lit(trainers)).alias("trainer"))
     size = len(params)
-    for _ in range(rounds):
+    for k in range(rounds):
         held = ready.sparkSession.sparkContext.broadcast((params, squares))
-        means, left = lessons.groupBy("trainer").applyInArrow(_lesson(held), "trainer long, n long, mean binary"), trainers
+        means, left = lessons.filter(F.col("always") | (F.col("turn") == k)).select("h", "words", "trainer").groupBy("trainer").applyInArrow(_lesson(held), "trainer long, n long, mean binary"), trainers
         while left > FAN_IN:
             left = -(-left // FAN_IN)
             means = means.groupBy((F.col("trainer") % left).alias("_to")).applyInArrow(_add, "trainer long, n long, mean binary")

@@ -129,6 +129,18 @@ def test_scores_of_documents(spark, docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_documents_outside_the_ones_of_every_round_are_learnt_from(spark, monkeypatch):
+    """Without any that are in every round, each training document is in one of them."""
+    df = spark.range(60).selectExpr("id doc_id", "concat('a b c d ', id % 7) text")
+    ready, counts = language_model.numbered(df)
+    seen = []
+    mean = language_model._mean
+    monkeypatch.setattr(language_model, "_mean", lambda rows: (seen.append(sum(n for n, _ in rows)), mean(rows))[1])
+    got = language_model.fit(ready, counts, rounds=3, least=0, share=0.0)
+    assert len(seen) == 3 and all(seen) and sum(seen) == counts.n
+    assert not np.array_equal(gru.pack(got), gru.pack(gru.start(counts.start)))
+
+
 def test_scores_without_training_documents(spark):
     held_out = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     df = spark.createDataFrame([(held_out, "a b"), (None, None)], "doc_id long, text string")
