@@ -175,3 +175,10 @@ def test_six_models_on_one_pass(spark):
     scorers = {m: models._affine([0.0] * len(FEATURES), float(k), FEATURES) for k, m in enumerate(models.MODELS)}
     got = models.score_long(f.withColumn("prediction", F.lit(9.0)), scorers, "e")
     assert {(r.model, r.prediction) for r in got.collect()} == {(m, float(k)) for k, m in enumerate(models.MODELS)} and got.count() == 36
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(1, '<table id="schedule"><tr>' + "<td>a</td>" * 7 + "</tr></table><table id=\"schedule\"><tr>" + "<td>b</td>" * 7 + "</tr></table>"), (None, "<p>x</p>")], "page_id long, html string")
+    games = ingest.schedule_games(pages)
+    assert [r.date for r in games.collect()] == ["a"]
+    assert games._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
