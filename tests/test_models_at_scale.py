@@ -282,3 +282,19 @@ def test_scores_of_models_do_not_shuffle_the_predictions_by_model(spark):
     out = ensemble.combine(p, "request", spark.createDataFrame([("m0", 0.5)], "model string, score double"))
     assert "hashpartitioning(model" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.request: r.mean_score for r in out.collect()} == {k: pytest.approx(0.8 if k % 2 else 0.5) for k in range(10)}
+
+
+def test_models_side_by_side_share_bins_and_rows_and_are_those_fitted_alone(spark, monkeypatch):
+    df = spark.createDataFrame(wave(500), "a double, b double, y double").repartition(3).persist()
+    names, asked, edges = ["forest", "gbt", "hist_leaf"], [], boosting.bin_edges
+    monkeypatch.setattr(boosting, "bin_edges", lambda *a: asked.append(1) or edges(*a))
+    fits = {"forest": boosting.fit_forest(4, 3), "gbt": boosting.fit_histogram("level", 4, 3, lam=0.0), "hist_leaf": boosting.fit_histogram("leaf", 4, 3, barrier=False)}
+    monkeypatch.setattr(models, "ESTIMATORS", fits)
+    found, status = models.fit_all(df, ["a", "b"], "y", names)
+    assert set(status.values()) == {"ok"} and len(asked) == 1
+    for m in ("gbt", "hist_leaf"):
+        alone = {(r.a, r.b): r.prediction for r in fits[m](df, ["a", "b"], "y")(df).collect()}
+        assert {(r.a, r.b): r.prediction for r in found[m](df).collect()} == alone
+    assert len(asked) == 3 and found["forest"](df).count() == 500
+    assert boosting.SHARED.get() is None
+    df.unpersist()
