@@ -298,3 +298,13 @@ def test_models_side_by_side_share_bins_and_rows_and_are_those_fitted_alone(spar
     assert len(asked) == 3 and found["forest"](df).count() == 500
     assert boosting.SHARED.get() is None
     df.unpersist()
+
+
+def test_linear_models_side_by_side_share_the_sums(spark, monkeypatch):
+    df, asked, sums = spark.createDataFrame(wave(300), "a double, b double, y double").persist(), [], gram.gram
+    monkeypatch.setattr(gram, "gram", lambda *a: asked.append(1) or sums(*a))
+    found, _ = models.fit_all(df, ["a", "b"], "y", ["linear", "bayesian"])
+    assert len(asked) == 1
+    for m in found:
+        assert [r.prediction for r in models.ESTIMATORS[m](df, ["a", "b"], "y")(df).collect()] == [r.prediction for r in found[m](df).collect()]
+    df.unpersist()
