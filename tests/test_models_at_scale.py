@@ -308,3 +308,14 @@ def test_linear_models_side_by_side_share_the_sums(spark, monkeypatch):
     for m in found:
         assert [r.prediction for r in models.ESTIMATORS[m](df, ["a", "b"], "y")(df).collect()] == [r.prediction for r in found[m](df).collect()]
     df.unpersist()
+
+
+def test_rows_without_weight_stand_in_no_segment_and_follow_the_cuts():
+    x, y, group, role = small_groups()
+    d = small_trees.Groups(x, y, group, role == 0, np.arange(5, dtype=np.uint64))
+    assert d.ordered(x).shape == (3, int(d.train.sum()))
+    g = np.where(d.train, np.rint(-d.label), 0.0)
+    every = np.stack([np.lexsort((v, group)) for v in x])
+    for w, lam, least in ((d.weight, 0.0, 1), (d.weight, 1.0, 5), (d.weight * (1 + np.arange(len(y)) % 3), 0.0, 1)):
+        own = small_trees.tree_values(small_trees.ranks(x), small_trees.weighted(every, w), group, g * w, w, 6, lam, least)
+        assert np.array_equal(own, small_trees.tree_values(x, every, group, g * w, w, 6, lam, least))

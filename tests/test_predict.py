@@ -182,3 +182,9 @@ def test_pages_are_parsed_once(spark):
     games = ingest.schedule_games(pages)
     assert [r.date for r in games.collect()] == ["a"]
     assert games._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_an_answer_fits_its_own_models_once(spark):
+    asked = spark.createDataFrame(ASKED, "request_id long, name string, stat string, spread double, total double")
+    plan = forecast.predict_requests(asked, fixture(spark), copies=10, names=["linear"], scope="entity")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
