@@ -26,7 +26,7 @@ from quillcast.llm.text_arrays import NOT_SPACE, slices
 #: Training words that the network sees in every round: this many and this share of the corpus (by hash of documents); all others it sees in one round.
 LEAST_WORDS, SHARE = 2_000_000, 1 / 32
 #: Rounds, words of a trainer, and averages that reach the driver (2 MB each).
-ROUNDS, TRAINER_WORDS, FAN_IN = 3, 250_000, 4
+ROUNDS, TRAINER_WORDS, FAN_IN = 3, 2_000_000, 4
 #: Bytes of word numbers (two each) that are scored together.
 TOGETHER_BYTES = 4 << 20
 #: Bytes of a word's number in its chunk's list, little-endian.

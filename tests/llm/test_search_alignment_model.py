@@ -257,3 +257,21 @@ def test_best_positions_stop_before_the_lists_end():
     assert read < 24400 and sorted(scores)[-10:] == sorted(every)[-10:] and (every[docs] == scores).all()
     same = [ranked_search.ImpactList(np.arange(1000), np.full(1000, 5))]
     assert len(ranked_search.best_positions(same, 1000, 10)[0]) == 1000  # ties with the last are all met
+
+
+def test_a_trainer_of_more_words_takes_wider_windows_not_more(monkeypatch):
+    rng = np.random.default_rng(2)
+    seen, plain = [], gru.gradients
+    monkeypatch.setattr(gru, "gradients", lambda *a: seen.append(a[2].shape) or plain(*a))
+    for words in (40_000, 800_000):
+        docs = [np.append(rng.integers(1, 300, 399), gru.END) for _ in range(words // 400)]
+        _, _, n = gru.train(gru.start(np.arange(1.0, 301.0)), docs)
+        assert n == words and len(seen) < 1.2 * gru.WINDOWS and sum(a * b for a, b in seen) >= words
+        assert seen[0][1] >= gru.TRAIN_LANES
+        seen.clear()
+
+
+def test_outputs_out_of_the_range_of_floats_are_shifted():
+    c = np.array([[200.0, 100.0], [-200.0, -300.0], [0.0, 1.0]], np.float32)
+    log, _ = gru._softmax(c.copy(), np.arange(3), np.array([0, 0, 1]))
+    assert np.allclose(log, [0, 0, 1 - np.log(1 + np.e)], atol=1e-6)
