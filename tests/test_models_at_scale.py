@@ -319,3 +319,12 @@ def test_rows_without_weight_stand_in_no_segment_and_follow_the_cuts():
     for w, lam, least in ((d.weight, 0.0, 1), (d.weight, 1.0, 5), (d.weight * (1 + np.arange(len(y)) % 3), 0.0, 1)):
         own = small_trees.tree_values(small_trees.ranks(x), small_trees.weighted(every, w), group, g * w, w, 6, lam, least)
         assert np.array_equal(own, small_trees.tree_values(x, every, group, g * w, w, 6, lam, least))
+
+
+def test_names_that_end_in_numbers_are_not_paired_by_trigrams(spark):
+    names = spark.range(2000).select(F.format_string("Player#%09d", "id").alias("name"))
+    needles = names.select(F.substring("name", 5, 20).alias("needle")).unionByName(spark.createDataFrame([("01999",), ("99",), ("",), ("r#00000",), ("#0000019",), ("nobody 12",)], "needle string"))
+    assert resolve.candidates(needles, names, "needle", "name", False).filter(F.length("needle") > 8).count() <= 3 * 2000
+    got = {(r.needle, r.name) for r in resolve.containing(needles, names).collect()}
+    every = [r.name for r in names.collect()]
+    assert got == {(a, b) for a in {r.needle for r in needles.collect()} for b in every if a and a in b}
