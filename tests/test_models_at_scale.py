@@ -328,3 +328,14 @@ def test_names_that_end_in_numbers_are_not_paired_by_trigrams(spark):
     got = {(r.needle, r.name) for r in resolve.containing(needles, names).collect()}
     every = [r.name for r in names.collect()]
     assert got == {(a, b) for a in {r.needle for r in needles.collect()} for b in every if a and a in b}
+
+
+def test_sums_get_rows_as_one_array(spark, monkeypatch):
+    rows = [(float(k), k % 7, None if k % 5 == 0 else 1.5 * k, float("nan") if k % 11 == 0 else k * k / 3) for k in range(100)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, y double")
+    seen, whole = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: seen.append(self.dtypes) or whole(self, *a, **k))
+    n, mean, c = gram.gram(df.repartition(3), list("abcy"))
+    assert seen == [[("z", "array<double>")]]
+    z = np.array([r for r in rows if r[2] is not None and r[3] == r[3]], float)
+    assert n == len(z) and np.allclose(mean, z.mean(axis=0)) and np.allclose(c, np.cov(z.T, bias=True) * len(z))
