@@ -15,9 +15,9 @@ import numpy as np
 HIDDEN, SIZE = 16, 64
 #: Lanes of a window in training, at least and at most: as many as make about WINDOWS steps of descent of a pass. Steps of a window, and both in scoring.
 TRAIN_LANES, MOST_LANES, WINDOWS, TRAIN_STEPS = 64, 512, 250, 16
-LANES, STEPS = 256, 64
+LANES, STEPS = 512, 64
 #: Rows of outputs that are computed at once in scoring.
-ROWS = 4096
+ROWS = 16384
 RATE, EPSILON = 0.05, 1e-4
 END, OTHER = 0, 1
 #: Shapes of the parameters: gates by input word, gates by state, class and word outputs.

@@ -45,6 +45,16 @@ def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offs), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with return_inverse: only the different values are sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    different = coded.dictionary.to_numpy()
+    order = np.argsort(different)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return different[order], rank[coded.indices.to_numpy()]
+
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["chunk", "doc_id", "fold", "words", "hashes", "counts"]
     longs = pa.list_(pa.int64())
@@ -55,7 +65,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(h)
                 sizes.append(n)
         n = np.concatenate(sizes)
-        different, own = np.unique(np.concatenate(hashes), return_inverse=True)
+        different, own = _distinct(np.concatenate(hashes))
         folds = pa.concat_arrays([p.column(1) for p in parts])
         learnt = folds.fill_null(0).to_numpy() != 0
         counts = np.bincount(own[np.repeat(learnt, n)], minlength=len(different))

@@ -275,3 +275,15 @@ def test_outputs_out_of_the_range_of_floats_are_shifted():
     c = np.array([[200.0, 100.0], [-200.0, -300.0], [0.0, 1.0]], np.float32)
     log, _ = gru._softmax(c.copy(), np.arange(3), np.array([0, 0, 1]))
     assert np.allclose(log, [0, 0, 1 - np.log(1 + np.e)], atol=1e-6)
+
+
+def test_distinct_hashes_sort_only_different_ones(monkeypatch):
+    words = np.random.default_rng(3).integers(0, 2**64, 500, np.uint64)
+    for x in (words[np.random.default_rng(4).integers(0, 500, 20_000)], words[:1], words[:0]):
+        want, sorted_ = np.unique(x, return_inverse=True), []
+        sort = np.argsort
+        with monkeypatch.context() as m:
+            m.setattr(np, "argsort", lambda v, *a, **k: sorted_.append(len(v)) or sort(v, *a, **k))
+            different, own = language_model._distinct(x)
+        assert sorted_ == [len(want[0])] and different.dtype == np.uint64
+        assert np.array_equal(different, want[0]) and np.array_equal(own, want[1])
