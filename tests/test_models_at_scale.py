@@ -339,3 +339,53 @@ def test_sums_get_rows_as_one_array(spark, monkeypatch):
     assert seen == [[("z", "array<double>")]]
     z = np.array([r for r in rows if r[2] is not None and r[3] == r[3]], float)
     assert n == len(z) and np.allclose(mean, z.mean(axis=0)) and np.allclose(c, np.cov(z.T, bias=True) * len(z))
+
+
+def test_gradients_and_rows_add_up_in_one_number_whatever_their_size():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 8, (5000, 3)).astype(np.uint8)
+    b, pairs = boosting._Block(x, np.zeros(5000), 8), 2
+    for size, w in ((3.0, None), (2.0**31, None), (2.0**38, None), (2.0**30, rng.integers(1, 9, 5000).astype(np.uint8)), (2.0**20, np.full(5000, 250, np.uint8))):
+        found, g, place = boosting._Sums(pairs, 4, 8), np.rint(rng.normal(0, size, 5000)), rng.integers(0, 4, 5000)
+        for rows in (np.arange(3000), np.arange(3000, 5000), np.arange(5000)):
+            found.add(b, rows, place[rows], g[rows], None if w is None else w[rows])
+        for p in range(pairs):
+            for k, v in enumerate((g, np.ones(5000) if w is None else w)):
+                want = np.zeros((4, 64), np.int64)
+                np.add.at(want, (place, b.pairs[p]), 2 * v.astype(np.int64))
+                assert np.array_equal(found.apart()[k, p], want)
+
+
+def test_boosted_models_leave_the_forest_a_share_of_the_slots(spark, monkeypatch):
+    beside = {}
+    monkeypatch.setattr(models, "ESTIMATORS", {m: lambda *a, m=m: beside.update({m: boosting.BESIDE.get()}) for m in models.MODELS})
+    models.fit_all(spark.range(1), [], "id", models.MODELS)
+    assert beside["gbt"] == 4
+    models.fit_all(spark.range(1), [], "id", ["gbt", "linear"])
+    assert beside["gbt"] == 1
+
+
+def test_bins_and_binned_rows_get_features_as_one_array(spark, monkeypatch):
+    rows = [(float(k % 50), None if k % 7 == 0 else k % 5, float("nan") if k % 11 == 0 else 1.0 * k, None if k % 13 == 0 else k / 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, y double")
+    seen, whole = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: seen.append(self.dtypes) or whole(self, *a, **k))
+    s = boosting.Settings("level", 1, 2, 0, 0.1, 1.0)
+    data, edges, count = boosting._prepare(df.repartition(3), list("abc"), "y", 8, s)
+    assert seen == [[("z", "array<double>")]] * 2 and count == sum(r[3] is not None for r in rows)
+    got = sorted((*map(int, xs), round(y * s.unit + s.base, 6)) for r in data.collect() for xs, y in zip(np.frombuffer(r["x"], np.uint8).reshape(-1, 3), np.frombuffer(r["y"])))
+    low = lambda v: -np.inf if v is None or v != v else float(v)
+    assert got == sorted((*(int(np.searchsorted(e, low(v), "left")) for e, v in zip(edges, r)), round(r[3], 6)) for r in rows if r[3] is not None)
+
+
+def test_a_task_holds_28_bytes_a_row():
+    """TASK_ROWS of them must fit: 42,000,000 are as much memory as 2 ** 25 were with 36 bytes, and twelve tasks hold the 432,000,000 rows of 6 GB."""
+    x = np.random.default_rng(3).integers(0, 32, (20000, 18)).astype(np.uint8)
+    s = boosting.Settings("level", 1, 3, 0, 0.1, 1.0)
+    s.k, s.wide = 18, 32
+    held = boosting._Held(iter([]), s)
+    held.blocks = [boosting._Block(x, x[:, 0] * 1e6, 32)]
+    _, whole, gives = boosting.grow_tree(lambda tree, nodes: dict(zip(nodes, held.sums(tree, nodes))), "level", 3, 0, 1.0, 1)
+    b = held.blocks[0]
+    assert sum(v.nbytes for k, v in vars(b).items() if isinstance(v, np.ndarray) and k != "numbers") <= 28 * len(b)
+    assert boosting.TASK_ROWS * 28 <= (1 << 25) * 36 and 12 * boosting.TASK_ROWS >= 432_000_000
