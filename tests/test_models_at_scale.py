@@ -389,3 +389,29 @@ def test_a_task_holds_28_bytes_a_row():
     b = held.blocks[0]
     assert sum(v.nbytes for k, v in vars(b).items() if isinstance(v, np.ndarray) and k != "numbers") <= 28 * len(b)
     assert boosting.TASK_ROWS * 28 <= (1 << 25) * 36 and 12 * boosting.TASK_ROWS >= 432_000_000
+
+
+def test_sums_of_a_forest_stay_with_the_executors(spark, monkeypatch):
+    df, seen, whole = spark.createDataFrame(wave(700), "a double, b double, y double").persist(), [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append((self.columns, whole(self))) or seen[-1][1])
+    assert boosting.fit_forest(6, 5)(df, ["a", "b"], "y")(df).count() == 700
+    assert not any("sums" in c for c, _ in seen)
+    sent = [len(r.choices) for c, rows in seen if "choices" in c for r in rows]
+    assert len(sent) == 30 and max(sent) < 16 * 100  # at most 16 nodes a tree at the last level
+    df.unpersist()
+
+
+def test_trees_of_a_forest_that_are_done_early_leave_the_others(spark):
+    rows = [(float(k), float(k % 2), float(k)) for k in range(5)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    got = [r.prediction for r in boosting.fit_forest(20, 6)(df.coalesce(1), ["a", "b"], "y")(df).collect()]
+    assert all(0 <= p <= 4 for p in got) and max(got) - min(got) > 1
+    assert boosting.fit_forest(3, 4)(df.limit(0), ["a", "b"], "y")(df).count() == 5
+
+
+def test_training_starts_from_a_plan_of_one_step(spark):
+    f = spark.range(40).selectExpr("id % 10 e", "id v").groupBy("e").sum("v")
+    out = forecast.settled(f)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "InMemory" not in plan and sorted(map(tuple, out.collect())) == sorted(map(tuple, f.collect()))
+    assert not f.is_cached
