@@ -409,6 +409,18 @@ def test_trees_of_a_forest_that_are_done_early_leave_the_others(spark):
     assert boosting.fit_forest(3, 4)(df.limit(0), ["a", "b"], "y")(df).count() == 5
 
 
+def test_features_that_vary_in_no_group_are_left_out_of_the_cuts(monkeypatch):
+    x, y, group, role = small_groups()
+    still = np.vstack([group * 1.0, x[:2], np.zeros(len(y)), x[2:]])
+    make = lambda v: small_trees.Groups(v, y, group, role == 0, np.arange(5, dtype=np.uint64))
+    widths, whole = set(), small_trees.tree_values
+    monkeypatch.setattr(small_trees, "tree_values", lambda v, order, *a, **k: widths.add((len(v), len(order))) or whole(v, order, *a, **k))
+    assert np.array_equal(small_trees.boosted(make(still), still, 3, 0.1, 6, 0.0, 1), small_trees.boosted(make(x), x, 3, 0.1, 6, 0.0, 1))
+    assert np.array_equal(small_trees.forest(make(still), 3, 8), small_trees.forest(make(x), 3, 8)) and widths == {(3, 3)}
+    none = np.repeat(group[None] * 1.0, 2, axis=0)
+    assert np.allclose(small_trees.boosted(make(none), none, 3, 0.1, 6, 0.0, 1), make(none).mean[group])
+
+
 def test_training_starts_from_a_plan_of_one_step(spark):
     f = spark.range(40).selectExpr("id % 10 e", "id v").groupBy("e").sum("v")
     out = forecast.settled(f)
